@@ -56,3 +56,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", tag: str = "cc") ->
         labels = stage(step.join(up, "c").select("id", F.least("c", "cc").alias("component"), (F.least("c", "cc") < F.col("old")).alias("moved")), f"{tag}-labels")
         if labels.where("moved").isEmpty():
             return labels.select("id", "component")
+
+
+def remainder(id_col: str, n: int) -> Column:
+    """crc32 of the id as text, modulo n; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
+
+
+def utf8(text: Column) -> Column:
+    """The text's UTF-8 bytes; null counts as empty."""
+    return F.coalesce(text.cast("binary"), F.lit(b"").cast("binary"))

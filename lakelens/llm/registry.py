@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from lakelens.llm.langid import op8_langid
+from lakelens.llm.media import op2_media
 from lakelens.llm.mixing import OP1_SQL, op1_mix
 from lakelens.llm.packing import op10_pack
 
-QUERIES = {"op1_mix": op1_mix, "op10_pack": op10_pack}
+QUERIES = {"op1_mix": op1_mix, "op2_media": op2_media, "op8_langid": op8_langid, "op10_pack": op10_pack}
 SQL = {"op1_mix": OP1_SQL}
