@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but space and the controls 0x09 to 0x0D.
@@ -66,3 +66,41 @@ def remainder(id_col: str, n: int) -> Column:
 def utf8(text: Column) -> Column:
     """The text's UTF-8 bytes; null counts as empty."""
     return F.coalesce(text.cast("binary"), F.lit(b"").cast("binary"))
+
+
+def link_buckets(entries: DataFrame, verify, tag: str) -> tuple[DataFrame, DataFrame]:
+    """Verified links among ids that share a bucket, and their components.
+
+    entries: (bucket, id), an id at most once a bucket. verify: pairs (a, b) to the links among them, staged.
+    Returns links (a, b) and components (id, component).
+
+    First every member is compared with its bucket's least id. Buckets whose members still lie in several
+    components go on: their next 1, 2, 4, ... members in order of id are compared with all later members of
+    other components, until each bucket is one component or all its pairs across components were compared. So no
+    link between components is lost, while a bucket of n like texts costs about n pairs and not their square.
+    """
+    n = entries.groupBy("bucket").agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    entries = stage(entries.join(n, "bucket"), f"{tag}-entries")
+    links = verify(entries.where("id <> p").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct())
+    comp = components(links, tag=tag)
+    ranked, done = None, 1
+    while True:
+        base = entries if ranked is None else ranked
+        seen = base.where(F.col("n") > done).join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        open_ = seen.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
+        seen = seen.join(open_, "bucket", "left_semi")
+        if ranked is None:
+            ranked = stage(seen.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("id"))), f"{tag}-open")
+            seen = ranked
+            ranked = ranked.drop("c")
+        else:
+            seen = stage(seen, f"{tag}-open")
+        if seen.isEmpty():
+            return links, comp
+        pivots = seen.where((F.col("r") > done) & (F.col("r") <= 2 * done)).select("bucket", F.col("id").alias("a"), F.col("r").alias("_r"), F.col("c").alias("_c"))
+        pairs = seen.join(pivots, "bucket").where((F.col("r") > F.col("_r")) & (F.col("c") != F.col("_c")))
+        more = verify(pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
+        if not more.isEmpty():
+            links = stage(links.unionByName(more).distinct(), f"{tag}-links")
+            comp = components(links, tag=tag)
+        done *= 2

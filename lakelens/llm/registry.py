@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from lakelens.llm.langid import op8_langid
+from lakelens.llm.lines import op7_lines
 from lakelens.llm.media import op2_media
 from lakelens.llm.mixing import OP1_SQL, op1_mix
+from lakelens.llm.nearcopies import op3_near_copies
 from lakelens.llm.packing import op10_pack
 
-QUERIES = {"op1_mix": op1_mix, "op2_media": op2_media, "op8_langid": op8_langid, "op10_pack": op10_pack}
+QUERIES = {"op1_mix": op1_mix, "op2_media": op2_media, "op3_near_copies": op3_near_copies, "op7_lines": op7_lines, "op8_langid": op8_langid, "op10_pack": op10_pack}
 SQL = {"op1_mix": OP1_SQL}
