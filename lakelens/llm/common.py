@@ -104,3 +104,15 @@ def link_buckets(entries: DataFrame, verify, tag: str) -> tuple[DataFrame, DataF
             links = stage(links.unionByName(more).distinct(), f"{tag}-links")
             comp = components(links, tag=tag)
         done *= 2
+
+
+def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """At most n rows, those whose key hashes least: the same rows on every run.
+
+    Only about 1.5 n rows pass the filter on the hash, so tasks send no more than that however many they are.
+    """
+    h = F.xxhash64(F.lit("sample"), F.col(key))
+    total = df.count()
+    if total > 2 * n:
+        df = df.where(F.shiftrightunsigned(h, 33) < int(2**31 * min(1.0, (1.5 * n + 50) / total)))
+    return df.withColumn("_h", h).orderBy("_h").limit(n).drop("_h")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakelens.llm.arrow import LOWER, bytes_of
-from lakelens.llm.common import remainder, utf8
+from lakelens.llm.common import bounded_sample, remainder, utf8
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 
@@ -103,11 +103,9 @@ def train(docs: DataFrame, max_docs: int = 2000, windows_each: int = 4, folds: i
     b = utf8(F.col(text_col))
     step = F.floor(F.greatest(F.octet_length(b) - WINDOW, F.lit(0)) / max(1, windows_each - 1))
     cut = F.transform(F.array(*[F.lit(i) for i in range(windows_each)]), lambda i: F.substring(b, (i * step + 1).cast("int"), F.lit(WINDOW)))
-    rows = (
-        docs.where((remainder(id_col, folds) != 0) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-        .select(F.col(lang_col).alias("lang"), cut.alias("cut"), F.md5(F.col(id_col).cast("string")).alias("h"))
-        .orderBy("h", "lang", "cut").limit(max_docs).collect()
-    )
+    learnable = docs.where((remainder(id_col, folds) != 0) & F.col(lang_col).isNotNull())
+    rows = bounded_sample(learnable, id_col, max_docs).where(F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), cut.alias("cut")).collect()
+    rows.sort(key=lambda r: (r.lang, [bytes(c) for c in r.cut]))
     if not rows:
         return None
     langs = sorted({r.lang for r in rows})

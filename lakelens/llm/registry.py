@@ -8,6 +8,8 @@ from lakelens.llm.media import op2_media
 from lakelens.llm.mixing import OP1_SQL, op1_mix
 from lakelens.llm.nearcopies import op3_near_copies
 from lakelens.llm.packing import op10_pack
+from lakelens.llm.secrets import op6_secrets
+from lakelens.llm.vectors import op5_near_vectors
 
-QUERIES = {"op1_mix": op1_mix, "op2_media": op2_media, "op3_near_copies": op3_near_copies, "op7_lines": op7_lines, "op8_langid": op8_langid, "op10_pack": op10_pack}
+QUERIES = {"op1_mix": op1_mix, "op2_media": op2_media, "op3_near_copies": op3_near_copies, "op5_near_vectors": op5_near_vectors, "op6_secrets": op6_secrets, "op7_lines": op7_lines, "op8_langid": op8_langid, "op10_pack": op10_pack}
 SQL = {"op1_mix": OP1_SQL}
