@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lakelens.llm.language_model import op4_language_model
 from lakelens.llm.langid import op8_langid
 from lakelens.llm.lines import op7_lines
 from lakelens.llm.media import op2_media
@@ -11,5 +12,5 @@ from lakelens.llm.packing import op10_pack
 from lakelens.llm.secrets import op6_secrets
 from lakelens.llm.vectors import op5_near_vectors
 
-QUERIES = {"op1_mix": op1_mix, "op2_media": op2_media, "op3_near_copies": op3_near_copies, "op5_near_vectors": op5_near_vectors, "op6_secrets": op6_secrets, "op7_lines": op7_lines, "op8_langid": op8_langid, "op10_pack": op10_pack}
+QUERIES = {"op1_mix": op1_mix, "op2_media": op2_media, "op3_near_copies": op3_near_copies, "op4_language_model": op4_language_model, "op5_near_vectors": op5_near_vectors, "op6_secrets": op6_secrets, "op7_lines": op7_lines, "op8_langid": op8_langid, "op10_pack": op10_pack}
 SQL = {"op1_mix": OP1_SQL}
