@@ -5,6 +5,374 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lakelens.operators import aggregates as A
+from lakelens.operators import joins as J
+from lakelens.operators import profile as R
+from lakelens.operators import search as X
+from lakelens.operators import timeseries as N
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a function (t) -> DataFrame under its name; t(name) reads a table of the data folder."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, so that sums taken in another order compare equal."""
+    return df.select(*[(F.round(F.col(c), digits) if t == "double" else F.col(c)).alias(c) for c, t in df.dtypes])
+
+
+NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query(
+    " union all ".join(
+        f"""select '{c}' as "column", count({c}) as "count", count(*) - count({c}) as nulls, round(avg({c}), 4) as mean, round(median({c}), 4) as median, round(stddev_samp({c}), 4) as std,
+        round(sum({c}), 2) as sum, min({c}) as min, max({c}) as max, round(quantile_cont({c}, 0.25), 4) as q1, round(quantile_cont({c}, 0.75), 4) as q3,
+        round(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 4) as iqr from lineitem"""
+        for c in NUMBERS
+    )
+)
+def numeric_summary(t):
+    x = A.numeric_summary(t("lineitem").select(*NUMBERS))
+    return rounded(x.withColumn("sum", F.round("sum", 2)), 4)
+
+
+@query("""
+select * from (
+ select 'o_orderpriority' as "column", cast(sum(n) as bigint) as "count", count(*) as "unique", arg_min(v, -n * 1000 + r) as top, max(n) as freq
+ from (select o_orderpriority as v, count(*) as n, row_number() over (order by o_orderpriority) as r from orders group by 1)
+ union all
+ select 'o_orderstatus', cast(sum(n) as bigint), count(*), arg_min(v, -n * 1000 + r), max(n)
+ from (select o_orderstatus as v, count(*) as n, row_number() over (order by o_orderstatus) as r from orders group by 1))
+""")
+def categorical_summary(t):
+    return A.categorical_summary(t("orders"), ["o_orderpriority", "o_orderstatus"])
+
+
+@query("""
+select l_returnflag, l_linestatus, round(avg(l_quantity), 4) as l_quantity_mean, sum(l_quantity) as l_quantity_sum, median(l_quantity) as l_quantity_median,
+ round(avg(l_extendedprice), 4) as l_extendedprice_mean, round(sum(l_extendedprice), 2) as l_extendedprice_sum, round(median(l_extendedprice), 4) as l_extendedprice_median
+from lineitem group by all
+""")
+def group_aggregate(t):
+    x = A.group_aggregate(t("lineitem"), ["l_returnflag", "l_linestatus"], ["l_quantity", "l_extendedprice"], ["mean", "sum", "median"])
+    return rounded(x.withColumn("l_extendedprice_sum", F.round("l_extendedprice_sum", 2)), 4)
+
+
+@query("""
+select n_name, count(*) as customers, round(sum(c_acctbal), 2) as balance_sum from customer join nation on c_nationkey = n_nationkey group by n_name
+""")
+def bar_aggregate(t):
+    x = t("customer").join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    return x.groupBy("n_name").agg(F.count(F.lit(1)).alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance_sum"))
+
+
+@query("""
+select regexp_replace(p_brand, '[^0-9.\\-]', '', 'g')::double as number, count(*) as n, round(avg(p_retailprice), 4) as price from part group by 1
+""")
+def parsed_number_bars(t):
+    return t("part").groupBy(A.parsed_number("p_brand").alias("number")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p_retailprice"), 4).alias("price"))
+
+
+@query("""
+select c_mktsegment, round(sum(c_acctbal), 2) as total, round(sum(c_acctbal) / sum(sum(c_acctbal)) over (), 6) as share from customer group by 1
+""")
+def pie_shares(t):
+    x = A.share_by(t("customer"), "c_mktsegment", "c_acctbal")
+    return x.select("c_mktsegment", F.round("total", 2).alias("total"), F.round("share", 6).alias("share"))
+
+
+@query("""
+with q as (select l_returnflag as g, quantile_cont(l_extendedprice, 0.25) as q1, quantile_cont(l_extendedprice, 0.5) as med, quantile_cont(l_extendedprice, 0.75) as q3 from lineitem group by 1)
+select g as "group", round(any_value(q1), 4) as q1, round(any_value(med), 4) as med, round(any_value(q3), 4) as q3,
+ min(l_extendedprice) filter (l_extendedprice between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)) as whislo,
+ max(l_extendedprice) filter (l_extendedprice between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)) as whishi,
+ count(*) filter (not (l_extendedprice between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1))) as fliers, round(avg(l_extendedprice), 4) as mean, count(*) as n
+from lineitem join q on l_returnflag = g group by g
+""")
+def box_summary(t):
+    return rounded(A.box_summary(t("lineitem"), "l_returnflag", "l_extendedprice"), 4)
+
+
+@query("""
+select o_orderpriority, count(*) as n, round(avg(o_totalprice), 4) as mean, round(stddev_samp(o_totalprice), 4) as std, round(skewness(o_totalprice), 6) as skew, round(kurtosis(o_totalprice), 6) as kurtosis
+from orders group by 1
+""")
+def skew_kurtosis(t):
+    x = A.moments(t("orders"), "o_totalprice", ["o_orderpriority"])
+    return x.select("o_orderpriority", "n", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), F.round("skew", 6).alias("skew"), F.round("kurtosis", 6).alias("kurtosis"))
+
+
+@query("""
+with e as (select min(o_totalprice) as lo, max(o_totalprice) as hi from orders),
+b as (select cast(least(floor((o_totalprice - lo) / ((hi - lo) / 10)), 9) as integer) as bin, count(*) as n from orders, e group by 1)
+select cast(r.bin as integer) as bin, round(lo + r.bin * ((hi - lo) / 10), 4) as low, round(lo + (r.bin + 1) * ((hi - lo) / 10), 4) as high, coalesce(n, 0) as "count"
+from e, range(0, 10) r(bin) left join b on b.bin = r.bin
+""")
+def histogram(t):
+    return rounded(A.histogram(t("orders"), "o_totalprice"), 4)
+
+
+@query("""
+select "column", value, "count", "rank" from (select *, row_number() over (partition by "column" order by "count" desc, value) as "rank" from (
+ select 'p_brand' as "column", p_brand as value, count(*) as "count" from part group by 2 union all select 'p_type', p_type, count(*) from part group by 2)) where "rank" <= 10
+""")
+def value_counts(t):
+    return A.value_counts(t("part"), ["p_brand", "p_type"]).select("column", "value", "count", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""
+select "column", round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) as entropy, round(max(n) / sum(n), 6) as top_ratio from (
+ select 'event_type' as "column", event_type as v, count(*) as n from events group by 2 union all select 'user_id', cast(user_id as varchar), count(*) from events group by 2) group by 1
+""")
+def entropy(t):
+    return rounded(A.entropy(t("events"), ["event_type", "user_id"]))
+
+
+@query("""
+select lower(trim(tag)) as tag, count(*) as n from (select unnest(string_split(lang || ',' || source || ', ' || case when n_chars > 1000 then 'Long' else 'Short' end, ',')) as tag from documents)
+group by 1 order by n desc, tag limit 10
+""")
+def tag_counts(t):
+    return A.exploded_counts(t("documents").select(F.concat("lang", F.lit(","), "source", F.lit(", "), F.when(F.col("n_chars") > 1000, "Long").otherwise("Short")).alias("tags")), "tags")
+
+
+@query("""
+select user_id, arg_max(event_type, event_id) as latest, count(*) filter (event_type <> 'error') as succeeded, count(*) filter (event_type = 'error') as failed from events group by 1
+""")
+def telemetry_summary(t):
+    x = A.telemetry(t("events").withColumn("status", F.when(F.col("event_type") == "error", "failed").otherwise("ok")), "user_id", "status", "event_id")
+    last = t("events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("latest"))
+    return x.drop("latest").join(last, "user_id").select("user_id", "latest", "succeeded", "failed")
+
+
+for _how, _sql in (("inner", "join"), ("left", "left join"), ("right", "right join"), ("outer", "full join")):
+
+    def _join(t, how=_how):
+        orders = t("orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), "o_totalprice")
+        items = t("lineitem").where("l_orderkey % 5 <> 0").select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_quantity")
+        return J.guarded_join([orders, items], ["k"], how, max_rows=None)
+
+    _join.__name__ = f"join_guarded_{_how}"
+    query(f"""select k, o_totalprice, l_linenumber, l_quantity from (select o_orderkey as k, o_totalprice from orders where o_orderkey % 3 <> 0) a
+    {_sql} (select l_orderkey as k, l_linenumber, l_quantity from lineitem where l_orderkey % 5 <> 0) b using (k)""")(_join)
+
+
+@query("""
+select k, round(q.l_quantity, 3) as l_quantity, round(q.l_extendedprice, 3) as l_extendedprice, p.p_size from (select l_partkey as k, avg(l_quantity) as l_quantity, avg(l_extendedprice) as l_extendedprice from lineitem group by 1) q
+join (select p_partkey as k, avg(p_size) as p_size from (select * from part union all select * from part) group by 1) p using (k)
+""")
+def join_pre_aggregated(t):
+    items = t("lineitem").select(F.col("l_partkey").alias("k"), "l_quantity", "l_extendedprice")
+    parts = t("part").select(F.col("p_partkey").alias("k"), "p_size")
+    return rounded(J.guarded_join([items, parts.unionAll(parts)], ["k"], aggregate="mean"), 3)
+
+
+@query("""
+select cast(sum(a) as bigint) as left_rows, cast(sum(b) as bigint) as right_rows, cast(sum(a * b) as bigint) as rows from
+ (select l_partkey, count(*) as a from lineitem group by 1) join (select l_partkey, count(*) as b from lineitem where l_quantity > 25 group by 1) using (l_partkey)
+""")
+def join_estimate(t):
+    x = t("lineitem").select("l_partkey", "l_quantity")
+    return J.join_estimate(x, x.where("l_quantity > 25"), ["l_partkey"])
+
+
+@query("""
+select coalesce(a.o_orderkey, b.o_orderkey) as o_orderkey, case when a.o_orderkey is null then 'added' when b.o_orderkey is null then 'deleted'
+ when a.p is not distinct from b.p and a.s is not distinct from b.s then 'unchanged' else 'modified' end as change
+from (select o_orderkey, o_totalprice as p, o_orderstatus as s from orders where o_orderkey % 7 <> 0) a
+full join (select o_orderkey, case when o_orderkey % 5 = 0 then null else o_totalprice end as p, o_orderstatus as s from orders where o_orderkey % 11 <> 0) b on a.o_orderkey = b.o_orderkey
+""")
+def manifest_diff(t):
+    o = t("orders")
+    new = o.where("o_orderkey % 11 <> 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice")))
+    return J.keyed_diff(o.where("o_orderkey % 7 <> 0"), new, "o_orderkey", ["o_totalprice", "o_orderstatus"])
+
+
+@query("""
+select user_id, event_id, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events where ts <= timestamp '2024-01-15') where r = 1
+""")
+def asof_snapshot(t):
+    x = t("events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    return J.as_of(x, "user_id", "ts", F.to_timestamp(F.lit("2024-01-15"))).select("user_id", "event_id", "value")
+
+
+@query("""
+select user_id, event_id from (select *, row_number() over (partition by user_id order by event_id desc) as r from events) where r <= 10
+""")
+def keep_latest(t):
+    return J.keep_latest(t("events").select("user_id", "event_id"), "user_id", "event_id")
+
+
+@query("select doc_id, count(*) over (partition by md5(text)) > 1 as duplicate from documents")
+def duplicate_documents(t):
+    return J.duplicate_marks(t("documents").select("doc_id", F.md5("text").alias("hash")), "hash").select("doc_id", "duplicate")
+
+
+@query("""
+select c.tbl as "table", c.col as "column", c.target, case when c.target in ('nation', 'region', 'customer', 'order', 'part') then 'high' else 'low' end as confidence
+from (values ('customer', 'nationkey', 'nation'), ('nation', 'regionkey', 'region'), ('order', 'custkey', 'cust'), ('part', 'supp_id', 'supp'), ('lineitem', 'part_id', 'part')) c(tbl, col, target)
+""")
+def heuristic_relations(t):
+    spark = t("region").sparkSession
+    cols = [("customer", "nationkey"), ("customer", "name"), ("nation", "regionkey"), ("region", "name"), ("order", "custkey"), ("part", "supp_id"), ("lineitem", "part_id")]
+    return J.relations(spark.createDataFrame(cols, "table string, column string"))
+
+
+@query(
+    "with c as (select c_custkey, c_name, c_nationkey, case when c_custkey % 7 = 0 then null else c_mktsegment end as c_mktsegment from customer) "
+    + " union all ".join(
+        f"""select '{c}' as "column", count(*) as rows, count(*) - count({c}) as nulls, round(100 * (count(*) - count({c})) / count(*), 2) as null_pct, count(distinct {c}) as "unique",
+        count(*) - count(distinct {c}) - case when count({c}) < count(*) then 1 else 0 end as duplicates,
+        case when count(distinct {c}) = count(*) then 'unique_key' when (count(*) - count(distinct {c}) - case when count({c}) < count(*) then 1 else 0 end) / count(*) < 0.01 then 'likely_key' else 'none' end as key from c"""
+        for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    )
+)
+def profile_columns(t):
+    c = t("customer").select("c_custkey", "c_name", "c_nationkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+    return R.profile_columns(c)
+
+
+@query("select count(*) as rows, cast(count(distinct (user_id, event_type)) as bigint) as distinct_rows, count(*) - count(distinct (user_id, event_type)) as duplicate_rows from events")
+def duplicate_rows(t):
+    return R.duplicate_rows(t("events").select("user_id", "event_type"))
+
+
+@query("select o_orderkey, o_totalprice from orders order by md5(cast(o_orderkey as varchar)), o_orderkey limit 500")
+def hashed_sample(t):
+    return R.hashed_sample(t("orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 500)
+
+
+@query("select cast(date_trunc('day', ts) as timestamp) as bin, round(sum(value), 4) as value from events group by 1")
+def resample_daily(t):
+    return rounded(N.resample(t("events"), "ts", "value", "D", "sum", spine=False), 4)
+
+
+@query("""
+with h as (select date_trunc('hour', ts) as bin, avg(value) as v from events where user_id < 40 group by 1)
+select g.bin as bin, round(v, 6) as value from (select unnest(generate_series((select min(bin) from h), (select max(bin) from h), interval 1 hour)) as bin) g left join h using (bin)
+""")
+def resample_spine_hourly(t):
+    return rounded(N.resample(t("events").where("user_id < 40"), "ts", "value", "H", "mean"))
+
+
+@query("select date_trunc('week', ts) + interval 6 day as bin, cast(count(value) as double) as value from events group by 1")
+def resample_weekly(t):
+    return N.resample(t("events"), "ts", "value", "W", "count")
+
+
+@query("""
+with g as (select (epoch_us(ts) - lag(epoch_us(ts)) over (order by ts)) as g from (select distinct ts from events))
+select median(g) / 1e6 as gap, case when median(g) / 1e6 <= 60 then 'S' when median(g) / 1e6 <= 3600 then 'T' when median(g) / 1e6 <= 129600 then 'H' else 'D' end as frequency from g
+""")
+def infer_frequency(t):
+    return N.infer_frequency(t("events"), "ts")
+
+
+_W7 = "over (partition by user_id order by event_id rows between 6 preceding and current row)"
+
+
+@query(f"select user_id, event_id, round(avg(value) {_W7}, 6) as rolling_mean, round(sum(value) {_W7}, 6) as rolling_sum, round(stddev_samp(value) {_W7}, 6) as rolling_std, round(median(value) {_W7}, 6) as rolling_median from events")
+def rolling7(t):
+    x = N.rolling(t("events").select("user_id", "event_id", "value"), "event_id", "value", 7, ["mean", "sum", "std", "median"], ["user_id"])
+    return rounded(x.drop("value"))
+
+
+@query("""
+select user_id, event_id, round(sum(value) over (partition by user_id order by epoch_us(ts) range between 259199999999 preceding and current row), 6) as rolling_sum from events
+""")
+def rolling_time_3d(t):
+    return rounded(N.rolling_time(t("events").select("user_id", "event_id", "ts", "value"), "ts", "value", 3, "sum", ["user_id"]).select("user_id", "event_id", "rolling_sum"))
+
+
+@query("""
+select user_id, event_id, round(value - lag(value) over w, 6) as diff, round(sum(value) over w, 6) as cumsum,
+ round(case when lag(value) over w <> 0 then (value / lag(value) over w - 1) * 100 end, 6) as pct_change from events window w as (partition by user_id order by event_id)
+""")
+def changes(t):
+    return rounded(N.changes(t("events").select("user_id", "event_id", "value"), "event_id", "value", ["user_id"]).drop("value"))
+
+
+@query("""
+with m as (select event_type, median(value) as med from events group by 1),
+d as (select event_type, median(abs(value - med)) as mad from events join m using (event_type) group by 1)
+select event_id, 0.6745 * abs(value - med) / case when mad = 0 then 1 else mad end > 3.5 as outlier from events join m using (event_type) join d using (event_type)
+""")
+def outliers_mad(t):
+    return N.robust_outliers(t("events").select("event_id", "event_type", "value"), "value", "event_type").select("event_id", "outlier")
+
+
+_TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+
+@query(f"select term, count(distinct doc_id) as docs, count(*) as occurrences from (select doc_id, unnest({_TOK}) as term from documents) group by 1")
+def vocabulary(t):
+    return X.vocabulary(t("documents"), "doc_id", "text")
+
+
+@query(f"""
+select term, key, count(*) as tf, array_to_string(list(pos order by pos), ',') as positions from (select doc_id as key, unnest(t) as term, unnest(range(0, len(t))) as pos from (select doc_id, {_TOK} as t from documents where doc_id % 10 = 3)) group by 1, 2
+""")
+def postings(t):
+    return X.postings(t("documents").where("doc_id % 10 = 3"), "doc_id", "text").withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
+
+
+def _bm25(units: list[str], where: str) -> str:
+    """SQL for a score over units, each an expression over the padded token text p."""
+    tf = ", ".join(f"cast(({u}) as bigint) as u{i}" for i, u in enumerate(units))
+    d = ", ".join(f"count(*) filter (u{i} > 0) as d{i}" for i in range(len(units)))
+    score = " + ".join(f"greatest(1e-6, ln((n - d{i} + 0.5) / (d{i} + 0.5))) * u{i} * 2.2 / (u{i} + 1.2 * (0.25 + 0.75 * len / avglen))" for i in range(len(units)))
+    return f"""with x as (select doc_id as key, len({_TOK}) as len, ' ' || array_to_string({_TOK}, '  ') || ' ' as p from documents where text is not null),
+    y as (select key, len, {tf} from x), s as (select count(*) as n, avg(len) as avglen, {d} from y)
+    select key, round({score}, 6) as score from y, s where {where}"""
+
+
+def _count(phrase: str) -> str:
+    """Occurrences of a phrase in the token text, whose tokens stand between single spaces, doubled in between."""
+    p = "  ".join(phrase.split())
+    return f"(length(p) - length(replace(p, ' {p} ', ''))) / {len(p) + 2}"
+
+
+@query(_bm25([_count("the"), _count("ing")], "u0 > 0 or u1 > 0"))
+def search_bm25(t):
+    return rounded(X.search(t("documents"), "doc_id", "text", "the OR ing"))
+
+
+@query(_bm25([_count("of"), _count("that"), _count("der")], "u0 > 0 and u1 > 0 and not u2 > 0"))
+def search_boolean(t):
+    return rounded(X.search(t("documents"), "doc_id", "text", "(of AND that) NOT der"))
+
+
+@query(_bm25([_count("of the")], "u0 > 0"))
+def search_phrase(t):
+    return rounded(X.search(t("documents"), "doc_id", "text", "of the"))
+
+
+@query(r"""
+select doc_id as key, cast(strpos(text, regexp_extract(text, '(?i)th[a-z]+ing')) as integer) as at,
+ substr(text, greatest(strpos(text, regexp_extract(text, '(?i)th[a-z]+ing')) - 30, 1),
+  strpos(text, regexp_extract(text, '(?i)th[a-z]+ing')) - greatest(strpos(text, regexp_extract(text, '(?i)th[a-z]+ing')) - 30, 1) + length(regexp_extract(text, '(?i)th[a-z]+ing')) + 30) as snippet
+from documents where regexp_matches(text, '(?i)th[a-z]+ing')
+""")
+def regex_search(t):
+    return X.regex_search(t("documents"), "doc_id", "text", "th[a-z]+ing")
+
+
+@query("select doc_id as path, md5(text || case when doc_id % 9 = 0 then '!' else '' end) as hash from documents where doc_id % 9 = 0 or doc_id % 4 = 1")
+def incremental_index(t):
+    d = t("documents")
+    files = d.select(F.col("doc_id").alias("path"), F.md5(F.concat("text", F.when(F.col("doc_id") % 9 == 0, "!").otherwise(""))).alias("hash"))
+    return X.unchanged(d.where("doc_id % 4 <> 1").select(F.col("doc_id").alias("path"), F.md5("text").alias("hash")), files)
