@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakelens.functions import scalar as S
 from lakelens.operators import aggregates as A
+from lakelens.operators import cleaning as C
+from lakelens.operators import inference as I
 from lakelens.operators import joins as J
+from lakelens.operators import observe as O
 from lakelens.operators import profile as R
 from lakelens.operators import search as X
 from lakelens.operators import timeseries as N
@@ -376,3 +380,231 @@ def incremental_index(t):
     d = t("documents")
     files = d.select(F.col("doc_id").alias("path"), F.md5(F.concat("text", F.when(F.col("doc_id") % 9 == 0, "!").otherwise(""))).alias("hash"))
     return X.unchanged(d.where("doc_id % 4 <> 1").select(F.col("doc_id").alias("path"), F.md5("text").alias("hash")), files)
+
+
+@query(r"select doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), '[\x00-\x1F\x7F-\x{9F}]', '', 'g'))) as cleaned from documents")
+def clean_text(t):
+    return t("documents").select("doc_id", F.md5(S.clean_text("text")).alias("cleaned"))
+
+
+@query(r"""
+select doc_id, md5(array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda x: length(x) >= 3 and not regexp_matches(x, '^\d+$')), ' ')) as kept from documents
+""")
+def semantic_filter(t):
+    return t("documents").select("doc_id", F.md5(S.semantic_filter("text")).alias("kept"))
+
+
+@query("""
+select o_orderkey, year(o_orderdate) as d_year, month(o_orderdate) as d_month, day(o_orderdate) as d_day, dayname(o_orderdate) as d_weekday, hour(o_orderdate) as d_hour, quarter(o_orderdate) as d_quarter,
+ monthname(o_orderdate) as d_month_name, weekofyear(o_orderdate) as d_week, dayofyear(o_orderdate) as d_day_of_year, minute(o_orderdate) as d_minute, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') as d_iso, cast(epoch(o_orderdate) as bigint) as d_epoch from orders
+""")
+def date_parts(t):
+    x = t("orders").select("o_orderkey", *S.date_parts("o_orderdate", "d"))
+    return x.select(*[F.col(c).cast("long").alias(c) if k == "int" else F.col(c) for c, k in x.dtypes])
+
+
+@query("""
+select o_orderkey, date_trunc('day', o_orderdate) as parsed from orders
+""")
+def date_cascade(t):
+    d = F.col("o_orderdate").cast("timestamp")
+    k = F.col("o_orderkey") % 4
+    text = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "d/M/yyyy")).when(k == 2, F.date_format(d, "yyyy/MM/dd")).otherwise(F.date_format(d, "d.M.yyyy"))
+    return t("orders").select("o_orderkey", S.parse_date(text).alias("parsed"))
+
+
+@query("select c_custkey, round(ln(1 + greatest(c_acctbal, 0)), 6) as log, round(sqrt(greatest(c_acctbal, 0)), 6) as sqrt, round(ln(1 + exp(c_acctbal / 1000)), 6) as soft from customer")
+def number_transforms(t):
+    return rounded(t("customer").select("c_custkey", S.transform_number("c_acctbal", "log").alias("log"), S.transform_number("c_acctbal", "sqrt").alias("sqrt"), S.transform_number(F.col("c_acctbal") / 1000, "softplus").alias("soft")))
+
+
+@query("select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
+def flatten_props(t):
+    return t("events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
+
+
+@query("""
+select o_orderkey, coalesce(case when o_orderkey % 7 <> 0 then o_totalprice end, (select avg(o_totalprice) from orders where o_orderkey % 7 <> 0)) as o_totalprice,
+ coalesce(case when o_orderkey % 5 <> 0 then o_orderpriority end, (select o_orderpriority from orders where o_orderkey % 5 <> 0 group by 1 order by count(*) desc, 1 limit 1)) as o_orderpriority from orders
+""".replace("coalesce(case when o_orderkey % 7", "round(coalesce(case when o_orderkey % 7").replace("o_orderkey % 7 <> 0)) as o_totalprice", "o_orderkey % 7 <> 0)), 4) as o_totalprice"))
+def auto_clean_fill(t):
+    o = t("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("o_totalprice"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("o_orderpriority"))
+    return rounded(C.fill_missing(o, "mean", ["o_totalprice", "o_orderpriority"]), 4)
+
+
+@query("""
+with a as (select l_orderkey, l_linenumber, l_extendedprice, l_quantity from lineitem, (select quantile_cont(l_extendedprice, 0.25) as q1, quantile_cont(l_extendedprice, 0.75) as q3 from lineitem)
+ where l_extendedprice between q1 - 0.3 * (q3 - q1) and q3 + 0.3 * (q3 - q1))
+select l_orderkey, l_linenumber from a, (select quantile_cont(l_quantity, 0.25) as q1, quantile_cont(l_quantity, 0.75) as q3 from a) where l_quantity between q1 - 0.3 * (q3 - q1) and q3 + 0.3 * (q3 - q1)
+""")
+def outliers_iqr_sequential(t):
+    return C.drop_outliers(t("lineitem"), ["l_extendedprice", "l_quantity"], limit=0.3).select("l_orderkey", "l_linenumber")
+
+
+@query("select c_custkey, round((c_acctbal - avg(c_acctbal) over ()) / stddev_samp(c_acctbal) over (), 6) as c_acctbal from customer")
+def zscore(t):
+    return rounded(C.normalise(t("customer").select("c_custkey", "c_acctbal"), ["c_acctbal"]))
+
+
+@query("select c_custkey, round((c_acctbal - min(c_acctbal) over ()) / (max(c_acctbal) over () - min(c_acctbal) over ()), 6) as c_acctbal from customer")
+def minmax(t):
+    return rounded(C.normalise(t("customer").select("c_custkey", "c_acctbal"), ["c_acctbal"], "minmax"))
+
+
+@query("select 'l_quantity' as x, 'l_extendedprice' as y, round(corr(l_quantity, l_extendedprice), 6) as r from lineitem union all select 'l_quantity', 'l_discount', round(corr(l_quantity, l_discount), 6) from lineitem union all select 'l_extendedprice', 'l_discount', round(corr(l_extendedprice, l_discount), 6) from lineitem")
+def pearson_matrix(t):
+    return rounded(I.correlation_matrix(t("lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]))
+
+
+@query("select count(*) as n, round(corr(l_quantity, l_extendedprice), 6) as r from lineitem")
+def pearson(t):
+    return rounded(I.correlation(t("lineitem"), "l_quantity", "l_extendedprice").select("n", "r"))
+
+
+_RANK = "rank() over (order by {0}) + (count(*) over (partition by {0}) - 1) / 2.0"
+
+
+@query(f"select count(*) as n, round(corr(a, b), 6) as r from (select {_RANK.format('l_quantity')} as a, {_RANK.format('l_extendedprice')} as b from lineitem)")
+def spearman(t):
+    return rounded(I.spearman(t("lineitem"), "l_quantity", "l_extendedprice").select("n", "r"))
+
+
+@query("""
+with g as (select l_linestatus as g, count(*) as n, avg(l_extendedprice) as m, var_samp(l_extendedprice) as v from lineitem group by 1),
+p as (select a.n as n1, a.m as m1, a.v as v1, b.n as n2, b.m as m2, b.v as v2 from g a, g b where a.g < b.g)
+select round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 4) as t, round((v1 / n1 + v2 / n2) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1)), 2) as df, round(m1 - m2, 2) as diff from p
+""")
+def welch_t(t):
+    return I.t_test(t("lineitem"), "l_extendedprice", "l_linestatus").select(F.round("t", 4).alias("t"), F.round("df", 2).alias("df"), F.round("diff", 2).alias("diff"))
+
+
+@query("select count(*) as n, round(avg(l_quantity - l_tax * 500) / (stddev_samp(l_quantity - l_tax * 500) / sqrt(count(*))), 4) as t from lineitem")
+def paired_t(t):
+    return rounded(I.paired_t_test(t("lineitem").withColumn("x", F.col("l_tax") * 500), "l_quantity", "x").select("n", "t"), 4)
+
+
+_ANOVA = """
+with g as (select {g} as g, count(*) as n, avg({v}) as m, var_samp({v}) as v from {t} group by 1), a as (select sum(n * m) / sum(n) as gm, count(*) as k, sum(n) as n from g)
+select cast(any_value(a.k) as bigint) as k, cast(any_value(a.n) as bigint) as n, round(sum(g.n * (m - gm) ** 2) / (any_value(a.k) - 1) / (sum((g.n - 1) * v) / (any_value(a.n) - any_value(a.k))), 4) as f from g, a
+"""
+
+
+@query(_ANOVA.format(g="event_type", v="value", t="events"))
+def anova_f(t):
+    return rounded(I.anova(t("events"), "value", "event_type").select("k", "n", "f"), 4)
+
+
+@query(_ANOVA.format(g="event_type", v="z", t="(select event_type, abs(value - median(value) over (partition by event_type)) as z from events)"))
+def levene_f(t):
+    return rounded(I.levene(t("events"), "value", "event_type").select("k", "n", "f"), 4)
+
+
+@query(f"select round(sum(r) filter (g = 'F') - count(*) filter (g = 'F') * (count(*) filter (g = 'F') + 1) / 2.0, 1) as u from (select l_linestatus as g, {_RANK.format('l_quantity')} as r from lineitem)")
+def mannwhitney_u(t):
+    return rounded(I.mann_whitney(t("lineitem"), "l_quantity", "l_linestatus").select("u"), 1)
+
+
+@query(f"""
+with r as (select l_returnflag as g, l_quantity as v, {_RANK.format('l_quantity')} as r from lineitem), n as (select count(*)::double as n from r),
+ties as (select sum(c ** 3 - c) as t from (select count(*)::double as c from r group by v)), s as (select g, sum(r) as s, count(*) as c from r group by 1)
+select count(*) as k, round((12 / (any_value(n) * (any_value(n) + 1)) * sum(s * s / c) - 3 * (any_value(n) + 1)) / (1 - any_value(t) / (any_value(n) ** 3 - any_value(n))), 4) as h from s, n, ties
+""")
+def kruskal_h(t):
+    return rounded(I.kruskal(t("lineitem"), "l_quantity", "l_returnflag").select("k", "h"), 4)
+
+
+@query("select 'intercept' as term, round(regr_intercept(l_extendedprice, l_quantity), 3) as coefficient from lineitem union all select 'l_quantity', round(regr_slope(l_extendedprice, l_quantity), 3) from lineitem")
+def ols_coefficients(t):
+    return rounded(I.ols(t("lineitem"), "l_extendedprice", ["l_quantity"]).select("term", "coefficient"), 3)
+
+
+@query("""
+select term, 1 / (1 - r * r) as vif from (select unnest(['l_quantity', 'l_extendedprice']) as term, corr(l_quantity, l_extendedprice) as r from lineitem)
+""".replace("1 / (1 - r * r)", "round(1 / (1 - r * r), 6)"))
+def vif(t):
+    return rounded(I.vif(t("lineitem"), ["l_quantity", "l_extendedprice"]))
+
+
+@query("select count(*) as n, round(avg(o_totalprice), 4) as mean from orders")
+def mean_interval(t):
+    return rounded(I.mean_interval(t("orders"), "o_totalprice").select("n", "mean"), 4)
+
+
+@query("select count(*) as n, round(avg(case when event_type = 'purchase' then 1.0 else 0.0 end), 6) as p from events")
+def proportion_interval(t):
+    return rounded(I.proportion_interval(t("events"), "event_type = 'purchase'").select("n", "p"))
+
+
+@query("""
+with x as (select n_name as name, (n_nationkey * 37 % 25 + 1) / 500.0 as p from nation), y as (select *, count(*) over () as n, row_number() over (order by p, name) as i from x)
+select name, p::double as p, round(least(p * n, 1), 6)::double as bonferroni, round(least(max(p * (n - i + 1)) over (order by i), 1), 6)::double as holm, round(least(min(p * n / i) over (order by i desc), 1), 6)::double as bh from y
+""")
+def adjusted_p(t):
+    x = t("nation").select(F.col("n_name").alias("name"), ((F.col("n_nationkey") * 37 % 25 + 1) / F.lit(500.0)).cast("double").alias("p"))
+    return rounded(I.adjust_p(x, "name", "p"))
+
+
+@query("select user_id, round(sum(d * d) / sum(value * value), 6) as dw from (select user_id, value, value - lag(value) over (partition by user_id order by event_id) as d from events) group by 1")
+def durbin_watson(t):
+    return rounded(I.durbin_watson(t("events"), "value", "event_id", "user_id"))
+
+
+@query("""
+select doc_id, case when a.h is null then 'CREATED' when b.h is null then 'DELETED' when a.s = b.s then 'REPLACED' else 'UPDATED' end as event from
+ (select doc_id, md5(text) as h, length(text) as s from documents where doc_id % 5 <> 0) a full join
+ (select doc_id, md5(t) as h, length(t) as s from (select doc_id, case when doc_id % 3 = 0 then reverse(text) when doc_id % 4 = 0 then text || '.' else text end as t from documents where doc_id % 7 <> 0)) b using (doc_id)
+where a.h is distinct from b.h
+""")
+def state_events(t):
+    d = t("documents")
+    make = lambda x: x.select("doc_id", F.md5("text").alias("h"), F.length("text").alias("s"))
+    new = d.where("doc_id % 7 <> 0").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.reverse("text")).when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")))
+    return O.state_events(make(d.where("doc_id % 5 <> 0")), make(new), "doc_id", "h", "s")
+
+
+@query("""
+select user_id, event_id, 'event_type' as field, old, event_type as new from (select *, lag(event_type) over (partition by user_id order by event_id) as old, row_number() over (partition by user_id order by event_id) as n from events)
+where n > 1 and old is distinct from event_type
+""")
+def field_events(t):
+    return O.field_events(t("events"), "user_id", "event_id", ["event_type"])
+
+
+@query("""
+select count(*) filter (a.h = b.h) as identical, count(*) filter (a.h <> b.h) as modified, count(*) filter (a.h is null) as missing_a, count(*) filter (b.h is null) as missing_b
+from (select doc_id, md5(text) as h from documents where doc_id % 5 <> 0) a full join (select doc_id, md5(case when doc_id % 3 = 0 then text || '.' else text end) as h from documents where doc_id % 7 <> 0) b using (doc_id)
+""")
+def compare_folders(t):
+    d = t("documents")
+    b = d.where("doc_id % 7 <> 0").select("doc_id", F.md5(F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))).alias("h"))
+    return O.compare_folders(d.where("doc_id % 5 <> 0").select("doc_id", F.md5("text").alias("h")), b, "doc_id", "h")
+
+
+@query("""
+with recursive c as (select o_orderkey as key, o_orderkey as root, 0::bigint as depth from orders where o_orderkey < 5 union all
+ select o.o_orderkey, c.root, c.depth + 1 from orders o join c on o.o_orderkey // 5 = c.key where o.o_orderkey >= 5 and o.o_orderkey < 1000)
+select o_orderkey as key, root, depth from (select o_orderkey from orders where o_orderkey < 1000) left join c on key = o_orderkey
+""")
+def chain_closure(t):
+    o = t("orders").where("o_orderkey < 1000").select("o_orderkey", F.when(F.col("o_orderkey") >= 5, F.floor(F.col("o_orderkey") / 5)).alias("parent"))
+    return O.chains(o.sparkSession, o, "o_orderkey", "parent")
+
+
+@query("select doc_id, case when n = 1 then lang else lang || '_' || lpad(cast(n - 1 as varchar), 2, '0') end as unique_target from (select doc_id, lang || '-' || source as lang, row_number() over (partition by lang, source order by doc_id) as n from documents)")
+def numbered_targets(t):
+    x = t("documents").select("doc_id", F.concat_ws("-", "lang", "source").alias("target"))
+    return O.numbered_targets(x, "target", "doc_id").select("doc_id", "unique_target")
+
+
+@query("""
+select user_id, event_id, row_number() over (partition by user_id, run order by event_id) as counter from (select *, sum(new) over (partition by user_id order by event_id) as run from (
+ select user_id, event_id, case when cast(ts as date) is not distinct from lag(cast(ts as date)) over (partition by user_id order by event_id) then 0 else 1 end as new from events))
+""")
+def day_counters(t):
+    x = t("events").select("user_id", "event_id", F.to_date("ts").alias("day"))
+    return O.day_counters(x, "day", "event_id", "user_id").select("user_id", "event_id", F.col("counter").cast("long").alias("counter"))
+
+
+@query("select source, sha256(string_agg(r, chr(10) order by r)) as fingerprint from (select source, doc_id || '|' || n_chars as r from documents) group by 1")
+def folder_fingerprint(t):
+    return O.fingerprint(t("documents").select("source", F.col("doc_id").cast("string").alias("doc_id"), F.col("n_chars").cast("string").alias("n_chars")), ["doc_id", "n_chars"], "source")
