@@ -149,11 +149,12 @@ def repeated_bytes(docs: DataFrame, size: int = 50, group_rows: int = 20000, id_
     copies = stage(ids.join(first, "digest").where((F.col("doc_id") != F.col("rep")) & (F.col("n_bytes") >= size)).select("doc_id", "digest", "n_bytes"), "rep-copies")
 
     # one shuffle of the texts, by id; both later joins find them in place
-    own = t.withColumn("digest", F.md5("bytes")).join(copies.select("doc_id", "digest").distinct(), ["doc_id", "digest"], "left_anti")
     name = f"lakelens_repeats_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = own.select("doc_id", F.xxhash64("digest").alias("h"), "bytes")
-    own.repartition(buckets, "doc_id").write.option("compression", "zstd").bucketBy(buckets, "doc_id").saveAsTable(name, format="parquet")
+    gone = copies.groupBy("doc_id").agg(F.collect_set("digest").alias("gone"))
+    own = t.repartition(buckets, "doc_id").join(gone, "doc_id", "left").withColumn("digest", F.md5("bytes"))
+    own = own.where(~F.coalesce(F.array_contains("gone", F.col("digest")), F.lit(False))).select("doc_id", F.xxhash64("digest").alias("h"), "bytes")
+    own.write.option("compression", "zstd").bucketBy(buckets, "doc_id").saveAsTable(name, format="parquet")
     texts = spark.table(name)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
