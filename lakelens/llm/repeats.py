@@ -54,12 +54,13 @@ def packed(data: np.ndarray, size: int) -> list[np.ndarray]:
     return [one[8 * j : 8 * j + len(data)] for j in range(-(-size // 8))]
 
 
-def two_stage_suffixes(data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def two_stage_suffixes(data: np.ndarray, size: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The suffix array of data to a depth of at least `size` bytes, and adjacent common prefixes up to `size`.
 
     Suffixes smaller than their successor are sorted directly. The others are induced: taking first bytes in rising
     order, a larger one's place among its byte's follows its successor's, which stands in an earlier bucket or,
-    in a run of one byte, just before; in each bucket they precede those sorted directly.
+    in a run of one byte, just before; in each bucket they precede those sorted directly. wanted limits the array to
+    some suffixes and those from which they are induced.
     """
     n = len(data)
     if not n:
@@ -70,16 +71,25 @@ def two_stage_suffixes(data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndar
     end = change[np.searchsorted(change, np.arange(n))]
     smaller = np.append(data, 0)[end + 1] > data
     smaller[end == n - 1] = False
-    b = np.flatnonzero(smaller)
+    need = np.ones(n, bool)
+    if wanted is not None:
+        direct_at = np.flatnonzero(smaller)
+        last = np.flatnonzero(wanted & ~np.append(wanted[1:], False))
+        stop = np.append(direct_at, n - 1)[np.searchsorted(direct_at, last)]
+        edge = np.zeros(n + 1, np.int64)
+        np.add.at(edge, last, 1)
+        np.subtract.at(edge, stop + 1, 1)
+        need = wanted | (np.cumsum(edge[:-1]) > 0)
+    b = np.flatnonzero(smaller & need)
     b = b[np.lexsort([k[b] for k in reversed(keys)])]
     rank = np.zeros(n + 1, np.int64)
-    size_of = np.bincount(data, minlength=256)
+    size_of = np.bincount(data[need], minlength=256)
     begin = np.cumsum(size_of) - size_of
     direct = np.bincount(data[b], minlength=256)
     first_b = np.cumsum(direct) - direct
     rank[b] = begin[data[b]] + (size_of - direct)[data[b]] + np.arange(len(b)) - first_b[data[b]]
     rank[n] = -1
-    a = np.flatnonzero(~smaller)
+    a = np.flatnonzero(~smaller & need)
     run = end[a] - a
     order = np.lexsort([run, data[a]])
     a, run = a[order], run[order]
@@ -92,8 +102,10 @@ def two_stage_suffixes(data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndar
             x = x[np.argsort(rank[x + 1], kind="stable")]
             rank[x] = at + np.arange(len(x))
             at += len(x)
+    places = np.flatnonzero(need)
+    n = len(places)
     sa = np.empty(n, np.int64)
-    sa[rank[:n]] = np.arange(n)
+    sa[rank[places]] = places
     common, open_ = np.zeros(n, np.int64), np.ones(n, bool)
     open_[0] = False
     for k in keys:
@@ -120,7 +132,7 @@ def least_owner(snippets: list[bytes], counts: np.ndarray, owners: np.ndarray, s
     number = np.full(len(data), -1, np.int64)
     number[start] = np.arange(len(start))
     owner = np.repeat(owners, counts)
-    sa, common = two_stage_suffixes(data, size)
+    sa, common = two_stage_suffixes(data, size, number >= 0)
     # strings that start in order of suffixes; a new class wherever a common prefix in between is short
     klass = np.cumsum(common < size)
     own = number[sa] >= 0
@@ -170,17 +182,21 @@ def repeated_bytes(docs: DataFrame, size: int = 50, group_rows: int = 20000, id_
     wanted = stage(seen.join(shared, "fp").groupBy("doc_id").agg(F.collect_set("fp").alias("fps")), "rep-anchors")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt = lambda fp, row: mix64(fp ^ (row.astype(np.uint64) * P))
         for batch in batches:
             (data, offsets), doc, h = bytes_of(batch.column("bytes")), batch.column("doc_id").to_numpy(), batch.column("h").to_numpy()
-            for i in range(len(doc)):
-                raw = data[offsets[i] : offsets[i + 1]]
-                _, start, count, fp = anchors(raw, np.array([0, len(raw)]), size)
-                on = np.isin(fp, batch.column("fps")[i].values.to_numpy().view(np.uint64))
-                start, count, fp = start[on], count[on], fp[on]
-                raw = raw.tobytes()
-                snippets = [raw[s : s + c + size - 1] for s, c in zip(start, count, strict=True)]
-                k = len(fp)
-                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(np.full(k, doc[i])), pa.array(np.full(k, h[i])), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(snippets, pa.binary())], ["fp", "doc_id", "h", "start", "count", "snippet"])
+            lists = batch.column("fps")
+            known = salt(lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy())))
+            for lo, hi in pieces(offsets, 1 << 21):
+                text, start, count, fp = anchors(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
+                on = np.isin(salt(fp, lo + text), known)
+                text, start, count, fp = lo + text[on], start[on] + offsets[lo], count[on], fp[on]
+                raw = data[offsets[lo] : offsets[hi]].tobytes()
+                for s in range(0, len(fp), 20_000):
+                    x = slice(s, s + 20_000)
+                    snippets = [raw[p : p + c + size - 1] for p, c in zip((start[x] - offsets[lo]).tolist(), count[x].tolist(), strict=True)]
+                    own = (start[x] - offsets[text[x]]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(fp[x].view(np.int64)), pa.array(doc[text[x]]), pa.array(h[text[x]]), pa.array(own), pa.array(count[x].astype(np.int32)), pa.array(snippets, pa.binary())], ["fp", "doc_id", "h", "start", "count", "snippet"])
 
     cuts = texts.join(wanted, "doc_id").select("doc_id", "h", "bytes", "fps").mapInArrow(cut, "fp long, doc_id long, h long, start int, count int, snippet binary")
     cuts = stage(cuts.withColumn("sid", F.xxhash64("snippet")), "rep-cuts")
