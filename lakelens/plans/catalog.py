@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakelens.functions import scalar as S
 from lakelens.operators import aggregates as A
+from lakelens.operators import catalogue as K
 from lakelens.operators import cleaning as C
 from lakelens.operators import inference as I
 from lakelens.operators import joins as J
@@ -16,6 +17,7 @@ from lakelens.operators import observe as O
 from lakelens.operators import profile as R
 from lakelens.operators import search as X
 from lakelens.operators import timeseries as N
+from lakelens.sources import text as TX
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -608,3 +610,113 @@ def day_counters(t):
 @query("select source, sha256(string_agg(r, chr(10) order by r)) as fingerprint from (select source, doc_id || '|' || n_chars as r from documents) group by 1")
 def folder_fingerprint(t):
     return O.fingerprint(t("documents").select("source", F.col("doc_id").cast("string").alias("doc_id"), F.col("n_chars").cast("string").alias("n_chars")), ["doc_id", "n_chars"], "source")
+
+
+@query("select doc_id from documents where lang in ('de', 'es') or source = 'src3'")
+def tags_any(t):
+    return K.with_any_tag(t("documents").select("doc_id", F.array("lang", "source").alias("tags")), "tags", ["de", "es", "src3"]).select("doc_id")
+
+
+@query("select doc_id from documents where contains(lower(source), 'c1') or contains(lang, 'c1')")
+def tags_part(t):
+    return K.with_tag_part(t("documents").select("doc_id", F.array("lang", "source").alias("tags")), "tags", "C1").select("doc_id")
+
+
+@query("select page_id from pages where lower(regexp_extract(regexp_extract(url, '^[^?#]*'), '\\.([^./]+)$', 1)) in ('com', 'html', 'php') or contains(lower(url), '/en/')")
+def path_filters(t):
+    p = t("pages").select("page_id", F.regexp_extract("url", "^[^?#]*", 0).alias("path"), "url")
+    return p.where(K.filters(["com", "HTML", ".php"]) | K.filters(path_part="/EN/", path="url")).select("page_id")
+
+
+@query("select event_id from events where ts >= timestamp '2024-01-05' and ts <= timestamp '2024-01-07 12:00:00'")
+def date_filter(t):
+    e = t("events").select("event_id", F.col("ts").cast("timestamp").alias("modified"))
+    return e.where(K.filters(after=F.to_timestamp(F.lit("2024-01-05")), before=F.to_timestamp(F.lit("2024-01-07 12:00:00")))).select("event_id")
+
+
+@query("select count(*) as rows, count(l.doc_id) as tagged, count(*) - count(l.doc_id) as untagged, round(100 * count(l.doc_id) / count(*), 2) as percent from documents d left join (select distinct doc_id from labels) l using (doc_id)")
+def tag_coverage(t):
+    return K.tag_coverage(t("documents").select("doc_id"), t("labels").select("doc_id", F.col("quality").cast("string").alias("tag")), "doc_id")
+
+
+@query("select strftime(o_orderdate, '%Y-%m') as month, count(*) as n from orders group by 1")
+def counts_by_month(t):
+    return K.by_month(t("orders"), "o_orderdate")
+
+
+@query("select doc_id, source from documents where doc_id not in (select doc_id from labels where toxic = 1)")
+def delete_paths(t):
+    return K.delete_paths(t("documents").select("doc_id", "source"), t("labels").where("toxic = 1"), "doc_id")
+
+
+@query("select c_custkey, c_acctbal from customer where c_custkey % 4 <> 0 union all select c_custkey, -1.0::double from customer where c_custkey % 4 = 0")
+def upsert(t):
+    c = t("customer").select("c_custkey", "c_acctbal")
+    return K.upsert(c, c.where("c_custkey % 4 = 0").withColumn("c_acctbal", F.lit(-1.0)), "c_custkey")
+
+
+@query("select min(doc_id) as doc_id, md5(text) as hash from documents group by 2")
+def first_occurrences(t):
+    return K.first_occurrences(t("documents").select("doc_id", F.md5("text").alias("hash")), "hash", "doc_id")
+
+
+@query("""
+select l_orderkey, round(sum(l_quantity * l_extendedprice), 2) as net, round(sum(l_quantity * l_extendedprice * l_tax / 100), 2) as tax, round(sum(l_quantity * l_extendedprice) + sum(l_quantity * l_extendedprice * l_tax / 100), 2) as gross,
+ abs(sum(l_quantity * l_extendedprice) + sum(l_quantity * l_extendedprice * l_tax / 100) - any_value(o_totalprice)) < 1 as agrees from lineitem join orders on l_orderkey = o_orderkey group by 1
+""")
+def invoice_totals(t):
+    x = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rounded(K.invoice_totals(x, "l_orderkey", "l_quantity", "l_extendedprice", "l_tax", "o_totalprice"), 2)
+
+
+@query("""
+select 'c' as dataset, 'bal' as variable, c_acctbal::double as value from customer where c_acctbal is not null union all select 'c', 'key', c_nationkey from customer
+union all select 's', 'bal', s_acctbal from supplier union all select 's', 'key', s_nationkey from supplier
+""")
+def long_form(t):
+    c = t("customer").select(F.col("c_acctbal").alias("bal"), F.col("c_nationkey").alias("key"))
+    s = t("supplier").select(F.col("s_acctbal").alias("bal"), F.col("s_nationkey").alias("key"))
+    return K.long_form({"c": c, "s": s}, ["bal", "key"])
+
+
+_NEAR = r"""select key from (select doc_id as key, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as t from documents)
+where len(list_filter(range(1, len(t) + 1), lambda i: t[i] = 'of' and len(list_filter(range(greatest(i - 4, 1), least(i + 4, len(t)) + 1), lambda j: t[j] = 'and')) > 0)) > 0"""
+
+
+@query(_NEAR)
+def search_near(t):
+    return X.search(t("documents"), "doc_id", "text", "NEAR(of and, 3)").select("key")
+
+
+@query(r"select doc_id as key from documents where len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: starts_with(x, 'thst'))) > 0")
+def search_prefix(t):
+    return X.search(t("documents"), "doc_id", "text", "thst*").select("key")
+
+
+@query("""
+select page_id, case when contains(lower(url), '/de') then 'german' when regexp_matches(lower(url), '\\d{3}') then 'numbered' when starts_with(lower(url), 'https') then 'secure' else 'other' end as label from pages
+""")
+def classify_paths(t):
+    return t("pages").select("page_id", O.classify("url", [("/de", "german"), (r"\d{3}", "numbered"), ("^https", "secure")], "other").alias("label"))
+
+
+@query("""
+select doc_id, line_no, old, new from (
+ select doc_id, line_no, old, new from (select doc_id, unnest(l) as old, unnest(range(0, len(l))) as line_no from (select doc_id, string_split(text, chr(10)) as l from documents where doc_id < 200)) a
+ full join (select doc_id, unnest(l) as new, unnest(range(0, len(l))) as line_no from (select doc_id, string_split(case when doc_id % 3 = 0 then replace(text, 'the', 'The') else text end, chr(10)) as l from documents where doc_id < 200)) b using (doc_id, line_no))
+where old is distinct from new
+""")
+def compare_lines(t):
+    d = t("documents").where("doc_id < 200").select("doc_id", "text")
+    new = d.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("the"), F.lit("The"))).otherwise(F.col("text")))
+    return O.compare_lines(d, new, "doc_id", "text").select(F.col("key").alias("doc_id"), F.col("line_no").cast("long").alias("line_no"), "old", "new")
+
+
+@query()
+def page_text(t):
+    return t("pages").select("page_id", TX.html_to_text("html").alias("text"))
+
+
+@query()
+def fuzzy_terms(t):
+    return X.vocabulary(t("documents"), "doc_id", "text").withColumn("score", F.round(TX.fuzzy_score("term", "thinking"), 4)).orderBy(F.desc("score"), "term").limit(5)
