@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but space and the controls 0x09 to 0x0D.
@@ -30,7 +30,16 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again: all that was made of them is staged itself."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def word_count(text: Column) -> Column:
@@ -53,9 +62,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", tag: str = "cc") ->
         near = e.join(labels.select(F.col("id").alias("v"), "component"), "v").groupBy(F.col("u").alias("id")).agg(F.min("component").alias("m"))
         step = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("c"))
         up = labels.select(F.col("id").alias("c"), F.col("component").alias("cc"))
-        labels = stage(step.join(up, "c").select("id", F.least("c", "cc").alias("component"), (F.least("c", "cc") < F.col("old")).alias("moved")), f"{tag}-labels")
+        before, labels = labels, stage(step.join(up, "c").select("id", F.least("c", "cc").alias("component"), (F.least("c", "cc") < F.col("old")).alias("moved")), f"{tag}-labels")
+        discard(before)
         if labels.where("moved").isEmpty():
-            return labels.select("id", "component")
+            discard(e)
+            return labels
+
+
+def merge_components(known: DataFrame, links: DataFrame, tag: str) -> DataFrame:
+    """Components (id, component) after more links (a, b): only the components that the links join are worked on."""
+    side = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    x = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    x = stage(x.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), f"{tag}-joining")
+    top = components(x, "ca", "cb", tag)
+    new = x.select(F.col("a").alias("id")).unionByName(x.select(F.col("b").alias("id"))).distinct().join(known.select("id"), "id", "left_anti")
+    every = known.select("id", "component").unionByName(new.select("id", F.col("id").alias("component")))
+    out = every.join(top.select(F.col("id").alias("component"), F.col("component").alias("t")), "component", "left")
+    out = stage(out.select("id", F.coalesce("t", "component").alias("component")), f"{tag}-components")
+    discard(x, top)
+    return out
 
 
 def remainder(id_col: str, n: int) -> Column:
@@ -68,42 +93,60 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text.cast("binary"), F.lit(b"").cast("binary"))
 
 
-def link_buckets(entries: DataFrame, verify, tag: str) -> tuple[DataFrame, DataFrame]:
-    """Verified links among ids that share a bucket, and their components.
+def link_buckets(entries: DataFrame, load, verify, tag: str, small: int = 8, splits: int = 2) -> DataFrame:
+    """Components of the verified links among ids that share a bucket.
 
-    entries: (bucket, id), an id at most once a bucket. verify: pairs (a, b) to the links among them, staged.
-    Returns links (a, b) and components (id, component).
+    entries: (bucket, id), an id at most once a bucket. load: a table (id) to (id, payload), called once with the
+    ids that share a bucket at all. verify: pairs (a, b, pa, pb) with both payloads to the links (a, b) among them.
+    Returns the components of the links (id, component).
 
-    First every member is compared with its bucket's least id. Buckets whose members still lie in several
-    components go on: their next 1, 2, 4, ... members in order of id are compared with all later members of
-    other components, until each bucket is one component or all its pairs across components were compared. So no
-    link between components is lost, while a bucket of n like texts costs about n pairs and not their square.
+    Every member is compared with its bucket's least id. Where a bucket's members still lie in several components,
+    a bucket of up to `small` members has all its pairs across components compared. A larger one holds unlike texts with a
+    common part (a third of the table may share a passage); it is split by its members' other buckets, so that
+    only ids that share one bucket more stay together, and each part is treated alike, `splits` times; parts that
+    are large even then have their members compared with their least id alone. The pairs compared so grow with the
+    members and not with the square of a bucket.
     """
+    entries = entries.repartition("bucket")  # dealt once, for the count and for the join
     n = entries.groupBy("bucket").agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
     entries = stage(entries.join(n, "bucket"), f"{tag}-entries")
-    links = verify(entries.where("id <> p").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct())
+    payload = stage(load(entries.select("id").distinct()), f"{tag}-payload")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.distinct().join(payload.toDF("a", "pa"), "a").join(payload.toDF("b", "pb"), "b")
+        return stage(verify(pairs.select("a", "b", "pa", "pb")), f"{tag}-links")
+
+    with_least = lambda x: x.where("id <> p").select(F.col("p").alias("a"), F.col("id").alias("b"))
+    links = checked(with_least(entries))
     comp = components(links, tag=tag)
-    ranked, done = None, 1
-    while True:
-        base = entries if ranked is None else ranked
-        seen = base.where(F.col("n") > done).join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    discard(links)
+    level = entries
+    for split in range(splits + 1):
+        used = F.col("used") if split else F.array("bucket")
+        seen = level.withColumn("used", used).join(comp.select("id", "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         open_ = seen.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-        seen = seen.join(open_, "bucket", "left_semi")
-        if ranked is None:
-            ranked = stage(seen.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("id"))), f"{tag}-open")
-            seen = ranked
-            ranked = ranked.drop("c")
-        else:
-            seen = stage(seen, f"{tag}-open")
+        seen = stage(seen.join(open_, "bucket", "left_semi"), f"{tag}-open")
+        if split:
+            discard(level)
         if seen.isEmpty():
-            return links, comp
-        pivots = seen.where((F.col("r") > done) & (F.col("r") <= 2 * done)).select("bucket", F.col("id").alias("a"), F.col("r").alias("_r"), F.col("c").alias("_c"))
-        pairs = seen.join(pivots, "bucket").where((F.col("r") > F.col("_r")) & (F.col("c") != F.col("_c")))
-        more = verify(pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
+            break
+        few = seen.where(F.col("n") <= small).select("bucket", "id", "c")
+        pairs = few.select("bucket", F.col("id").alias("a"), F.col("c").alias("ca")).join(few.select("bucket", F.col("id").alias("b"), F.col("c").alias("cb")), "bucket")
+        pairs = pairs.where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b")
+        if split < splits:
+            finer = seen.where(F.col("n") > small).select("id", "used").join(entries.select("id", F.col("bucket").alias("other")), "id")
+            finer = finer.where(~F.array_contains("used", F.col("other"))).select("id", F.array_sort(F.array_append("used", F.col("other"))).alias("used"))
+            finer = finer.select(F.xxhash64("used").alias("bucket"), "id", "used").distinct().repartition("bucket")
+            n = finer.groupBy("bucket").agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
+            level = stage(finer.join(n, "bucket"), f"{tag}-level")
+            pairs = pairs.unionByName(with_least(level))
+        more = checked(pairs)
         if not more.isEmpty():
-            links = stage(links.unionByName(more).distinct(), f"{tag}-links")
-            comp = components(links, tag=tag)
-        done *= 2
+            before, comp = comp, merge_components(comp, more, tag)
+            discard(before)
+        discard(seen, more)
+    discard(entries, payload)
+    return comp
 
 
 def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:

@@ -116,11 +116,11 @@ def signatures(docs: DataFrame, band_count: int, band_rows: int, shingle_words:
 
 
 def similar(pairs: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
-    """Of (a, b, ta, tb) the pairs (a, b) whose weighted Jaccard similarity of shingles is at least `similarity`."""
+    """Of (a, b, pa, pb) the pairs (a, b) whose weighted Jaccard similarity of shingles is at least `similarity`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (da, oa), (db, ob) = bytes_of(batch.column("ta")), bytes_of(batch.column("tb"))
+            (da, oa), (db, ob) = bytes_of(batch.column("pa")), bytes_of(batch.column("pb"))
             ok = np.zeros(batch.num_rows, bool)
             for lo, hi in pieces(oa + ob):
                 (ea, wa), (eb, wb) = (elements(*words(d[o[lo] : o[hi]], o[lo : hi + 1] - o[lo]), shingle_words) for d, o in ((da, oa), (db, ob)))
@@ -133,13 +133,13 @@ def similar(pairs: DataFrame, similarity: float, shingle_words: int) -> DataFram
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, band_count: int = 24, band_rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, band_count: int = 30, band_rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, kept) of every row: class_id is the least doc_id of its class, kept whether it is its own.
 
     Words are runs without white space, A-Z lower-cased; a document is the multiset of its runs of shingle_words
     words. Two documents are linked if that weighted Jaccard similarity is at least `similarity`; classes are the
     components of the links. Equal texts are one entry before anything is compared. Candidates share a band of
-    their DartMinHash signatures (a pair at 0.8 has one with probability 0.999997) and are verified on whole texts.
+    their DartMinHash signatures (a pair at 0.8 has one with probability 0.9999) and are verified on whole texts.
 
     Documents without a word, null text included, are their own class. A null doc_id has a null class and is kept.
     Rows that repeat each have their row. An empty table gives an empty result; other columns are ignored.
@@ -152,15 +152,11 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5
     members = stage(some.select("id", "digest").join(reps, "digest").select("id", "rep").distinct(), "near-members")
     entries = members.where("id = rep").select("id").join(some.select("id", "bands"), "id").select(F.explode("bands").alias("bucket"), "id").distinct()
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = stage(pairs, "near-pairs")
-        wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        text = stage(t.join(wanted, "id", "left_semi").select("id", utf8(F.col("text")).alias("t")), "near-texts").dropDuplicates(["id"])
-        joined = pairs.join(text.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(text.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-        return stage(similar(joined, similarity, shingle_words), "near-links")
+    def load(ids: DataFrame) -> DataFrame:
+        return t.join(ids, "id", "left_semi").select("id", utf8(F.col("text")).alias("t")).dropDuplicates(["id"])
 
-    _, comp = link_buckets(entries, verify, "near")
-    classes = members.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
+    comp = link_buckets(entries, load, lambda pairs: similar(pairs, similarity, shingle_words), "near")
+    classes = members.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
     classes = classes.groupBy("id").agg(F.min("class_id").alias("class_id"))
     out = t.select("id").join(classes, "id", "left")
     class_id = F.coalesce("class_id", "id")

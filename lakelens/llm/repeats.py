@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakelens.llm.arrow import P, P_INV, bytes_of, mix64, powers
-from lakelens.llm.common import stage, utf8
+from lakelens.llm.common import discard, stage, utf8
 from lakelens.llm.nearcopies import pieces
 
 #: Bytes of an anchor; a string of `size` bytes holds size - GRAM + 1 of them.
@@ -201,6 +201,8 @@ def repeated_bytes(docs: DataFrame, size: int = 50, group_rows: int = 20000, id_
     cuts = texts.join(wanted, "doc_id").select("doc_id", "h", "bytes", "fps").mapInArrow(cut, "fp long, doc_id long, h long, start int, count int, snippet binary")
     cuts = stage(cuts.withColumn("sid", F.xxhash64("snippet")), "rep-cuts")
     unique = stage(cuts.groupBy("fp", "sid").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.first("count").alias("count"), F.first("snippet").alias("snippet")), "rep-snippets")
+    at = stage(cuts.select("fp", "sid", "doc_id", "h", "start"), "rep-places")
+    discard(wanted, cuts)
     groups = max(1, -(-unique.count() // group_rows))
 
     def sort(x: pd.DataFrame) -> pd.DataFrame:
@@ -209,11 +211,12 @@ def repeated_bytes(docs: DataFrame, size: int = 50, group_rows: int = 20000, id_
         return pd.DataFrame({"fp": x["fp"], "sid": x["sid"], "least": least})[useful]
 
     owners = unique.groupBy(F.pmod(F.xxhash64("fp"), F.lit(groups)).alias("g")).applyInPandas(sort, "fp long, sid long, least array<long>")
-    hit = cuts.select("fp", "sid", "doc_id", "h", "start").join(owners, ["fp", "sid"])
+    hit = at.join(owners, ["fp", "sid"])
     places = F.filter(F.transform("least", lambda m, i: F.when(m < F.col("doc_id"), F.col("start") + i)), lambda p: p.isNotNull())
     # a snippet's strings to remove, as runs: a place whose predecessor is not one begins a run
     runs = hit.withColumn("p", places).where(F.size("p") > 0)
     runs = runs.groupBy("doc_id", "h").agg(F.flatten(F.collect_list("p")).alias("starts"))
+    runs = runs.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("h", "starts"))).alias("runs"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +235,9 @@ def repeated_bytes(docs: DataFrame, size: int = 50, group_rows: int = 20000, id_
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    kept = texts.join(stage(runs, "rep-runs"), ["doc_id", "h"], "left").select("doc_id", "bytes", "starts")
+    runs = stage(runs, "rep-runs")
+    discard(unique, at)
+    kept = texts.join(runs, "doc_id", "left").select("doc_id", "bytes", F.try_element_at("runs", F.col("h")).alias("starts"))
     kept = kept.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     empty = F.lit(hashlib.sha256(b"").hexdigest())
     return kept.unionByName(copies.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), empty.alias("kept_sha256")))
