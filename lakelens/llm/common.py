@@ -93,59 +93,58 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text.cast("binary"), F.lit(b"").cast("binary"))
 
 
-def link_buckets(entries: DataFrame, load, verify, tag: str, small: int = 8, splits: int = 2) -> DataFrame:
-    """Components of the verified links among ids that share a bucket.
-
-    entries: (bucket, id), an id at most once a bucket. load: a table (id) to (id, payload), called once with the
-    ids that share a bucket at all. verify: pairs (a, b, pa, pb) with both payloads to the links (a, b) among them.
-    Returns the components of the links (id, component).
-
-    Every member is compared with its bucket's least id. Where a bucket's members still lie in several components,
-    a bucket of up to `small` members has all its pairs across components compared. A larger one holds unlike texts with a
-    common part (a third of the table may share a passage); it is split by its members' other buckets, so that
-    only ids that share one bucket more stay together, and each part is treated alike, `splits` times; parts that
-    are large even then have their members compared with their least id alone. The pairs compared so grow with the
-    members and not with the square of a bucket.
+def link_buckets(entries: DataFrame, load, verify, tag: str, ratio: float = 0.0, stars: int = 2, block: int = 64) -> DataFrame:
+    """Components of the verified links among ids that share a bucket; no pair is left out.
+
+    entries: (bucket, id, size), an id at most once a bucket; a pair whose smaller size is under `ratio` times the
+    larger cannot be a link. load: a table (id) to (id, payload), called once with the ids that share a bucket at
+    all. verify: pairs (a, b, pa, pb) with both payloads to the links (a, b) among them. Returns the components of
+    the links (id, component).
+
+    In a round each bucket's members are compared with a pivot, the one that meets most others over all its buckets:
+    an original meets its copies more often than they meet each other. The pivot has then met its whole bucket and
+    leaves it, and buckets whose other members are in one component are done. What is open after `stars` rounds has
+    all its pairs across components compared, dealt by pairs of blocks of about `block` members, so that no task
+    holds a bucket. That last step grows with the square of the members that stay unlike.
     """
     entries = entries.repartition("bucket")  # dealt once, for the count and for the join
-    n = entries.groupBy("bucket").agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    entries = stage(entries.join(n, "bucket"), f"{tag}-entries")
-    payload = stage(load(entries.select("id").distinct()), f"{tag}-payload")
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.distinct().join(payload.toDF("a", "pa"), "a").join(payload.toDF("b", "pb"), "b")
-        return stage(verify(pairs.select("a", "b", "pa", "pb")), f"{tag}-links")
-
-    with_least = lambda x: x.where("id <> p").select(F.col("p").alias("a"), F.col("id").alias("b"))
-    links = checked(with_least(entries))
-    comp = components(links, tag=tag)
-    discard(links)
-    level = entries
-    for split in range(splits + 1):
-        used = F.col("used") if split else F.array("bucket")
-        seen = level.withColumn("used", used).join(comp.select("id", "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        open_ = seen.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-        seen = stage(seen.join(open_, "bucket", "left_semi"), f"{tag}-open")
-        if split:
-            discard(level)
-        if seen.isEmpty():
+    n = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = stage(entries.join(n, "bucket"), f"{tag}-shared")
+    reach = shared.groupBy("id").agg((-F.sum("n")).alias("reach"))
+    level = stage(shared.drop("n").join(reach, "id").withColumn("c", F.col("id")), f"{tag}-open")
+    payload = stage(load(shared.select("id").distinct()), f"{tag}-payload")
+    discard(shared)
+    comp = None
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The components after the links among pairs (a, sa, ca, b, sb, cb)."""
+        pairs = pairs.where((F.col("ca") != F.col("cb")) & (F.least("sa", "sb") >= F.lit(ratio) * F.greatest("sa", "sb")))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.join(payload.toDF("a", "pa"), "a").join(payload.toDF("b", "pb"), "b")
+        links = stage(verify(pairs.select("a", "b", "pa", "pb")), f"{tag}-links")
+        after = components(links, tag=tag) if comp is None else merge_components(comp, links, tag)
+        discard(links, *([] if comp is None else [comp]))
+        return after
+
+    side = lambda s: [F.col("id").alias(s), F.col("size").alias(f"s{s}"), F.col("c").alias(f"c{s}")]
+    for _ in range(stars):
+        pivot = level.groupBy("bucket").agg(F.min(F.struct("reach", "id", "size", "c")).alias("p"))
+        met = level.join(pivot, "bucket").where("id <> p.id")
+        comp = linked(met.select(*side("a"), F.col("p.id").alias("b"), F.col("p.size").alias("sb"), F.col("p.c").alias("cb")))
+        rest = met.select("bucket", "id", "size", "reach").join(comp.select("id", "component"), "id", "left")
+        rest = rest.select("bucket", "id", "size", "reach", F.coalesce("component", "id").alias("c"))
+        open_ = rest.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
+        before, level = level, stage(rest.join(open_, "bucket", "left_semi"), f"{tag}-open")
+        discard(before)
+        if level.isEmpty():
             break
-        few = seen.where(F.col("n") <= small).select("bucket", "id", "c")
-        pairs = few.select("bucket", F.col("id").alias("a"), F.col("c").alias("ca")).join(few.select("bucket", F.col("id").alias("b"), F.col("c").alias("cb")), "bucket")
-        pairs = pairs.where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b")
-        if split < splits:
-            finer = seen.where(F.col("n") > small).select("id", "used").join(entries.select("id", F.col("bucket").alias("other")), "id")
-            finer = finer.where(~F.array_contains("used", F.col("other"))).select("id", F.array_sort(F.array_append("used", F.col("other"))).alias("used"))
-            finer = finer.select(F.xxhash64("used").alias("bucket"), "id", "used").distinct().repartition("bucket")
-            n = finer.groupBy("bucket").agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
-            level = stage(finer.join(n, "bucket"), f"{tag}-level")
-            pairs = pairs.unionByName(with_least(level))
-        more = checked(pairs)
-        if not more.isEmpty():
-            before, comp = comp, merge_components(comp, more, tag)
-            discard(before)
-        discard(seen, more)
-    discard(entries, payload)
+    else:
+        n = level.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).alias("n"))
+        dealt = level.join(n, "bucket").withColumn("i", F.pmod(F.xxhash64("id"), "n")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        x = dealt.where("i <= j").select("bucket", "i", "j", *side("a"))
+        y = dealt.where("j <= i").select("bucket", F.col("j").alias("i"), F.col("i").alias("j"), *side("b"))
+        comp = linked(x.join(y, ["bucket", "i", "j"]).where("i < j or a < b"))
+    discard(level, payload)
     return comp
 
 

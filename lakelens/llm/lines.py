@@ -56,7 +56,7 @@ def line_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id
     keyed = lines.select("id", "doc_id", "line_no", sketch(F.col("line")).alias("sketch")).withColumn("bands", bands(F.col("sketch")))
     place = F.struct(F.col("doc_id").isNull().alias("_n"), "doc_id", "line_no")
     where = stage(keyed.groupBy("id").agg(F.min(place).alias("place"), F.first("bands").alias("bands")), "lines-ids")
-    entries = where.select(F.explode(F.array_distinct("bands")).alias("bucket"), "id")
+    entries = where.select(F.explode(F.array_distinct("bands")).alias("bucket"), "id", F.lit(1).alias("size"))
 
     def load(ids: DataFrame) -> DataFrame:
         return lines.select("id", "line").join(ids, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))

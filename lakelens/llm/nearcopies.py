@@ -92,7 +92,7 @@ def pieces(offsets: np.ndarray, size: int = 1 << 22) -> Iterator[tuple[int, int]
 
 
 def signatures(docs: DataFrame, band_count: int, band_rows: int, shingle_words: int) -> DataFrame:
-    """(id, digest) to (id, digest, bands array<long>): the banded DartMinHash signature, null without words."""
+    """(id, digest) to (id, digest, bands array<long>, size): the banded DartMinHash signature, null without words, and the number of shingles."""
     k = band_count * band_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,6 +100,7 @@ def signatures(docs: DataFrame, band_count: int, band_rows: int, shingle_words:
             data, offsets = bytes_of(batch.column("bytes"))
             n = batch.num_rows
             keys, some = np.zeros((n, band_count), np.int64), np.zeros(n, bool)
+            size = np.zeros(n, np.int64)
             for lo, hi in pieces(offsets):
                 h, counts = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 e, w = elements(h, counts, shingle_words)
@@ -108,11 +109,12 @@ def signatures(docs: DataFrame, band_count: int, band_rows: int, shingle_words:
                 for r in range(band_rows):
                     key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
                 keys[lo:hi], some[lo:hi] = key.view(np.int64), counts > 0
+                size[lo:hi] = np.where(counts < shingle_words, np.minimum(counts, 1), counts - shingle_words + 1)
             flat = pa.array(keys.ravel())
             at = pa.array(np.arange(n + 1, dtype=np.int32) * band_count, mask=np.append(~some, False))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.ListArray.from_arrays(at, flat)], ["id", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.ListArray.from_arrays(at, flat), pa.array(size)], ["id", "digest", "bands", "size"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, digest string, bands array<long>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, digest string, bands array<long>, size long")
 
 
 def similar(pairs: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
@@ -150,12 +152,13 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5
     some = sig.where("bands is not null")
     reps = some.groupBy("digest").agg(F.min("id").alias("rep"))
     members = stage(some.select("id", "digest").join(reps, "digest").select("id", "rep").distinct(), "near-members")
-    entries = members.where("id = rep").select("id").join(some.select("id", "bands"), "id").select(F.explode("bands").alias("bucket"), "id").distinct()
+    entries = members.where("id = rep").select("id").join(some.select("id", "bands", "size"), "id").select(F.explode("bands").alias("bucket"), "id", "size")
+    entries = entries.dropDuplicates(["bucket", "id"])
 
     def load(ids: DataFrame) -> DataFrame:
         return t.join(ids, "id", "left_semi").select("id", utf8(F.col("text")).alias("t")).dropDuplicates(["id"])
 
-    comp = link_buckets(entries, load, lambda pairs: similar(pairs, similarity, shingle_words), "near")
+    comp = link_buckets(entries, load, lambda pairs: similar(pairs, similarity, shingle_words), "near", similarity)
     classes = members.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
     classes = classes.groupBy("id").agg(F.min("class_id").alias("class_id"))
     out = t.select("id").join(classes, "id", "left")

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakelens.llm import language_model, langid, lines, media, mixing, nearcopies, packing, repeats, secrets, vectors
-from lakelens.llm.common import components
+from lakelens.llm.common import components, link_buckets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, id string, key string"
 WORDS = [a + b for a in "ba co di fu ge ha".split() for b in "lan mer nit por rus sel tov".split()]
@@ -152,6 +152,28 @@ def test_near_copies_against_brute_force(spark):
     assert {r.doc_id: r.class_id for r in nearcopies.near_copies(table(spark, rows)).collect()} == closure(sets, links)
 
 
+def test_every_pair_of_a_bucket_is_met(spark):
+    place = random.Random(6).sample(range(90), 90)  # a chain in one large bucket, its ids in any order
+    entries = spark.createDataFrame([(b, i, 1) for b in (1, 2, 3) for i in range(90)], "bucket long, id long, size int")
+    load = lambda ids: ids.join(spark.createDataFrame(list(enumerate(place)), "id long, at long"), "id")
+    for block in (8, 64):
+        got = link_buckets(entries, load, lambda p: p.where("abs(pa - pb) = 1").select("a", "b"), "test", block=block)
+        assert {(r.id, r.component) for r in got.collect()} == {(i, 0) for i in range(90)}
+
+
+def test_copies_that_only_an_original_links(spark):
+    rng = random.Random(12)
+    original = prose(rng, 304).split()
+    rows = []
+    for i in range(150):
+        w = list(original)
+        for j in rng.sample(range(304), 6) if i != 70 else []:
+            w[j] = f"changed{i}x{j}"
+        rows.append((i, " ".join(w), "en", "a"))
+    got = Counter(r.class_id for r in nearcopies.near_copies(table(spark, rows)).collect())
+    assert got[0] == 150
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(4)
     e = np.arange(300, dtype=np.uint64) * np.uint64(7919)
