@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lakelens.llm.common import link_buckets, stage
 
-#: Characters of a verified shingle; characters of a signature shingle; hashes in a sketch; hashes in a band.
-SHINGLE, LONG, SKETCH, RUN = 5, 8, 12, 3
+#: Characters of a shingle; bands of a signature and hashes in a band: a pair at 0.8 shares a band with probability 0.993.
+SHINGLE, BANDS, ROWS = 5, 7, 3
 
 
 def shingles(line: Column) -> Column:
@@ -18,23 +18,10 @@ def shingles(line: Column) -> Column:
     return F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))
 
 
-def sketch(line: Column) -> Column:
-    """MinHash sketch: the SKETCH least hashes of the runs of LONG characters that begin a word, sorted.
-
-    A word is a run of ASCII letters; any other character stands for itself, so that text without spaces has all
-    its runs.
-    """
-    grams = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{1,{LONG}}}))(?:[A-Za-z]++ ?+|.)"), F.lit(1))
-    return F.slice(F.sort_array(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))), 1, SKETCH)
-
-
-def bands(s: Column) -> Column:
-    """Keys of a sketch's runs of RUN neighbouring hashes; a shorter sketch is one run.
-
-    Hashes that only one of two lines has fall between the others, so a run that both have whole gives both its key.
-    """
-    starts = F.sequence(F.lit(1), F.greatest(F.size(s) - RUN + 1, F.lit(1)))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(s, i, RUN)))
+def bands(grams: Column) -> Column:
+    """Keys of the bands of a set's MinHash signature: one hash function for each of the BANDS x ROWS coordinates."""
+    least = lambda k: F.array_min(F.transform(grams, lambda g: F.xxhash64(g, F.lit(k))))
+    return F.array(*[F.xxhash64(F.lit(b), *[least(b * ROWS + r) for r in range(ROWS)]) for b in range(BANDS)])
 
 
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -49,24 +36,24 @@ def line_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id
 
     Equal lines (trimmed) share an id, counted before any comparison, so a line that fills a third of the table is
     one entry. Lines whose sets of runs of SHINGLE characters have Jaccard similarity of at least `similarity` are
-    linked, found by banded MinHash and verified exactly; classes are the components of the links.
+    linked, found by banded MinHash over those same sets and verified exactly; classes are the components of the links.
     """
     lines = split_lines(docs, id_col, text_col).where("id is not null")
-    # sketch and bands are columns of their own: each is referred to often and must be computed once
-    keyed = lines.select("id", "doc_id", "line_no", sketch(F.col("line")).alias("sketch")).withColumn("bands", bands(F.col("sketch")))
     place = F.struct(F.col("doc_id").isNull().alias("_n"), "doc_id", "line_no")
-    where = stage(keyed.groupBy("id").agg(F.min(place).alias("place"), F.first("bands").alias("bands")), "lines-ids")
-    entries = where.select(F.explode(F.array_distinct("bands")).alias("bucket"), "id", F.lit(1).alias("size"))
+    where = stage(lines.groupBy("id").agg(F.min(place).alias("place"), F.first("line").alias("line")), "lines-ids")
+    # the shingles are a column of their own: they are referred to often and must be computed once
+    signed = where.select("id", shingles(F.col("line")).alias("grams")).select("id", F.size("grams").alias("size"), bands(F.col("grams")).alias("bands"))
+    entries = signed.select(F.explode(F.array_distinct("bands")).alias("bucket"), "id", "size")
 
     def load(ids: DataFrame) -> DataFrame:
-        return lines.select("id", "line").join(ids, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
+        return where.select("id", "line").join(ids, "id", "left_semi")
 
     def verify(pairs: DataFrame) -> DataFrame:
         x = pairs.select("a", "b", shingles(F.col("pa")).alias("sa"), shingles(F.col("pb")).alias("sb"))
         x = x.withColumn("both", F.size(F.array_intersect("sa", "sb")))
         return x.where(F.col("both") >= similarity * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
 
-    comp = link_buckets(entries, load, verify, "lines")
+    comp = link_buckets(entries, load, verify, "lines", similarity)
     x = where.join(comp.select("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"), "place")
     least = x.groupBy("component").agg(F.min("place").alias("first"))
     return x.join(least, "component").select("id", "component", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"))

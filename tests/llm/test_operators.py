@@ -309,6 +309,22 @@ def test_lines_against_brute_force(spark):
     assert wrong <= 3 and all(set(got[i]) <= set(want[i]) for i in want)
 
 
+def test_lines_of_every_length_meet(spark):
+    rng = random.Random(21)
+    grams = lambda s: Counter({s[j : j + 5] for j in range(max(1, len(s) - 4))})
+    pairs = []
+    for n in (1, 2, 3, 4, 6, 8, 12, 20):
+        while sum(p[0] == n for p in pairs) < 200:
+            a = "".join(rng.choice("abcdefghij") for _ in range(8)) + " " + prose(rng, n - 1) if n > 1 else "".join(rng.choice("abcdefghij") for _ in range(9))
+            i = rng.randrange(len(a))
+            b = rng.choice([a + ".", a + "!", a[:i] + "x" + a[i + 1 :]])
+            if jaccard(grams(a), grams(b)) >= 0.8:
+                pairs.append((n, a, b))
+    x = spark.createDataFrame([(n, i, a, b) for i, (n, a, b) in enumerate(pairs)], "n int, i int, a string, b string")
+    x = x.select("n", lines.shingles(F.col("a")).alias("a"), lines.shingles(F.col("b")).alias("b")).select("n", lines.bands(F.col("a")).alias("a"), lines.bands(F.col("b")).alias("b"))
+    assert all(r.recall >= 0.99 for r in x.groupBy("n").agg(F.avg(F.arrays_overlap("a", "b").cast("double")).alias("recall")).collect())
+
+
 def test_lines_odd_rows(odd, empty):
     got = {r.doc_id: (r.n_lines, r.n_removed) for r in lines.removed_lines(odd).collect()}
     assert got == {1: (1, 0), 2: (1, 0), 3: (2, 0), None: (1, 0), 5: (3, 0), 6: (1, 0)}
