@@ -24,22 +24,28 @@ def bands(grams: Column) -> Column:
     return F.array(*[F.xxhash64(F.lit(b), *[least(b * ROWS + r) for r in range(ROWS)]) for b in range(BANDS)])
 
 
+def text_key(text: Column) -> Column:
+    """With the id, the row's key: rows of one id (or of none) and different texts are told apart. Null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, line_no, line, id): id is the trimmed line's hash, null for blank lines."""
-    x = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("line_no", "raw"))
+    """(doc_id, text_hash, line_no, line, id): id is the trimmed line's hash, null for blank lines."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    x = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_hash"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "raw"))
     x = x.withColumn("line", F.btrim("raw", F.lit(" \t\r")))
     return x.withColumn("id", F.when(F.col("line") != "", F.xxhash64("line")))
 
 
 def line_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component, first_doc, first_line) of every distinct line: its class and the place where it first occurs.
+    """(id, component, first_doc, first_text, first_line) of every distinct line: its class and the place where it first occurs.
 
     Equal lines (trimmed) share an id, counted before any comparison, so a line that fills a third of the table is
     one entry. Lines whose sets of runs of SHINGLE characters have Jaccard similarity of at least `similarity` are
     linked, found by banded MinHash over those same sets and verified exactly; classes are the components of the links.
     """
     lines = split_lines(docs, id_col, text_col).where("id is not null")
-    place = F.struct(F.col("doc_id").isNull().alias("_n"), "doc_id", "line_no")
+    place = F.struct(F.col("doc_id").isNull().alias("_n"), "doc_id", "text_hash", "line_no")
     where = stage(lines.groupBy("id").agg(F.min(place).alias("place"), F.first("line").alias("line")), "lines-ids")
     # the shingles are a column of their own: they are referred to often and must be computed once
     signed = where.select("id", shingles(F.col("line")).alias("grams")).select("id", F.size("grams").alias("size"), bands(F.col("grams")).alias("bands"))
@@ -56,32 +62,33 @@ def line_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id
     comp = link_buckets(entries, load, verify, "lines", similarity)
     x = where.join(comp.select("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"), "place")
     least = x.groupBy("component").agg(F.min("place").alias("first"))
-    return x.join(least, "component").select("id", "component", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"))
+    return x.join(least, "component").select("id", "component", F.col("first.doc_id").alias("first_doc"), F.col("first.text_hash").alias("first_text"), F.col("first.line_no").alias("first_line"))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row a document (doc_id): n_lines, n_removed, removed (numbers of the lines to drop, sorted), kept_hash.
+    """One row a document (doc_id, text_hash): n_lines, n_removed, removed (numbers of the lines to drop, sorted), kept_hash.
 
-    A line stays if it is blank or the first of its class by document id (null last) and line number. Null text
-    counts as one blank line. Rows of the same id count as one document; an empty table gives an empty result.
+    A line stays if it is blank or the first of its class by document id (null last), text_hash and line number. Null
+    text counts as one blank line. Rows of the same id and text count as one document, those of the same id (or none)
+    and different texts are documents of their own; an empty table gives an empty result.
     """
     classes = stage(line_classes(docs, id_col=id_col, text_col=text_col, **options), "lines-classes")
-    lines = split_lines(docs, id_col, text_col).select("doc_id", "line_no", "id")
+    lines = split_lines(docs, id_col, text_col).select("doc_id", "text_hash", "line_no", "id")
     x = lines.join(classes, "id", "left")
-    gone = F.col("id").isNotNull() & ~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("line_no") == F.col("first_line")))
-    x = x.withColumn("gone", gone)
-    return x.groupBy("doc_id").agg(
+    first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_hash") == F.col("first_text")) & (F.col("line_no") == F.col("first_line"))
+    x = x.withColumn("gone", F.col("id").isNotNull() & ~first)
+    return x.groupBy("doc_id", "text_hash").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.count_if("gone").alias("n_removed"),
-        F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("line_no")))).alias("removed"),
+        F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("line_no")))).alias("removed"),
         F.sum(F.when(~F.col("gone"), F.xxhash64("id", "line_no") % 1000000007)).alias("kept_hash"),
     )
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the lines that removed_lines names; documents that had lines and lose all that are not blank go."""
-    gone = removed_lines(docs, id_col, text_col, **options).where("n_removed > 0").select(F.col("doc_id").alias("_id"), "removed")
-    x = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    gone = removed_lines(docs, id_col, text_col, **options).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "removed")
+    x = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (text_key(F.col(text_col)) == F.col("_hash")), "left")
     parts = F.filter(F.transform(F.split(F.col(text_col), "\n", -1), lambda l, i: F.struct(l.alias("l"), i.alias("i"))), lambda p: ~F.array_contains("removed", p["i"]))
     text = F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(parts, lambda p: p["l"]), "\n"))
     x = x.withColumn("_text", text).where(F.col("removed").isNull() | (F.btrim("_text", F.lit(" \t\r\n")) != ""))

@@ -332,6 +332,12 @@ def test_lines_odd_rows(odd, empty):
     assert out.columns == odd.columns and out.count() == len(ODD) and lines.drop_lines(empty).count() == 0
 
 
+def test_rows_of_one_id_lose_their_own_lines(spark):
+    rows = [(1, "xxxxx"), (None, "xxxxx\nyyyyy"), (None, "ppppp\nqqqqq"), (2, "xxxxx\nccccc"), (2, "ddddd\neeeee")]
+    out = lines.drop_lines(table(spark, [(i, t, "en", "a") for i, t in rows]))
+    assert sorted((str(r.doc_id), r.text) for r in out.collect()) == [("1", "xxxxx"), ("2", "ccccc"), ("2", "ddddd\neeeee"), ("None", "ppppp\nqqqqq"), ("None", "yyyyy")]
+
+
 # language identification
 
 
