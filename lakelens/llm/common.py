@@ -107,13 +107,13 @@ def link_buckets(entries: DataFrame, load, verify, tag: str, ratio: float = 0.0,
     all its pairs across components compared, dealt by pairs of blocks of about `block` members, so that no task
     holds a bucket. That last step grows with the square of the members that stay unlike.
     """
-    entries = entries.repartition("bucket")  # dealt once, for the count and for the join
+    entries = stage(entries, f"{tag}-entries")  # made once, for the count and for the join
     n = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = stage(entries.join(n, "bucket"), f"{tag}-shared")
     reach = shared.groupBy("id").agg((-F.sum("n")).alias("reach"))
     level = stage(shared.drop("n").join(reach, "id").withColumn("c", F.col("id")), f"{tag}-open")
     payload = stage(load(shared.select("id").distinct()), f"{tag}-payload")
-    discard(shared)
+    discard(entries, shared)
     comp = None
 
     def linked(pairs: DataFrame) -> DataFrame:

@@ -18,10 +18,15 @@ def shingles(line: Column) -> Column:
     return F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))
 
 
-def bands(grams: Column) -> Column:
-    """Keys of the bands of a set's MinHash signature: one hash function for each of the BANDS x ROWS coordinates."""
-    least = lambda k: F.array_min(F.transform(grams, lambda g: F.xxhash64(g, F.lit(k))))
-    return F.array(*[F.xxhash64(F.lit(b), *[least(b * ROWS + r) for r in range(ROWS)]) for b in range(BANDS)])
+def signatures(sets: DataFrame) -> DataFrame:
+    """(id, grams) to (id, size, bands): keys of the bands of the set's MinHash signature.
+
+    Each of the BANDS x ROWS coordinates has its hash function. The minima are aggregates over exploded sets, which
+    Spark compiles; lambdas over arrays it would interpret.
+    """
+    least = [F.min(F.xxhash64("g", F.lit(k))).alias(f"m{k}") for k in range(BANDS * ROWS)]
+    x = sets.select("id", F.explode("grams").alias("g")).groupBy("id").agg(F.count(F.lit(1)).alias("size"), *least)
+    return x.select("id", "size", F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]).alias("bands"))
 
 
 def text_key(text: Column) -> Column:
@@ -47,8 +52,7 @@ def line_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id
     lines = split_lines(docs, id_col, text_col).where("id is not null")
     place = F.struct(F.col("doc_id").isNull().alias("_n"), "doc_id", "text_hash", "line_no")
     where = stage(lines.groupBy("id").agg(F.min(place).alias("place"), F.first("line").alias("line")), "lines-ids")
-    # the shingles are a column of their own: they are referred to often and must be computed once
-    signed = where.select("id", shingles(F.col("line")).alias("grams")).select("id", F.size("grams").alias("size"), bands(F.col("grams")).alias("bands"))
+    signed = signatures(where.select("id", shingles(F.col("line")).alias("grams")))
     entries = signed.select(F.explode(F.array_distinct("bands")).alias("bucket"), "id", "size")
 
     def load(ids: DataFrame) -> DataFrame:

@@ -321,8 +321,9 @@ def test_lines_of_every_length_meet(spark):
             if jaccard(grams(a), grams(b)) >= 0.8:
                 pairs.append((n, a, b))
     x = spark.createDataFrame([(n, i, a, b) for i, (n, a, b) in enumerate(pairs)], "n int, i int, a string, b string")
-    x = x.select("n", lines.shingles(F.col("a")).alias("a"), lines.shingles(F.col("b")).alias("b")).select("n", lines.bands(F.col("a")).alias("a"), lines.bands(F.col("b")).alias("b"))
-    assert all(r.recall >= 0.99 for r in x.groupBy("n").agg(F.avg(F.arrays_overlap("a", "b").cast("double")).alias("recall")).collect())
+    side = lambda c: lines.signatures(x.select(F.col("i").alias("id"), lines.shingles(F.col(c)).alias("grams"))).select(F.col("id").alias("i"), F.col("bands").alias(f"{c}s"))
+    x = x.join(side("a"), "i").join(side("b"), "i")
+    assert all(r.recall >= 0.99 for r in x.groupBy("n").agg(F.avg(F.arrays_overlap("as", "bs").cast("double")).alias("recall")).collect())
 
 
 def test_lines_odd_rows(odd, empty):
