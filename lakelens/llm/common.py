@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but space and the controls 0x09 to 0x0D.
@@ -13,9 +13,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset in local mode."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="lakelens-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -93,61 +95,103 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text.cast("binary"), F.lit(b"").cast("binary"))
 
 
-def link_buckets(entries: DataFrame, load, verify, tag: str, ratio: float = 0.0, stars: int = 2, block: int = 64) -> DataFrame:
-    """Components of the verified links among ids that share a bucket; no pair is left out.
+def link_buckets(entries: DataFrame, sets, similarity: float, tag: str, stars: int = 2, block: int = 256) -> DataFrame:
+    """Components (id, component) of the ids that share a bucket and whose sets have Jaccard `similarity`; no link is left out.
 
-    entries: (bucket, id, size), an id at most once a bucket; a pair whose smaller size is under `ratio` times the
-    larger cannot be a link. load: a table (id) to (id, payload), called once with the ids that share a bucket at
-    all. verify: pairs (a, b, pa, pb) with both payloads to the links (a, b) among them. Returns the components of
-    the links (id, component).
+    entries: (bucket, id), an id at most once a bucket. sets: a table (id) to (id, elements array<long>, no repeats),
+    called once with the ids that share a bucket at all. Every link is decided by the sets themselves.
 
     In a round each bucket's members are compared with a pivot, the one that meets most others over all its buckets:
     an original meets its copies more often than they meet each other. The pivot has then met its whole bucket and
-    leaves it, and buckets whose other members are in one component are done. What is open after `stars` rounds has
-    all its pairs across components compared, dealt by pairs of blocks of about `block` members, so that no task
-    holds a bucket. That last step grows with the square of the members that stay unlike.
+    leaves it, and buckets whose other members are in one component are done. For what is open after `stars` rounds
+    `shareable` counts how many elements of each member any other member can have; those too few for a link leave too,
+    so copies that each carry changes of their own are not compared with one another. The rest is compared across
+    components, dealt by blocks, so that no task holds a bucket; the largest component of a bucket is not compared
+    with itself.
     """
-    entries = stage(entries, f"{tag}-entries")  # made once, for the count and for the join
-    n = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = stage(entries.join(n, "bucket"), f"{tag}-shared")
-    reach = shared.groupBy("id").agg((-F.sum("n")).alias("reach"))
-    level = stage(shared.drop("n").join(reach, "id").withColumn("c", F.col("id")), f"{tag}-open")
-    payload = stage(load(shared.select("id").distinct()), f"{tag}-payload")
-    discard(entries, shared)
-    comp = None
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """The components after the links among pairs (a, sa, ca, b, sb, cb)."""
-        pairs = pairs.where((F.col("ca") != F.col("cb")) & (F.least("sa", "sb") >= F.lit(ratio) * F.greatest("sa", "sb")))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = pairs.join(payload.toDF("a", "pa"), "a").join(payload.toDF("b", "pb"), "b")
-        links = stage(verify(pairs.select("a", "b", "pa", "pb")), f"{tag}-links")
+    part = similarity / (1 + similarity)  # Jaccard s: what both have is at least s / (1 + s) of the two sizes
+    every = Window.partitionBy("bucket")
+    shared = stage(entries.withColumn("n", F.count(F.lit(1)).over(every)).where("n > 1"), f"{tag}-shared")
+    elements = stage(sets(shared.select("id").distinct()), f"{tag}-elements")
+    reach = shared.groupBy("id").agg((-F.sum("n")).alias("reach")).join(elements.select("id", F.size("elements").alias("size")), "id")
+    level = stage(shared.select("bucket", "id").join(reach, "id").withColumn("c", F.col("id")), f"{tag}-open")
+    discard(shared)
+    comp, compared = None, []
+
+    def linked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The components after the links among pairs (a, sa, ca, b, sb, cb), and what each pair has in common."""
+        pairs = pairs.where((F.col("ca") != F.col("cb")) & (F.least("sa", "sb") >= F.lit(similarity) * F.greatest("sa", "sb"))).select("a", "b", "sa", "sb").distinct()
+        pairs = pairs.join(elements.toDF("a", "ea"), "a").join(elements.toDF("b", "eb"), "b")
+        pairs = stage(pairs.select("a", "b", (F.col("sa") + F.col("sb")).alias("sizes"), F.size(F.array_intersect("ea", "eb")).alias("common")), f"{tag}-compared")
+        links = pairs.where(F.col("common") >= F.lit(part - 1e-12) * F.col("sizes"))
         after = components(links, tag=tag) if comp is None else merge_components(comp, links, tag)
-        discard(links, *([] if comp is None else [comp]))
-        return after
+        discard(*([] if comp is None else [comp]))
+        return after, pairs
 
     side = lambda s: [F.col("id").alias(s), F.col("size").alias(f"s{s}"), F.col("c").alias(f"c{s}")]
     for _ in range(stars):
         pivot = level.groupBy("bucket").agg(F.min(F.struct("reach", "id", "size", "c")).alias("p"))
         met = level.join(pivot, "bucket").where("id <> p.id")
-        comp = linked(met.select(*side("a"), F.col("p.id").alias("b"), F.col("p.size").alias("sb"), F.col("p.c").alias("cb")))
-        rest = met.select("bucket", "id", "size", "reach").join(comp.select("id", "component"), "id", "left")
+        comp, pairs = linked(met.select(*side("a"), F.col("p.id").alias("b"), F.col("p.size").alias("sb"), F.col("p.c").alias("cb")))
+        compared.append(pairs)
+        rest = met.select("bucket", "id", "size", "reach").join(comp, "id", "left")
         rest = rest.select("bucket", "id", "size", "reach", F.coalesce("component", "id").alias("c"))
-        open_ = rest.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-        before, level = level, stage(rest.join(open_, "bucket", "left_semi"), f"{tag}-open")
+        before, level = level, stage(still_open(rest), f"{tag}-open")
         discard(before)
         if level.isEmpty():
             break
     else:
-        n = level.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).alias("n"))
-        dealt = level.join(n, "bucket").withColumn("i", F.pmod(F.xxhash64("id"), "n")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-        x = dealt.where("i <= j").select("bucket", "i", "j", *side("a"))
-        y = dealt.where("j <= i").select("bucket", F.col("j").alias("i"), F.col("i").alias("j"), *side("b"))
-        comp = linked(x.join(y, ["bucket", "i", "j"]).where("i < j or a < b"))
-    discard(level, payload)
+        able = shareable(level, compared, elements, tag)
+        least = F.min("size").over(every)
+        rest = level.join(able, "id").withColumn("least", least)
+        rest = rest.where(F.col("able") >= F.lit(part - 1e-12) * (F.col("size") + F.greatest("least", F.ceil(F.col("size") * similarity)))).drop("least")
+        before, level = level, stage(still_open(rest), f"{tag}-open")
+        discard(before, able)
+        if not level.isEmpty():
+            most = level.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.sum("n").alias("n"), F.max("n").alias("of"))
+            x = level.join(most, "bucket")
+            few, all_ = (F.ceil(n / block).cast("int") for n in (F.col("n") - F.col("of"), F.col("n")))
+            deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+            spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+            a = x.where("c <> top").select("bucket", deal(few).alias("i"), spread(all_).alias("j"), *side("a"), F.col("able").alias("va"))
+            b = x.select("bucket", spread(few).alias("i"), deal(all_).alias("j"), *side("b"), F.col("able").alias("vb"), (F.col("c") == F.col("top")).alias("main"))
+            fits = (F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") < F.col("b"))) & (F.least("va", "vb") >= F.lit(part - 1e-12) * (F.col("sa") + F.col("sb")))
+            comp, pairs = linked(a.join(b, ["bucket", "i", "j"]).where(fits))
+            compared.append(pairs)
+    discard(level, elements, *compared)
     return comp
 
 
+def still_open(members: DataFrame) -> DataFrame:
+    """Of (bucket, id, c, ...) the buckets that hold several components."""
+    several = members.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
+    return members.join(several, "bucket", "left_semi")
+
+
+def shareable(members: DataFrame, compared: list[DataFrame], elements: DataFrame, tag: str) -> DataFrame:
+    """(id, able): an upper bound of the elements that each member has in common with any other member.
+
+    A member's base is the pivot with which it has most in common. Of its elements outside its base, only those count
+    that another member has outside its own base or that some base holds; whatever two members share is in the base
+    of one of them or outside both.
+    """
+    ids = stage(members.select("id").distinct(), f"{tag}-members")
+    pairs = None
+    for x in compared:
+        pairs = x if pairs is None else pairs.unionByName(x)
+    base = pairs.join(ids.toDF("a"), "a", "left_semi").groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b"), F.max("common").alias("common"))
+    x = ids.toDF("a").join(base, "a", "left").join(elements.toDF("a", "ea"), "a").join(elements.toDF("b", "eb"), "b", "left")
+    rest = F.when(F.col("eb").isNull(), F.col("ea")).otherwise(F.array_except("ea", "eb"))
+    x = stage(x.select("a", "b", F.coalesce("common", F.lit(0)).alias("common"), rest.alias("rest")), f"{tag}-rest")
+    outside = x.select("a", F.explode("rest").alias("e"))
+    held = x.select("b").where("b is not null").distinct().join(elements.toDF("b", "eb"), "b").select(F.lit(2).alias("n"), F.explode("eb").alias("e"))
+    known = outside.select(F.lit(1).alias("n"), "e").unionByName(held).groupBy("e").agg(F.sum("n").alias("n")).where("n > 1").select("e")
+    shared = outside.join(known, "e", "left_semi").groupBy("a").agg(F.count(F.lit(1)).alias("more"))
+    out = stage(x.join(shared, "a", "left").select(F.col("a").alias("id"), (F.col("common") + F.coalesce("more", F.lit(0))).alias("able")), f"{tag}-able")
+    discard(ids, x)
+    return out
+
+
 def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     """At most n rows, those whose key hashes least: the same rows on every run.
 

@@ -2,31 +2,60 @@
 
 from __future__ import annotations
 
+import random
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakelens.llm.common import link_buckets, stage
+from lakelens.llm.common import discard, link_buckets, stage
+
+#: Characters of a shingle; coordinates of a signature and of a band.
+SHINGLE, COORDINATES, ROWS = 5, 48, 6
+#: Lines of fewer shingles than this are short and have more bands. Shingles that one row of the aggregation takes together.
+SHORT, STEP = 64, 8
+
 
-#: Characters of a shingle; bands of a signature and hashes in a band: a pair at 0.8 shares a band with probability 0.993.
-SHINGLE, BANDS, ROWS = 5, 7, 3
+def chars_of(lines: DataFrame) -> DataFrame:
+    """(id, line) to (id, chars, last): the line in UTF-32, where each character has its place, and its last shingle's number."""
+    x = lines.select("id", F.encode("line", "UTF-32").alias("chars"))
+    return x.withColumn("last", F.greatest((F.length("chars") / 4).cast("int") - SHINGLE, F.lit(0)))
 
 
-def shingles(line: Column) -> Column:
-    """Hashes of a line's distinct runs of SHINGLE characters; a shorter line is one shingle."""
-    grams = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    grams = F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(grams)
-    return F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))
+def shingle_at(i: Column) -> Column:
+    """The hash of a shingle; a line shorter than SHINGLE is one."""
+    return F.xxhash64(F.substring("chars", i * 4 + 1, F.lit(4 * SHINGLE)))
 
 
-def signatures(sets: DataFrame) -> DataFrame:
-    """(id, grams) to (id, size, bands): keys of the bands of the set's MinHash signature.
+def signatures(lines: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(id, line) to (id, bands): keys of the bands of the MinHash signature of all the line's shingles.
 
-    Each of the BANDS x ROWS coordinates has its hash function. The minima are aggregates over exploded sets, which
-    Spark compiles; lambdas over arrays it would interpret.
+    A coordinate is the least of the line's shingle hashes after exclusive or with a constant of its own, or, for short
+    lines, whose few hashes that would not mix enough, after another hash. Bands are groups of ROWS coordinates, those of
+    a long line by two ways to group them, those of a short one by six. Lines near the border are signed both ways.
+    Shingles come in rows of STEP and minima are aggregates, which Spark compiles; lambdas over arrays it would interpret.
     """
-    least = [F.min(F.xxhash64("g", F.lit(k))).alias(f"m{k}") for k in range(BANDS * ROWS)]
-    x = sets.select("id", F.explode("grams").alias("g")).groupBy("id").agg(F.count(F.lit(1)).alias("size"), *least)
-    return x.select("id", "size", F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]).alias("bands"))
+    x = chars_of(lines)
+    long = banded(x.where(F.col("last") + 1 >= SHORT * similarity), 2, lambda h, k, c: h.bitwiseXOR(F.lit(c)))
+    return long.unionByName(banded(x.where(F.col("last") + 1 < SHORT), 6, lambda h, k, c: F.xxhash64(h, F.lit(k))))
+
+
+def banded(x: DataFrame, ways: int, mixed: Callable[[Column, int, int], Column]) -> DataFrame:
+    """(id, chars, last) to (id, bands) with coordinate k made of mixed(hash, k, constant)."""
+    rng = random.Random(7)
+    x = x.select("id", "chars", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("i"))
+    x = x.select("id", *[shingle_at(F.least(F.col("i") + j, F.col("last"))).alias(f"h{j}") for j in range(STEP)])
+    constants = [rng.getrandbits(63) for _ in range(COORDINATES)]
+    x = x.groupBy("id").agg(*[F.min(F.least(*[mixed(F.col(f"h{j}"), k, c) for j in range(STEP)])).alias(f"m{k}") for k, c in enumerate(constants)])
+    orders = [list(range(COORDINATES))] + [rng.sample(range(COORDINATES), COORDINATES) for _ in range(ways - 1)]
+    bands = [order[i : i + ROWS] for order in orders for i in range(0, COORDINATES, ROWS)]
+    return x.select("id", F.array(*[F.xxhash64(F.lit(ways), F.lit(b), *[f"m{k}" for k in band]) for b, band in enumerate(bands)]).alias("bands"))
+
+
+def shingles(lines: DataFrame) -> DataFrame:
+    """(id, line) to (id, elements): the hashes of the line's distinct shingles, the same as in its signature."""
+    x = chars_of(lines).select("id", "chars", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
+    return x.select("id", shingle_at(F.col("i")).alias("h")).groupBy("id").agg(F.collect_set("h").alias("elements"))
 
 
 def text_key(text: Column) -> Column:
@@ -43,7 +72,7 @@ def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def line_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component, first_doc, first_text, first_line) of every distinct line: its class and the place where it first occurs.
+    """(id, component, first_doc, first_text, first_line) of the lines that are not alone: their class and the place where it first occurs.
 
     Equal lines (trimmed) share an id, counted before any comparison, so a line that fills a third of the table is
     one entry. Lines whose sets of runs of SHINGLE characters have Jaccard similarity of at least `similarity` are
@@ -51,22 +80,17 @@ def line_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id
     """
     lines = split_lines(docs, id_col, text_col).where("id is not null")
     place = F.struct(F.col("doc_id").isNull().alias("_n"), "doc_id", "text_hash", "line_no")
-    where = stage(lines.groupBy("id").agg(F.min(place).alias("place"), F.first("line").alias("line")), "lines-ids")
-    signed = signatures(where.select("id", shingles(F.col("line")).alias("grams")))
-    entries = signed.select(F.explode(F.array_distinct("bands")).alias("bucket"), "id", "size")
-
-    def load(ids: DataFrame) -> DataFrame:
-        return where.select("id", "line").join(ids, "id", "left_semi")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        x = pairs.select("a", "b", shingles(F.col("pa")).alias("sa"), shingles(F.col("pb")).alias("sb"))
-        x = x.withColumn("both", F.size(F.array_intersect("sa", "sb")))
-        return x.where(F.col("both") >= similarity * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
-
-    comp = link_buckets(entries, load, verify, "lines", similarity)
-    x = where.join(comp.select("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"), "place")
+    where = stage(lines.groupBy("id").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line")), "lines-ids")
+    entries = signatures(where.select("id", "line"), similarity).select(F.explode(F.array_distinct("bands")).alias("bucket"), "id")
+    comp = link_buckets(entries, lambda ids: shingles(where.select("id", "line").join(ids, "id", "left_semi")), similarity, "lines")
+    # a line that occurs once and is in no class is its own first place: nothing more to say of it
+    x = where.select("id", "place", "n").join(comp, "id", "left").where("n > 1 or component is not null")
+    x = x.select("id", F.coalesce("component", "id").alias("component"), "place")
     least = x.groupBy("component").agg(F.min("place").alias("first"))
-    return x.join(least, "component").select("id", "component", F.col("first.doc_id").alias("first_doc"), F.col("first.text_hash").alias("first_text"), F.col("first.line_no").alias("first_line"))
+    out = x.join(least, "component").select("id", "component", F.col("first.doc_id").alias("first_doc"), F.col("first.text_hash").alias("first_text"), F.col("first.line_no").alias("first_line"))
+    out = stage(out, "lines-classes")
+    discard(where, comp)
+    return out
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -76,11 +100,13 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text counts as one blank line. Rows of the same id and text count as one document, those of the same id (or none)
     and different texts are documents of their own; an empty table gives an empty result.
     """
-    classes = stage(line_classes(docs, id_col=id_col, text_col=text_col, **options), "lines-classes")
+    classes = line_classes(docs, id_col=id_col, text_col=text_col, **options)
     lines = split_lines(docs, id_col, text_col).select("doc_id", "text_hash", "line_no", "id")
-    x = lines.join(classes, "id", "left")
+    # blank lines have no class; a key of their own keeps them from meeting in one task
+    lines = lines.withColumn("key", F.coalesce("id", F.xxhash64(F.lit("blank"), "doc_id", "text_hash", "line_no")))
+    x = lines.join(classes.withColumnRenamed("id", "key"), "key", "left")
     first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_hash") == F.col("first_text")) & (F.col("line_no") == F.col("first_line"))
-    x = x.withColumn("gone", F.col("id").isNotNull() & ~first)
+    x = x.withColumn("gone", F.coalesce(F.col("component").isNotNull() & ~first, F.lit(False)))
     return x.groupBy("doc_id", "text_hash").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.count_if("gone").alias("n_removed"),
@@ -93,8 +119,9 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs without the lines that removed_lines names; documents that had lines and lose all that are not blank go."""
     gone = removed_lines(docs, id_col, text_col, **options).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "removed")
     x = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (text_key(F.col(text_col)) == F.col("_hash")), "left")
-    parts = F.filter(F.transform(F.split(F.col(text_col), "\n", -1), lambda l, i: F.struct(l.alias("l"), i.alias("i"))), lambda p: ~F.array_contains("removed", p["i"]))
-    text = F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(parts, lambda p: p["l"]), "\n"))
+    parts = F.split(F.col(text_col), "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "removed")
+    text = F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
     x = x.withColumn("_text", text).where(F.col("removed").isNull() | (F.btrim("_text", F.lit(" \t\r\n")) != ""))
     return x.select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in docs.columns])
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakelens.llm.arrow import bytes_of, mix64, words
-from lakelens.llm.common import link_buckets, stage, utf8
+from lakelens.llm.common import discard, link_buckets, stage, utf8
 
 #: Element hashes are kept to 44 bits, so that a text's number (20 bits) and an element sort as one integer.
 BITS = np.uint64(44)
@@ -92,7 +92,7 @@ def pieces(offsets: np.ndarray, size: int = 1 << 22) -> Iterator[tuple[int, int]
 
 
 def signatures(docs: DataFrame, band_count: int, band_rows: int, shingle_words: int) -> DataFrame:
-    """(id, digest) to (id, digest, bands array<long>, size): the banded DartMinHash signature, null without words, and the number of shingles."""
+    """(id, digest, bytes) to (id, digest, bands array<long>): the banded DartMinHash signature, null without words."""
     k = band_count * band_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +100,6 @@ def signatures(docs: DataFrame, band_count: int, band_rows: int, shingle_words:
             data, offsets = bytes_of(batch.column("bytes"))
             n = batch.num_rows
             keys, some = np.zeros((n, band_count), np.int64), np.zeros(n, bool)
-            size = np.zeros(n, np.int64)
             for lo, hi in pieces(offsets):
                 h, counts = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 e, w = elements(h, counts, shingle_words)
@@ -109,33 +108,58 @@ def signatures(docs: DataFrame, band_count: int, band_rows: int, shingle_words:
                 for r in range(band_rows):
                     key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
                 keys[lo:hi], some[lo:hi] = key.view(np.int64), counts > 0
-                size[lo:hi] = np.where(counts < shingle_words, np.minimum(counts, 1), counts - shingle_words + 1)
             flat = pa.array(keys.ravel())
             at = pa.array(np.arange(n + 1, dtype=np.int32) * band_count, mask=np.append(~some, False))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.ListArray.from_arrays(at, flat), pa.array(size)], ["id", "digest", "bands", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.ListArray.from_arrays(at, flat)], ["id", "digest", "bands"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, digest string, bands array<long>, size long")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, digest string, bands array<long>")
 
 
-def similar(pairs: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
-    """Of (a, b, pa, pb) the pairs (a, b) whose weighted Jaccard similarity of shingles is at least `similarity`."""
+def shingle_sets(texts: DataFrame, shingle_words: int) -> DataFrame:
+    """(id, bytes) to (id, elements): each text's shingles as distinct hashes, the k-th copy of a shingle being one of its own.
+
+    The Jaccard similarity of these sets is the weighted one of the shingle counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (da, oa), (db, ob) = bytes_of(batch.column("pa")), bytes_of(batch.column("pb"))
-            ok = np.zeros(batch.num_rows, bool)
-            for lo, hi in pieces(oa + ob):
-                (ea, wa), (eb, wb) = (elements(*words(d[o[lo] : o[hi]], o[lo : hi + 1] - o[lo]), shingle_words) for d, o in ((da, oa), (db, ob)))
-                same, ia, ib = np.intersect1d(ea, eb, assume_unique=True, return_indices=True)
-                both = np.bincount((same >> BITS).astype(np.int64), np.minimum(wa[ia], wb[ib]), hi - lo)
-                all_ = np.bincount((ea >> BITS).astype(np.int64), wa, hi - lo) + np.bincount((eb >> BITS).astype(np.int64), wb, hi - lo) - both
-                ok[lo:hi] = (all_ > 0) & (both >= similarity * all_)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], ["a", "b"])
+            data, offsets = bytes_of(batch.column("bytes"))
+            for lo, hi in pieces(offsets):
+                e, w = elements(*words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), shingle_words)
+                copy = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+                text = np.repeat((e >> BITS).astype(np.int64), w)
+                h = mix64(np.repeat(e & LOW, w) ^ (copy.astype(np.uint64) << BITS))
+                at = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=hi - lo))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))], ["id", "elements"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return texts.mapInArrow(run, "id long, elements array<long>")
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, band_count: int = 30, band_rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_classes(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, band_count: int = 30, band_rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, digest, class_id, kept) of every row with an id: near_copies, the text's md5 beside the id."""
+    t = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    x = t.select("id", F.md5(utf8(F.col("text"))).alias("digest"), utf8(F.col("text")).alias("bytes"))
+    sig = stage(signatures(x, band_count, band_rows, shingle_words), "near-signatures")
+    texts = sig.where("bands is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
+    texts = stage(texts.withColumn("node", F.monotonically_increasing_id()), "near-texts")
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        some = texts.select("node", "rep", "digest").join(nodes.withColumnRenamed("id", "node"), "node", "left_semi")
+        x = t.join(some, (F.col("id") == F.col("rep")) & (F.md5(utf8(F.col("text"))) == F.col("digest"))).select(F.col("node").alias("id"), utf8(F.col("text")).alias("bytes"))
+        return shingle_sets(x.dropDuplicates(["id"]), shingle_words)
+
+    comp = link_buckets(texts.select(F.explode(F.array_distinct("bands")).alias("bucket"), F.col("node").alias("id")), sets, similarity, "near")
+    linked = texts.select("digest", "rep", F.col("node").alias("id")).join(comp, "id")
+    first = linked.groupBy("component").agg(F.min(F.struct("rep", "digest")).alias("first"))
+    classes = linked.join(first, "component").select("digest", "first")
+    alone = texts.select("digest", "rep").join(classes, "digest", "left").select("digest", F.coalesce("first", F.struct("rep", "digest")).alias("first"))
+    out = sig.select("id", "digest").join(stage(alone, "near-classes"), "digest", "left")
+    out = out.select(F.col("id").alias("doc_id"), "digest", F.coalesce("first.rep", "id").alias("class_id"), F.coalesce((F.col("first.rep") == F.col("id")) & (F.col("first.digest") == F.col("digest")), F.lit(True)).alias("kept"))
+    discard(texts, comp)
+    return out
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, class_id, kept) of every row: class_id is the least doc_id of its class, kept whether it is its own.
 
     Words are runs without white space, A-Z lower-cased; a document is the multiset of its runs of shingle_words
@@ -144,32 +168,18 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5
     their DartMinHash signatures (a pair at 0.8 has one with probability 0.9999) and are verified on whole texts.
 
     Documents without a word, null text included, are their own class. A null doc_id has a null class and is kept.
-    Rows that repeat each have their row. An empty table gives an empty result; other columns are ignored.
+    Rows that repeat each have their row; rows of one id and different texts are told apart, and of those in one class
+    one is kept. An empty table gives an empty result; other columns are ignored.
     """
-    t = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    x = t.where("id is not null").select("id", F.md5(utf8(F.col("text"))).alias("digest"), utf8(F.col("text")).alias("bytes"))
-    sig = stage(signatures(x, band_count, band_rows, shingle_words), "near-signatures")
-    some = sig.where("bands is not null")
-    reps = some.groupBy("digest").agg(F.min("id").alias("rep"))
-    members = stage(some.select("id", "digest").join(reps, "digest").select("id", "rep").distinct(), "near-members")
-    entries = members.where("id = rep").select("id").join(some.select("id", "bands", "size"), "id").select(F.explode("bands").alias("bucket"), "id", "size")
-    entries = entries.dropDuplicates(["bucket", "id"])
-
-    def load(ids: DataFrame) -> DataFrame:
-        return t.join(ids, "id", "left_semi").select("id", utf8(F.col("text")).alias("t")).dropDuplicates(["id"])
-
-    comp = link_buckets(entries, load, lambda pairs: similar(pairs, similarity, shingle_words), "near", similarity)
-    classes = members.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
-    classes = classes.groupBy("id").agg(F.min("class_id").alias("class_id"))
-    out = t.select("id").join(classes, "id", "left")
-    class_id = F.coalesce("class_id", "id")
-    return out.select(F.col("id").alias("doc_id"), class_id.alias("class_id"), F.coalesce(class_id == F.col("id"), F.lit(True)).alias("kept"))
-
-
-def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rows that near_copies does not keep."""
-    gone = near_copies(docs, **options).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    some = near_classes(docs, similarity, shingle_words, id_col=id_col, text_col=text_col, **options).select("doc_id", "class_id", "kept")
+    none = docs.where(F.col(id_col).isNull()).select(*[F.lit(None).cast("long").alias(c) for c in ("doc_id", "class_id")], F.lit(True).alias("kept"))
+    return some.unionByName(none)
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without the rows that near_copies does not keep; of rows that share an id only those with the copy's text go."""
+    gone = near_classes(docs, id_col=id_col, text_col=text_col, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    return docs.join(gone, (F.col(id_col).cast("long") == F.col("_id")) & (F.md5(utf8(F.col(text_col))) == F.col("_digest")), "left_anti")
 
 
 def op3_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,13 +152,25 @@ def test_near_copies_against_brute_force(spark):
     assert {r.doc_id: r.class_id for r in nearcopies.near_copies(table(spark, rows)).collect()} == closure(sets, links)
 
 
-def test_every_pair_of_a_bucket_is_met(spark):
-    place = random.Random(6).sample(range(90), 90)  # a chain in one large bucket, its ids in any order
-    entries = spark.createDataFrame([(b, i, 1) for b in (1, 2, 3) for i in range(90)], "bucket long, id long, size int")
-    load = lambda ids: ids.join(spark.createDataFrame(list(enumerate(place)), "id long, at long"), "id")
+def test_every_link_of_a_bucket_is_found(spark):
+    rng = random.Random(6)
+    place = rng.sample(range(90), 90)  # a chain in one large bucket, its ids in any order; each has 18 of 20 elements of the next
+    sets = {i: list(range(place[i] * 2, place[i] * 2 + 20)) for i in range(90)}
+    sets |= {100 + i: [*range(1000, 1014), *range(2000 + 6 * i, 2006 + 6 * i)] for i in range(60)}  # much in common, no link
+    sets |= {200 + i: [*range(1000, 1014), *range(2000 + 6 * i, 2005 + 6 * i), 3000 + i] for i in range(0, 60, 7)}  # copies of some
+    entries = spark.createDataFrame([(b, i) for b in (1, 2, 3) for i in sets], "bucket long, id long")
+    table_ = spark.createDataFrame(list(sets.items()), "id long, elements array<long>")
+    links = [(a, b) for a in sets for b in sets if a < b and len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})]
+    want = {i: c for i, c in closure(sets, links).items() if any(i in x for x in links)}
     for block in (8, 64):
-        got = link_buckets(entries, load, lambda p: p.where("abs(pa - pb) = 1").select("a", "b"), "test", block=block)
-        assert {(r.id, r.component) for r in got.collect()} == {(i, 0) for i in range(90)}
+        got = link_buckets(entries, lambda ids: table_.join(ids, "id"), 0.8, "test", block=block)
+        assert {r.id: r.component for r in got.collect()} == want
+
+
+def test_rows_of_one_id_and_different_texts(spark):
+    a, b = ("alpha beta gamma delta epsilon zeta eta theta iota kappa " * 3).strip(), "one two three four five six seven eight"
+    docs = table(spark, [(1, a, "en", "a"), (2, a, "en", "a"), (2, b, "en", "a"), (None, a, "en", "a")])
+    assert sorted((str(r.doc_id), r.text) for r in nearcopies.drop_near_copies(docs).collect()) == sorted([("1", a), ("2", b), ("None", a)])
 
 
 def test_copies_that_only_an_original_links(spark):
@@ -321,7 +333,7 @@ def test_lines_of_every_length_meet(spark):
             if jaccard(grams(a), grams(b)) >= 0.8:
                 pairs.append((n, a, b))
     x = spark.createDataFrame([(n, i, a, b) for i, (n, a, b) in enumerate(pairs)], "n int, i int, a string, b string")
-    side = lambda c: lines.signatures(x.select(F.col("i").alias("id"), lines.shingles(F.col(c)).alias("grams"))).select(F.col("id").alias("i"), F.col("bands").alias(f"{c}s"))
+    side = lambda c: lines.signatures(x.select(F.col("i").alias("id"), F.col(c).alias("line"))).groupBy(F.col("id").alias("i")).agg(F.flatten(F.collect_list("bands")).alias(f"{c}s"))
     x = x.join(side("a"), "i").join(side("b"), "i")
     assert all(r.recall >= 0.99 for r in x.groupBy("n").agg(F.avg(F.arrays_overlap("as", "bs").cast("double")).alias("recall")).collect())
 
