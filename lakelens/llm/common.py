@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but space and the controls 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Spark's setting that removes a query's shuffle files at its end.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,11 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
-    This cuts the lineage, survives lost executors and gives the optimiser the true size.
+    This cuts the lineage, survives lost executors and gives the optimiser the true size. The shuffles behind the table
+    are removed once it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(TIDY, "false")
+    spark.conf.set(TIDY, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(TIDY, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
@@ -95,11 +103,12 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text.cast("binary"), F.lit(b"").cast("binary"))
 
 
-def link_buckets(entries: DataFrame, sets, similarity: float, tag: str, stars: int = 2, block: int = 256) -> DataFrame:
+def link_buckets(entries: DataFrame, load, elements, similarity: float, tag: str, stars: int = 2, block: int = 256) -> DataFrame:
     """Components (id, component) of the ids that share a bucket and whose sets have Jaccard `similarity`; no link is left out.
 
-    entries: (bucket, id), an id at most once a bucket. sets: a table (id) to (id, elements array<long>, no repeats),
-    called once with the ids that share a bucket at all. Every link is decided by the sets themselves.
+    entries: (bucket, id), an id at most once a bucket. load: a table (id) to (id, payload), called once with the ids that
+    share a bucket at all. elements: a payload column to the array of the set's distinct elements. Every link is decided
+    by the sets themselves.
 
     In a round each bucket's members are compared with a pivot, the one that meets most others over all its buckets:
     an original meets its copies more often than they meet each other. The pivot has then met its whole bucket and
@@ -110,19 +119,22 @@ def link_buckets(entries: DataFrame, sets, similarity: float, tag: str, stars: i
     with itself.
     """
     part = similarity / (1 + similarity)  # Jaccard s: what both have is at least s / (1 + s) of the two sizes
-    every = Window.partitionBy("bucket")
-    shared = stage(entries.withColumn("n", F.count(F.lit(1)).over(every)).where("n > 1"), f"{tag}-shared")
-    elements = stage(sets(shared.select("id").distinct()), f"{tag}-elements")
-    reach = shared.groupBy("id").agg((-F.sum("n")).alias("reach")).join(elements.select("id", F.size("elements").alias("size")), "id")
+    entries = entries.repartition("bucket")  # one shuffle serves the count and the join
+    several = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = stage(entries.join(several, "bucket"), f"{tag}-shared")
+    payload = load(shared.select("id").distinct())
+    payload = stage(payload.withColumn("size", F.size(elements("payload"))), f"{tag}-payload")
+    reach = shared.groupBy("id").agg((-F.sum("n")).alias("reach")).join(payload.select("id", "size"), "id")
     level = stage(shared.select("bucket", "id").join(reach, "id").withColumn("c", F.col("id")), f"{tag}-open")
     discard(shared)
     comp, compared = None, []
+    held = lambda c: payload.select(F.col("id").alias(c), F.col("payload").alias(f"p{c}"))
 
     def linked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The components after the links among pairs (a, sa, ca, b, sb, cb), and what each pair has in common."""
         pairs = pairs.where((F.col("ca") != F.col("cb")) & (F.least("sa", "sb") >= F.lit(similarity) * F.greatest("sa", "sb"))).select("a", "b", "sa", "sb").distinct()
-        pairs = pairs.join(elements.toDF("a", "ea"), "a").join(elements.toDF("b", "eb"), "b")
-        pairs = stage(pairs.select("a", "b", (F.col("sa") + F.col("sb")).alias("sizes"), F.size(F.array_intersect("ea", "eb")).alias("common")), f"{tag}-compared")
+        pairs = pairs.join(held("a"), "a").join(held("b"), "b")
+        pairs = stage(pairs.select("a", "b", (F.col("sa") + F.col("sb")).alias("sizes"), F.size(F.array_intersect(elements("pa"), elements("pb"))).alias("common")), f"{tag}-compared")
         links = pairs.where(F.col("common") >= F.lit(part - 1e-12) * F.col("sizes"))
         after = components(links, tag=tag) if comp is None else merge_components(comp, links, tag)
         discard(*([] if comp is None else [comp]))
@@ -141,9 +153,8 @@ def link_buckets(entries: DataFrame, sets, similarity: float, tag: str, stars: i
         if level.isEmpty():
             break
     else:
-        able = shareable(level, compared, elements, tag)
-        least = F.min("size").over(every)
-        rest = level.join(able, "id").withColumn("least", least)
+        able = shareable(level, compared, payload, elements, tag)
+        rest = level.join(able, "id").withColumn("least", F.min("size").over(Window.partitionBy("bucket")))
         rest = rest.where(F.col("able") >= F.lit(part - 1e-12) * (F.col("size") + F.greatest("least", F.ceil(F.col("size") * similarity)))).drop("least")
         before, level = level, stage(still_open(rest), f"{tag}-open")
         discard(before, able)
@@ -158,7 +169,7 @@ def link_buckets(entries: DataFrame, sets, similarity: float, tag: str, stars: i
             fits = (F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") < F.col("b"))) & (F.least("va", "vb") >= F.lit(part - 1e-12) * (F.col("sa") + F.col("sb")))
             comp, pairs = linked(a.join(b, ["bucket", "i", "j"]).where(fits))
             compared.append(pairs)
-    discard(level, elements, *compared)
+    discard(level, payload, *compared)
     return comp
 
 
@@ -168,7 +179,7 @@ def still_open(members: DataFrame) -> DataFrame:
     return members.join(several, "bucket", "left_semi")
 
 
-def shareable(members: DataFrame, compared: list[DataFrame], elements: DataFrame, tag: str) -> DataFrame:
+def shareable(members: DataFrame, compared: list[DataFrame], payload: DataFrame, elements, tag: str) -> DataFrame:
     """(id, able): an upper bound of the elements that each member has in common with any other member.
 
     A member's base is the pivot with which it has most in common. Of its elements outside its base, only those count
@@ -180,11 +191,12 @@ def shareable(members: DataFrame, compared: list[DataFrame], elements: DataFrame
     for x in compared:
         pairs = x if pairs is None else pairs.unionByName(x)
     base = pairs.join(ids.toDF("a"), "a", "left_semi").groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b"), F.max("common").alias("common"))
-    x = ids.toDF("a").join(base, "a", "left").join(elements.toDF("a", "ea"), "a").join(elements.toDF("b", "eb"), "b", "left")
+    held = lambda c: payload.select(F.col("id").alias(c), elements("payload").alias(f"e{c}"))
+    x = ids.toDF("a").join(base, "a", "left").join(held("a"), "a").join(held("b"), "b", "left")
     rest = F.when(F.col("eb").isNull(), F.col("ea")).otherwise(F.array_except("ea", "eb"))
     x = stage(x.select("a", "b", F.coalesce("common", F.lit(0)).alias("common"), rest.alias("rest")), f"{tag}-rest")
     outside = x.select("a", F.explode("rest").alias("e"))
-    held = x.select("b").where("b is not null").distinct().join(elements.toDF("b", "eb"), "b").select(F.lit(2).alias("n"), F.explode("eb").alias("e"))
+    held = x.select("b").where("b is not null").distinct().join(held("b"), "b").select(F.lit(2).alias("n"), F.explode("eb").alias("e"))
     known = outside.select(F.lit(1).alias("n"), "e").unionByName(held).groupBy("e").agg(F.sum("n").alias("n")).where("n > 1").select("e")
     shared = outside.join(known, "e", "left_semi").groupBy("a").agg(F.count(F.lit(1)).alias("more"))
     out = stage(x.join(shared, "a", "left").select(F.col("a").alias("id"), (F.col("common") + F.coalesce("more", F.lit(0))).alias("able")), f"{tag}-able")

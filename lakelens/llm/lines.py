@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from lakelens.llm.common import discard, link_buckets, stage
 
-#: Characters of a shingle; coordinates of a signature and of a band.
-SHINGLE, COORDINATES, ROWS = 5, 48, 6
+#: Characters of a shingle; coordinates of a band.
+SHINGLE, ROWS = 5, 6
+#: Coordinates of a signature and ways to group them into bands, for long and for short lines.
+LONG, BRIEF = (24, 5), (48, 6)
 #: Lines of fewer shingles than this are short and have more bands. Shingles that one row of the aggregation takes together.
 SHORT, STEP = 64, 8
 
@@ -31,31 +33,32 @@ def signatures(lines: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(id, line) to (id, bands): keys of the bands of the MinHash signature of all the line's shingles.
 
     A coordinate is the least of the line's shingle hashes after exclusive or with a constant of its own, or, for short
-    lines, whose few hashes that would not mix enough, after another hash. Bands are groups of ROWS coordinates, those of
-    a long line by two ways to group them, those of a short one by six. Lines near the border are signed both ways.
+    lines, whose few hashes that would not mix enough, after another hash. Bands are groups of ROWS coordinates,
+    by LONG or BRIEF ways to group them. Lines near the border are signed both ways.
     Shingles come in rows of STEP and minima are aggregates, which Spark compiles; lambdas over arrays it would interpret.
     """
     x = chars_of(lines)
-    long = banded(x.where(F.col("last") + 1 >= SHORT * similarity), 2, lambda h, k, c: h.bitwiseXOR(F.lit(c)))
-    return long.unionByName(banded(x.where(F.col("last") + 1 < SHORT), 6, lambda h, k, c: F.xxhash64(h, F.lit(k))))
+    long = banded(x.where(F.col("last") + 1 >= SHORT * similarity), *LONG, lambda h, k, c: h.bitwiseXOR(F.lit(c)))
+    return long.unionByName(banded(x.where(F.col("last") + 1 < SHORT), *BRIEF, lambda h, k, c: F.xxhash64(h, F.lit(k))))
 
 
-def banded(x: DataFrame, ways: int, mixed: Callable[[Column, int, int], Column]) -> DataFrame:
+def banded(x: DataFrame, coordinates: int, ways: int, mixed: Callable[[Column, int, int], Column]) -> DataFrame:
     """(id, chars, last) to (id, bands) with coordinate k made of mixed(hash, k, constant)."""
     rng = random.Random(7)
     x = x.select("id", "chars", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("i"))
     x = x.select("id", *[shingle_at(F.least(F.col("i") + j, F.col("last"))).alias(f"h{j}") for j in range(STEP)])
-    constants = [rng.getrandbits(63) for _ in range(COORDINATES)]
+    constants = [rng.getrandbits(63) for _ in range(coordinates)]
     x = x.groupBy("id").agg(*[F.min(F.least(*[mixed(F.col(f"h{j}"), k, c) for j in range(STEP)])).alias(f"m{k}") for k, c in enumerate(constants)])
-    orders = [list(range(COORDINATES))] + [rng.sample(range(COORDINATES), COORDINATES) for _ in range(ways - 1)]
-    bands = [order[i : i + ROWS] for order in orders for i in range(0, COORDINATES, ROWS)]
+    orders = [list(range(coordinates))] + [rng.sample(range(coordinates), coordinates) for _ in range(ways - 1)]
+    bands = [order[i : i + ROWS] for order in orders for i in range(0, coordinates, ROWS)]
     return x.select("id", F.array(*[F.xxhash64(F.lit(ways), F.lit(b), *[f"m{k}" for k in band]) for b, band in enumerate(bands)]).alias("bands"))
 
 
-def shingles(lines: DataFrame) -> DataFrame:
-    """(id, line) to (id, elements): the hashes of the line's distinct shingles, the same as in its signature."""
-    x = chars_of(lines).select("id", "chars", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
-    return x.select("id", shingle_at(F.col("i")).alias("h")).groupBy("id").agg(F.collect_set("h").alias("elements"))
+def shingles(line: Column | str) -> Column:
+    """A line's distinct shingles as strings."""
+    line = F.col(line) if isinstance(line, str) else line
+    runs = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    return F.array_distinct(F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(runs))
 
 
 def text_key(text: Column) -> Column:
@@ -82,7 +85,7 @@ def line_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id
     place = F.struct(F.col("doc_id").isNull().alias("_n"), "doc_id", "text_hash", "line_no")
     where = stage(lines.groupBy("id").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line")), "lines-ids")
     entries = signatures(where.select("id", "line"), similarity).select(F.explode(F.array_distinct("bands")).alias("bucket"), "id")
-    comp = link_buckets(entries, lambda ids: shingles(where.select("id", "line").join(ids, "id", "left_semi")), similarity, "lines")
+    comp = link_buckets(entries, lambda ids: where.select("id", F.col("line").alias("payload")).join(ids, "id", "left_semi"), shingles, similarity, "lines")
     # a line that occurs once and is in no class is its own first place: nothing more to say of it
     x = where.select("id", "place", "n").join(comp, "id", "left").where("n > 1 or component is not null")
     x = x.select("id", F.coalesce("component", "id").alias("component"), "place")

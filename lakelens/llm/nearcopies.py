@@ -116,7 +116,7 @@ def signatures(docs: DataFrame, band_count: int, band_rows: int, shingle_words:
 
 
 def shingle_sets(texts: DataFrame, shingle_words: int) -> DataFrame:
-    """(id, bytes) to (id, elements): each text's shingles as distinct hashes, the k-th copy of a shingle being one of its own.
+    """(id, bytes) to (id, payload array<long>): each text's shingles as distinct hashes, the k-th copy of a shingle being one of its own.
 
     The Jaccard similarity of these sets is the weighted one of the shingle counts.
     """
@@ -130,9 +130,9 @@ def shingle_sets(texts: DataFrame, shingle_words: int) -> DataFrame:
                 text = np.repeat((e >> BITS).astype(np.int64), w)
                 h = mix64(np.repeat(e & LOW, w) ^ (copy.astype(np.uint64) << BITS))
                 at = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=hi - lo))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))], ["id", "elements"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))], ["id", "payload"])
 
-    return texts.mapInArrow(run, "id long, elements array<long>")
+    return texts.mapInArrow(run, "id long, payload array<long>")
 
 
 def near_classes(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, band_count: int = 30, band_rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,12 +143,12 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, shingle_words: int =
     texts = sig.where("bands is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
     texts = stage(texts.withColumn("node", F.monotonically_increasing_id()), "near-texts")
 
-    def sets(nodes: DataFrame) -> DataFrame:
+    def load(nodes: DataFrame) -> DataFrame:
         some = texts.select("node", "rep", "digest").join(nodes.withColumnRenamed("id", "node"), "node", "left_semi")
         x = t.join(some, (F.col("id") == F.col("rep")) & (F.md5(utf8(F.col("text"))) == F.col("digest"))).select(F.col("node").alias("id"), utf8(F.col("text")).alias("bytes"))
         return shingle_sets(x.dropDuplicates(["id"]), shingle_words)
 
-    comp = link_buckets(texts.select(F.explode(F.array_distinct("bands")).alias("bucket"), F.col("node").alias("id")), sets, similarity, "near")
+    comp = link_buckets(texts.select(F.explode(F.array_distinct("bands")).alias("bucket"), F.col("node").alias("id")), load, F.col, similarity, "near")
     linked = texts.select("digest", "rep", F.col("node").alias("id")).join(comp, "id")
     first = linked.groupBy("component").agg(F.min(F.struct("rep", "digest")).alias("first"))
     classes = linked.join(first, "component").select("digest", "first")

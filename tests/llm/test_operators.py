@@ -159,11 +159,11 @@ def test_every_link_of_a_bucket_is_found(spark):
     sets |= {100 + i: [*range(1000, 1014), *range(2000 + 6 * i, 2006 + 6 * i)] for i in range(60)}  # much in common, no link
     sets |= {200 + i: [*range(1000, 1014), *range(2000 + 6 * i, 2005 + 6 * i), 3000 + i] for i in range(0, 60, 7)}  # copies of some
     entries = spark.createDataFrame([(b, i) for b in (1, 2, 3) for i in sets], "bucket long, id long")
-    table_ = spark.createDataFrame(list(sets.items()), "id long, elements array<long>")
+    table_ = spark.createDataFrame(list(sets.items()), "id long, payload array<long>")
     links = [(a, b) for a in sets for b in sets if a < b and len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})]
     want = {i: c for i, c in closure(sets, links).items() if any(i in x for x in links)}
     for block in (8, 64):
-        got = link_buckets(entries, lambda ids: table_.join(ids, "id"), 0.8, "test", block=block)
+        got = link_buckets(entries, lambda ids: table_.join(ids, "id"), F.col, 0.8, "test", block=block)
         assert {r.id: r.component for r in got.collect()} == want
 
 
