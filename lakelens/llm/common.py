@@ -120,7 +120,7 @@ def link_buckets(entries: DataFrame, load, elements, similarity: float, tag: str
     """
     part = similarity / (1 + similarity)  # Jaccard s: what both have is at least s / (1 + s) of the two sizes
     entries = entries.repartition("bucket")  # one shuffle serves the count and the join
-    several = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    several = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket", "n")
     shared = stage(entries.join(several, "bucket"), f"{tag}-shared")
     payload = load(shared.select("id").distinct())
     payload = stage(payload.withColumn("size", F.size(elements("payload"))), f"{tag}-payload")

@@ -13,7 +13,7 @@ from lakelens.llm.common import discard, link_buckets, stage
 #: Characters of a shingle; coordinates of a band.
 SHINGLE, ROWS = 5, 6
 #: Coordinates of a signature and ways to group them into bands, for long and for short lines.
-LONG, BRIEF = (24, 5), (48, 6)
+LONG, BRIEF = (30, 4), (48, 6)
 #: Lines of fewer shingles than this are short and have more bands. Shingles that one row of the aggregation takes together.
 SHORT, STEP = 64, 8
 
