@@ -191,13 +191,14 @@ def shareable(members: DataFrame, compared: list[DataFrame], payload: DataFrame,
     for x in compared:
         pairs = x if pairs is None else pairs.unionByName(x)
     base = pairs.join(ids.toDF("a"), "a", "left_semi").groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b"), F.max("common").alias("common"))
-    held = lambda c: payload.select(F.col("id").alias(c), elements("payload").alias(f"e{c}"))
+    held = lambda c: payload.select(F.col("id").alias(c), F.col("payload").alias(f"p{c}"))
     x = ids.toDF("a").join(base, "a", "left").join(held("a"), "a").join(held("b"), "b", "left")
-    rest = F.when(F.col("eb").isNull(), F.col("ea")).otherwise(F.array_except("ea", "eb"))
+    rest = F.when(F.col("pb").isNull(), elements("pa")).otherwise(F.array_except(elements("pa"), elements("pb")))
     x = stage(x.select("a", "b", F.coalesce("common", F.lit(0)).alias("common"), rest.alias("rest")), f"{tag}-rest")
-    outside = x.select("a", F.explode("rest").alias("e"))
-    held = x.select("b").where("b is not null").distinct().join(held("b"), "b").select(F.lit(2).alias("n"), F.explode("eb").alias("e"))
-    known = outside.select(F.lit(1).alias("n"), "e").unionByName(held).groupBy("e").agg(F.sum("n").alias("n")).where("n > 1").select("e")
+    outside = x.select("a", F.explode("rest").alias("e")).select("a", F.xxhash64("e").alias("e"))
+    bases = x.select("b").where("b is not null").distinct().join(held("b"), "b")
+    bases = bases.select(F.explode(elements("pb")).alias("e")).select(F.lit(2).alias("n"), F.xxhash64("e").alias("e"))
+    known = outside.select(F.lit(1).alias("n"), "e").unionByName(bases).groupBy("e").agg(F.sum("n").alias("n")).where("n > 1").select("e")
     shared = outside.join(known, "e", "left_semi").groupBy("a").agg(F.count(F.lit(1)).alias("more"))
     out = stage(x.join(shared, "a", "left").select(F.col("a").alias("id"), (F.col("common") + F.coalesce("more", F.lit(0))).alias("able")), f"{tag}-able")
     discard(ids, x)

@@ -16,8 +16,8 @@ from lakelens.llm.arrow import P, P_INV, bytes_of, mix64, powers
 from lakelens.llm.common import discard, stage, utf8
 from lakelens.llm.nearcopies import pieces
 
-#: Bytes of an anchor; a string of `size` bytes holds size - GRAM + 1 of them.
-GRAM = 20
+#: Bytes of an anchor; a string of `size` bytes holds size - GRAM + 1 of them. Places that are worked on at once.
+GRAM, BLOCK = 20, 1 << 16
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
@@ -30,11 +30,15 @@ def anchors(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarra
     none = np.zeros(0, np.int64)
     if n < size:
         return none, none, none, none.view(np.uint64)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(P, n), out=total[1:])
-    h = mix64((total[GRAM:] - total[:-GRAM]) * powers(P_INV, n - GRAM + 1))
+    h, place = np.empty(n - GRAM + 1, np.uint64), np.empty(n - size + 1, np.int64)
+    for lo in range(0, n - GRAM + 1, BLOCK):
+        x = data[lo : lo + BLOCK + GRAM - 1]
+        total = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum((x.astype(np.uint64) + np.uint64(1)) * powers(P, len(x)), out=total[1:])
+        h[lo : lo + BLOCK] = mix64((total[GRAM:] - total[:-GRAM]) * powers(P_INV, len(x) - GRAM + 1))
+    for lo in range(0, n - size + 1, BLOCK):
+        place[lo : lo + BLOCK] = lo + leftmost_least(h[lo : lo + BLOCK + w - 1], w)
     at = np.arange(n - size + 1)
-    place = at + np.lib.stride_tricks.sliding_window_view(h, w).argmin(1)
     length = np.diff(offsets)
     text = np.repeat(np.arange(len(length)), length)[: n - size + 1]
     ok = at + size <= offsets[text + 1]
@@ -45,6 +49,31 @@ def anchors(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarra
     return text[first], at[first], np.diff(np.append(first, len(at))), h[place[first]]
 
 
+def cut_anchors(data: np.ndarray, offsets: np.ndarray, size: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
+    """anchors() of a batch in parts of about `most` bytes: (text, place in data, number, hash); a longer text is cut with an overlap of size - 1."""
+    long = np.flatnonzero(np.diff(offsets) > most)
+    edges = np.unique(np.concatenate([[0], long, long + 1, [len(offsets) - 1]]))  # long texts stand alone
+    for lo, hi in [(a + x, a + y) for a, b in zip(edges, edges[1:], strict=False) for x, y in pieces(offsets[a : b + 1], most)]:
+        if offsets[hi] - offsets[lo] <= 2 * most and lo not in long:
+            text, start, count, fp = anchors(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
+            yield lo + text, offsets[lo] + start, count, fp
+            continue
+        for at in range(offsets[lo], offsets[hi], most):
+            part = data[at : min(at + most + size - 1, offsets[hi])]
+            text, start, count, fp = anchors(part, np.array([0, len(part)]), size)
+            yield lo + text, at + start, count, fp
+
+
+def leftmost_least(h: np.ndarray, w: int) -> np.ndarray:
+    """The place of the least of h[i : i + w] for every i, the leftmost of equals: running minima over spans that double."""
+    place, span = np.arange(len(h)), 1
+    while span < w:
+        step = min(span, w - span)
+        a, b = place[: len(place) - step], place[step:]
+        place, span = np.where(h[b] < h[a], b, a), span + step
+    return place
+
+
 def packed(data: np.ndarray, size: int) -> list[np.ndarray]:
     """For every place the bytes from there on as big-endian integers of 8, enough of them for `size` bytes."""
     wide = np.concatenate([data, np.zeros(size + 16, np.uint8)]).astype(np.uint64)
@@ -172,10 +201,9 @@ def repeated_bytes(docs: DataFrame, size: int = 50, group_rows: int = 20000, id_
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (data, offsets), doc = bytes_of(batch.column("bytes")), batch.column("doc_id").to_numpy()
-            for lo, hi in pieces(offsets, 1 << 21):
-                text, _, _, fp = anchors(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
+            for text, _, _, fp in cut_anchors(data, offsets, size):
                 for s in range(0, len(fp), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(fp[s : s + 50_000].view(np.int64)), pa.array(doc[lo + text[s : s + 50_000]])], ["fp", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(fp[s : s + 50_000].view(np.int64)), pa.array(doc[text[s : s + 50_000]])], ["fp", "doc_id"])
 
     seen = texts.where("doc_id is not null").select("doc_id", "bytes").mapInArrow(prints, "fp long, doc_id long").repartition("fp")
     shared = seen.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("fp")
@@ -187,14 +215,12 @@ def repeated_bytes(docs: DataFrame, size: int = 50, group_rows: int = 20000, id_
             (data, offsets), doc, h = bytes_of(batch.column("bytes")), batch.column("doc_id").to_numpy(), batch.column("h").to_numpy()
             lists = batch.column("fps")
             known = salt(lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy())))
-            for lo, hi in pieces(offsets, 1 << 21):
-                text, start, count, fp = anchors(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
-                on = np.isin(salt(fp, lo + text), known)
-                text, start, count, fp = lo + text[on], start[on] + offsets[lo], count[on], fp[on]
-                raw = data[offsets[lo] : offsets[hi]].tobytes()
+            for text, start, count, fp in cut_anchors(data, offsets, size):
+                on = np.isin(salt(fp, text), known)
+                text, start, count, fp = text[on], start[on], count[on], fp[on]
                 for s in range(0, len(fp), 20_000):
                     x = slice(s, s + 20_000)
-                    snippets = [raw[p : p + c + size - 1] for p, c in zip((start[x] - offsets[lo]).tolist(), count[x].tolist(), strict=True)]
+                    snippets = [data[p : p + c + size - 1].tobytes() for p, c in zip(start[x].tolist(), count[x].tolist(), strict=True)]
                     own = (start[x] - offsets[text[x]]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(fp[x].view(np.int64)), pa.array(doc[text[x]]), pa.array(h[text[x]]), pa.array(own), pa.array(count[x].astype(np.int32)), pa.array(snippets, pa.binary())], ["fp", "doc_id", "h", "start", "count", "snippet"])
 
@@ -238,7 +264,9 @@ def repeated_bytes(docs: DataFrame, size: int = 50, group_rows: int = 20000, id_
     runs = stage(runs, "rep-runs")
     discard(unique, at)
     kept = texts.join(runs, "doc_id", "left").select("doc_id", "bytes", F.try_element_at("runs", F.col("h")).alias("starts"))
-    kept = kept.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    kept = stage(kept.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "rep-kept")
+    discard(runs)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
     empty = F.lit(hashlib.sha256(b"").hexdigest())
     return kept.unionByName(copies.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), empty.alias("kept_sha256")))
 

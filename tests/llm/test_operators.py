@@ -446,3 +446,13 @@ def test_packing_places_every_word_once(spark):
 def test_packing_odd_rows(odd, empty):
     assert packing.pack(empty).count() == 0
     assert {r.doc_id for r in packing.pack(odd).collect()} == {1, 2, 3, None, 5, 6}
+
+
+def test_long_texts_are_cut_without_loss():
+    rng = np.random.default_rng(13)
+    data = rng.integers(97, 100, 30_000).astype(np.uint8)
+    for offsets in (np.array([0, 30_000]), np.array([0, 10, 25_000, 30_000])):
+        want, got = (sorted((int(t), int(s) + j, int(f)) for text, start, count, fp in repeats.cut_anchors(data, offsets, 50, most) for t, s, c, f in zip(text, start, count, fp, strict=True) for j in range(c)) for most in (1 << 20, 4000))
+        assert want == got and len(got) == sum(max(0, b - a - 49) for a, b in zip(offsets, offsets[1:]))
+    h = rng.integers(0, 9, 500).astype(np.uint64)
+    assert np.array_equal(repeats.leftmost_least(h, 31) - np.arange(470), np.lib.stride_tricks.sliding_window_view(h, 31).argmin(1))
