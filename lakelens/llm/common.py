@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query's shuffle files are removed at its end."""
+    before = spark.conf.get(TIDY, "false")
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(TIDY, before)
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
@@ -34,12 +47,8 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(TIDY, "false")
-    spark.conf.set(TIDY, "true")
-    try:
+    with tidy(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(TIDY, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out

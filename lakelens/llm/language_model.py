@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakelens.llm.arrow import bytes_of, mix64, words
-from lakelens.llm.common import remainder, stage, utf8
+from lakelens.llm.common import discard, remainder, stage, utf8
 from lakelens.llm.nearcopies import pieces, unit
 
 END = np.uint64(0x2545F4914F6CDD1D)
@@ -160,7 +160,8 @@ def train(docs: DataFrame, contexts: int = 512, head: int = 1 << 14, rounds: int
     Every word of the corpus is counted, in the restaurant of the word before it. The `contexts` commonest words have
     a restaurant each, all other words share one and the start of a text has one; all share the root restaurant,
     whose base is uniform over the corpus's words and one unknown. A first job samples the seating and gives the
-    contexts' totals, a second samples on with these and averages the predictions of its rounds:
+    contexts' totals, a second samples on with these and averages the seatings of its rounds. Predictions come from the
+    averaged seatings and their own totals, so those of a context sum to 1:
     word table (w, c, p, us, ps): count, root probability, and p(w | u) for each context u where w was seen.
     The `head` commonest words are also returned as an array for broadcasting (at most head * contexts floats).
     """
@@ -194,31 +195,49 @@ def train(docs: DataFrame, contexts: int = 512, head: int = 1 << 14, rounds: int
     got = {r.u: r.t for r in types.mapInArrow(totals, "u int, t double").groupBy("u").agg(F.sum("t").alias("t")).collect()}
     m2 = Model(n, v, vocabulary, m.d, m.theta, customers, np.array([got.get(i, 0.0) for i in range(size)]), got.get(-2, 0.0), got.get(-1, 0.0))
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        new = m2.new()
+    def seated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             w, row, u, c = flat(batch)
-            p_root, p_type = np.zeros(len(w)), np.zeros(len(u))
-            for i, (t, _, _, p) in enumerate(sweeps(m2, w, row, u, c, rounds + 1, seed + 1)):
+            t_type, n_word, t_word = np.zeros(len(u)), np.zeros(len(w)), np.zeros(len(w))
+            for i, (t, n, tw, _) in enumerate(sweeps(m2, w, row, u, c, rounds + 1, seed + 1)):
                 if i:
-                    p_root += p / rounds
-                    p_type += ((c - m2.d[1] * t) / (m2.theta[1] + customers[u]) + new[u] * p[row]) / rounds
+                    t_type, n_word, t_word = t_type + t / rounds, n_word + n / rounds, t_word + tw / rounds
+            ts = pa.ListArray.from_arrays(batch.column("us").offsets, pa.array(t_type))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("w", "c", "us", "cs")), ts, pa.array(n_word), pa.array(t_word)], ["w", "c", "us", "cs", "ts", "n", "t"])
+
+    seats = stage(types.mapInArrow(seated, "w long, c long, us array<int>, cs array<long>, ts array<double>, n double, t double"), "lm-seats")
+    # the totals of these very seatings: each restaurant's predictions sum to 1
+    per = seats.select(F.explode(F.arrays_zip("us", "ts")).alias("x")).groupBy("x.us").agg(F.sum("x.ts").alias("t")).collect()
+    n_root, t_root = seats.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum("t"), F.lit(0.0))).first()
+    tables = np.zeros(size)
+    for r in per:
+        tables[r.us] = r.t
+    m3 = Model(n, v, vocabulary, m.d, m.theta, customers, tables, n_root, t_root)
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new = m3.new()
+        for batch in batches:
+            w, row, u, c = flat(batch)
+            t, n_word, t_word = batch.column("ts").flatten().to_numpy(), batch.column("n").to_numpy(), batch.column("t").to_numpy()
+            p_root = (n_word - m3.d[0] * t_word) / (m3.theta[0] + n_root) + m3.unseen()
+            p_type = (c - m3.d[1] * t) / (m3.theta[1] + customers[u]) + new[u] * p_root[row]
             ps = pa.ListArray.from_arrays(batch.column("us").offsets, pa.array(p_type.astype(np.float32)))
             yield pa.RecordBatch.from_arrays([batch.column("w"), batch.column("c"), pa.array(p_root), batch.column("us"), ps], ["w", "c", "p", "us", "ps"])
 
-    table = stage(types.mapInArrow(predict, "w long, c long, p double, us array<int>, ps array<float>"), "lm-table")
+    table = stage(seats.mapInArrow(predict, "w long, c long, p double, us array<int>, ps array<float>"), "lm-table")
+    discard(uni, types, seats)
     head_words = np.sort(top)
     least = spark.createDataFrame([(int(x),) for x in head_words.view(np.int64)], "w long")
     matrix, counts = np.zeros((len(head_words), size), np.float32), np.zeros(len(head_words), np.int64)
     got = table.join(F.broadcast(least), "w").toArrow().combine_chunks()
     if got.num_rows:
         at = np.searchsorted(head_words, got["w"].to_numpy().view(np.uint64))
-        matrix[at] = np.outer(got["p"].to_numpy(), m2.new())
+        matrix[at] = np.outer(got["p"].to_numpy(), m3.new())
         us, ps = (got[c].chunk(0) for c in ("us", "ps"))
         matrix[np.repeat(at, np.diff(us.offsets.to_numpy())), us.flatten().to_numpy()] = ps.flatten().to_numpy()
         counts[at] = got["c"].to_numpy()
     np.log10(np.maximum(matrix, 1e-30, out=matrix), out=matrix)
-    return m2, table, head_words, (matrix, counts)
+    return m3, table, head_words, (matrix, counts)
 
 
 def score(docs: DataFrame, model: Model, table: DataFrame, head_words: np.ndarray, head: tuple[np.ndarray, np.ndarray]) -> DataFrame:

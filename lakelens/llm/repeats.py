@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakelens.llm.arrow import P, P_INV, bytes_of, mix64, powers
-from lakelens.llm.common import discard, stage, utf8
+from lakelens.llm.common import discard, stage, tidy, utf8
 from lakelens.llm.nearcopies import pieces
 
 #: Bytes of an anchor; a string of `size` bytes holds size - GRAM + 1 of them. Places that are worked on at once.
@@ -195,7 +195,8 @@ def repeated_bytes(docs: DataFrame, size: int = 50, group_rows: int = 20000, id_
     gone = copies.groupBy("doc_id").agg(F.collect_set("digest").alias("gone"))
     own = t.repartition(buckets, "doc_id").join(gone, "doc_id", "left").withColumn("digest", F.md5("bytes"))
     own = own.where(~F.coalesce(F.array_contains("gone", F.col("digest")), F.lit(False))).select("doc_id", F.xxhash64("digest").alias("h"), "bytes")
-    own.write.option("compression", "zstd").bucketBy(buckets, "doc_id").saveAsTable(name, format="parquet")
+    with tidy(spark):
+        own.write.option("compression", "zstd").bucketBy(buckets, "doc_id").saveAsTable(name, format="parquet")
     texts = spark.table(name)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
