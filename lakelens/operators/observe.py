@@ -69,14 +69,16 @@ def chains(spark: SparkSession, links: DataFrame, key: str, parent: str) -> Data
     Rows of a cycle, or with a parent that is missing, have a null root.
     """
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lakelens-"))
     x = links.select(F.col(key).alias("key"), F.col(parent).alias("up"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    n = max(1, x.count())
-    for _ in range(n.bit_length()):
+    n, moved = max(1, x.count()), True
+    while moved and n:  # at most log2 of the rows, the longest chain there can be
         y = x.select(F.col("key").alias("_k"), F.col("up").alias("_u"), F.col("depth").alias("_d"))
         x = x.join(y, F.col("up") == F.col("_k"), "left")
-        x = x.select("key", F.when(F.col("_k").isNull(), F.col("up")).otherwise(F.coalesce("_u", "up")).alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"))
-        x = x.checkpoint()
+        x = x.select("key", F.when(F.col("_k").isNull(), F.col("up")).otherwise(F.coalesce("_u", "up")).alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), F.col("_u").isNotNull().alias("moved")).checkpoint()
+        n, moved = n >> 1, not x.where("moved").isEmpty()
     roots = links.where(F.col(parent).isNull()).select(F.col(key).alias("_r"))
     top = x.withColumn("up", F.coalesce("up", "key")).join(roots, F.col("up") == F.col("_r"), "left")
     return top.select("key", F.col("_r").alias("root"), F.when(F.col("_r").isNotNull(), F.col("depth")).alias("depth"))

@@ -121,11 +121,14 @@ def occurrences(leaf: Node, at: Column) -> Column:
         hits = F.map_filter(at, lambda k, v: k.startswith(leaf.parts[0]))
         return F.aggregate(F.map_values(hits), F.lit(0), lambda s, v: s + F.size(v))
     places = [F.coalesce(F.element_at(at, F.lit(w)), F.array().cast("array<int>")) for w in leaf.parts]
-    following = lambda p, i: lambda x: F.array_contains(p, x + i)
-    close = lambda p: lambda x: F.exists(p, lambda y: F.abs(y - x) <= leaf.distance + 1)
+    back = lambda i: lambda x: x - i
     ok = places[0]
     for i, p in enumerate(places[1:], 1):
-        ok = F.filter(ok, following(p, i) if leaf.kind == "phrase" else close(p))
+        if leaf.kind == "phrase":
+            hits = F.transform(p, back(i))
+        else:
+            hits = F.flatten(F.transform(p, lambda x: F.sequence(x - leaf.distance - 1, x + leaf.distance + 1)))
+        ok = F.array_intersect(ok, hits)
     return F.size(ok)
 
 
