@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -229,3 +230,82 @@ def durbin_watson(df: DataFrame, residual: str, order: str, by: str) -> DataFram
     e = F.col(residual)
     step = e - F.lag(residual).over(Window.partitionBy(by).orderBy(order))
     return df.withColumn("_d", step * step).groupBy(by).agg((F.sum("_d") / F.sum(e * e)).alias("dw"))
+
+
+def lag_correlation(df: DataFrame, x: str, y: str, by: str, order: Sequence[str], k: int = 1) -> DataFrame:
+    """Pearson r of x with y k rows before, within each series."""
+    lagged = F.lag(clean_number(y), k).over(Window.partitionBy(by).orderBy(*order))
+    return correlation(df.select(F.col(x).alias("x"), lagged.alias("y")), "x", "y")
+
+
+def mean_difference(df: DataFrame, value: str, group: str, confidence: float = 0.95) -> DataFrame:
+    """Difference of two groups' means with its Welch interval."""
+    a, b = group_stats(df, value, group).orderBy("g").collect()
+    va, vb = a["var"] / a.n, b["var"] / b.n
+    dof = (va + vb) ** 2 / (va**2 / (a.n - 1) + vb**2 / (b.n - 1))
+    diff, half = a["mean"] - b["mean"], S.t_quantile(0.5 + confidence / 2, dof) * math.sqrt(va + vb)
+    return result(df, diff=diff, se=math.sqrt(va + vb), df=dof, low=diff - half, high=diff + half)
+
+
+def paired_interval(df: DataFrame, x: str, y: str, confidence: float = 0.95) -> DataFrame:
+    """Mean of x - y over complete pairs with its interval."""
+    return mean_interval(df.select((clean_number(x) - clean_number(y)).alias("d")), "d", confidence)
+
+
+def t_route(df: DataFrame, value: str, group: str, level: float = 0.05) -> tuple[str, DataFrame]:
+    """The test that two groups call for, and its row: Mann-Whitney unless both look normal, else Welch unless variances agree, else t."""
+    groups = [r.g for r in group_stats(df, value, group).orderBy("g").collect()]
+    looks = [normality(df.where(F.col(group) == g), value).first().p for g in groups]
+    if min(looks) < level:
+        return "mannwhitney", mann_whitney(df, value, group)
+    equal = levene(df, value, group).first().p >= level
+    return ("ttest" if equal else "welch"), t_test(df, value, group, equal_variances=equal)
+
+
+def post_hoc(df: DataFrame, value: str, group: str) -> DataFrame:
+    """(a, b, diff, q, p) of every pair of groups by Tukey and Kramer; groups of fewer than two values are left out."""
+    rows = [r for r in group_stats(df, value, group).orderBy("g").collect() if r.n > 1]
+    n, k = sum(r.n for r in rows), len(rows)
+    if k < 2 or n <= k:
+        return df.sparkSession.createDataFrame([], "a string, b string, diff double, q double, p double")
+    within = sum((r.n - 1) * r["var"] for r in rows) / (n - k)
+    out = []
+    for i, a in enumerate(rows):
+        for b in rows[i + 1 :]:
+            se = math.sqrt(within / 2 * (1 / a.n + 1 / b.n))
+            diff = b["mean"] - a["mean"]
+            q = abs(diff) / se if se else (math.inf if diff else 0.0)
+            out.append((str(a.g), str(b.g), diff, q, S.studentized_range_tail(q, k, n - k)))
+    return df.sparkSession.createDataFrame(out, "a string, b string, diff double, q double, p double")
+
+
+def bootstrap_mean(df: DataFrame, value: str, key: str, replicates: int = 2000, confidence: float = 0.95, seed: int = 7) -> DataFrame:
+    """Percentile interval of the mean over replicates in which each row counts a Poisson(1) number of times.
+
+    The counts come from a hash of (key, replicate), so reruns agree however the rows are partitioned. Tasks send one
+    sum and one count a replicate.
+    """
+    cuts = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
+    reps = np.random.default_rng(seed).integers(1, 2**63, replicates, dtype=np.uint64)
+
+    def sums(batches):
+        total, count = np.zeros(replicates), np.zeros(replicates)
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at : at + 256]
+                with np.errstate(over="ignore"):
+                    h = part["h"].to_numpy().astype(np.uint64)[:, None] ^ reps
+                    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                    h ^= h >> np.uint64(31)
+                w = np.searchsorted(cuts, (h >> np.uint64(11)) / 2.0**53, side="right")
+                total += part["v"].to_numpy() @ w
+                count += w.sum(0)
+        yield pd.DataFrame({"r": np.arange(replicates), "s": total, "n": count})
+
+    rows = df.select(F.xxhash64(key).alias("h"), clean_number(value).alias("v")).where("v is not null")
+    means = rows.mapInPandas(sums, "r int, s double, n double").groupBy("r").agg((F.sum("s") / F.sum("n")).alias("m"))
+    low, high = (1 - confidence) / 2, (1 + confidence) / 2
+    ends = means.agg(F.percentile("m", low), F.percentile("m", high)).first()  # `replicates` rows
+    n, mean = rows.agg(F.count("v"), F.avg("v")).first()
+    return result(df, n=n, mean=float("nan") if mean is None else mean, low=float("nan") if ends[0] is None else ends[0], high=float("nan") if ends[1] is None else ends[1])

@@ -184,3 +184,37 @@ def regex_search(docs: DataFrame, key: str, text: str, pattern: str, context: in
 def unchanged(index: DataFrame, files: DataFrame) -> DataFrame:
     """Files (path, hash) that the index lacks or has with another hash: what is to be indexed again."""
     return files.join(index.select("path", "hash"), ["path", "hash"], "left_anti")
+
+
+def ranked(
+    docs: DataFrame, key: str, text: str, query: str, condition: Column | None = None, meta: DataFrame | None = None, order: str = "relevance", modified: str | None = None, path: str | None = None, context: int = 30
+) -> DataFrame:
+    """Rows of docs that match the query and the condition, with score and snippet, in one of four orders.
+
+    Scores are those of the whole table; the condition may use columns of `meta`, joined by key (documents without a
+    row there are left out). Orders: relevance, newest, oldest, path; ties by score, then key. The snippet is the
+    first place of one of the query's words with `context` characters on both sides; null if none is written so.
+    """
+    by = {"relevance": [], "newest": [F.desc_nulls_last(modified)] if modified else None, "oldest": [F.asc_nulls_last(modified)] if modified else None, "path": [F.lower(path)] if path else None}
+    if by.get(order) is None:
+        raise ValueError(f"cannot order by {order!r}")
+    words = sorted({re.escape(w) for leaf in leaves(parse(query)) for w in leaf.parts})
+    rows = docs if meta is None else docs.join(meta, key)
+    if condition is not None:
+        rows = rows.where(condition)
+    hits = search(docs, key, text, query).withColumnRenamed("key", key)
+    snippet = F.nullif(F.regexp_extract(text, f"(?is).{{0,{context}}}(?:{'|'.join(words)}).{{0,{context}}}", 0), F.lit(""))
+    return rows.join(hits, key).withColumn("snippet", snippet).orderBy(*by[order], F.desc("score"), key)
+
+
+def search_or_fuzzy(docs: DataFrame, key: str, text: str, query: str, near: float = 0.8) -> DataFrame:
+    """(key, score, term): the query's matches; where it has none, those of the vocabulary's terms within the edit share `near` of it."""
+    hits = search(docs, key, text, query)
+    if not hits.isEmpty():
+        return hits.withColumn("term", F.lit(query))
+    word = query.strip().lower()
+    share = 1 - F.levenshtein("term", F.lit(word)) / F.greatest(F.length("term"), F.lit(len(word)))
+    like = vocabulary(docs, key, text).where(F.abs(F.length("term") - len(word)) <= len(word)).withColumn("share", share).where(F.col("share") >= near)
+    terms = like.select("term", "share")
+    found = tokens(docs, key, text).join(terms, "term")
+    return found.groupBy("key").agg(F.max("share").alias("score"), F.max_by("term", F.struct("share", "term")).alias("term"))

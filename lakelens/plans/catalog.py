@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakelens.functions import scalar as S
@@ -17,29 +14,10 @@ from lakelens.operators import observe as O
 from lakelens.operators import profile as R
 from lakelens.operators import search as X
 from lakelens.operators import timeseries as N
+from lakelens.plans import records  # noqa: F401  registers its queries
+from lakelens.plans.registry import QUERIES, SQL, query, rounded  # noqa: F401
 from lakelens.sources import text as TX
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    """Register a function (t) -> DataFrame under its name; t(name) reads a table of the data folder."""
-
-    def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that sums taken in another order compare equal."""
-    return df.select(*[(F.round(F.col(c), digits) if t == "double" else F.col(c)).alias(c) for c, t in df.dtypes])
-
-
 NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
