@@ -29,6 +29,13 @@ WORDS = {
     "draft": ["draft", "manuscript", "preprint"],
     "published": ["published", "accepted", "final"],
     "admin": ["ethics", "irb", "grant", "budget", "admin", "approval"],
+    "simulation": ["simulation", "sim", "fea", "cfd", "analysis", "model"],
+    "calculation": ["calc", "calculation", "spreadsheet", "load", "stress", "tolerance"],
+    "standard": ["standard", "specification", "code", "iso", "din", "astm"],
+    "drawing": ["drawing", "drawings", "schematic", "layout"],
+    "site_photo": ["photo", "site", "inspection", "field"],
+    "report": ["report", "summary", "review", "memo"],
+    "design": ["design", "concept", "spec", "requirement"],
 }
 EXTENSIONS = {
     "notebook": ["ipynb"],
@@ -43,6 +50,18 @@ EXTENSIONS = {
     "note": ["md", "txt", "rst"],
     "presentation": ["ppt", "pptx", "key"],
     "research_script": ["py", "r", "jl", "m", "ipynb", "sql"],
+    "cad": ["dwg", "dxf", "step", "stp", "iges", "igs", "sldprt", "sldasm", "f3d"],
+    "simulation": ["fem", "inp", "odb", "msh", "sim", "ans", "cfd"],
+    "calculation": ["xlsx", "xls", "csv", "m", "py", "ipynb", "r"],
+    "report": ["pdf", "doc", "docx", "md", "txt"],
+    "image": ["jpg", "jpeg", "png", "tiff", "bmp"],
+    "scan": ["jpg", "jpeg", "png", "dcm"],
+    "video": ["mp4", "avi", "mov", "mkv"],
+    "it_script": ["py", "bat", "ps1", "sh"],
+    "it_config": ["cfg", "ini", "yaml", "yml", "json"],
+    "it_manual": ["pdf", "docx"],
+    "it_note": ["md", "txt"],
+    "it_log": ["log"],
 }
 
 
@@ -128,6 +147,44 @@ def research_folder(path: str | Column) -> Column:
     return F.concat(F.lit("Research/"), tail)
 
 
+def engineering_folder(path: str | Column) -> Column:
+    word, kind, _ = _tests(path)
+    rules = [
+        (kind("cad"), "CAD"),
+        (kind("simulation") | word("simulation"), "Projects/Simulation"),
+        (kind("calculation") | word("calculation"), "Projects/Calculations"),
+        (word("standard"), "Standards"),
+        (word("drawing"), "Drawings"),
+        (kind("image") | word("site_photo"), "Photos"),
+        (kind("report") | word("report"), "Projects/Reports"),
+        (word("design"), "Projects/Design"),
+    ]
+    return F.concat(F.lit("Engineering/"), first_of(rules, "Archive"))
+
+
+def health_folder(path: str | Column, patient: str | Column | None = None) -> Column:
+    """Below the patient's own folder where `patient` is not null."""
+    _, kind, low = _tests(path)
+    has = lambda w: F.contains(low, F.lit(w))
+    rules = [(has("report"), "Reports"), (kind("scan") | has("image"), "Imaging"), (has("lab"), "Lab"), (has("admin"), "Admin"), (has("guideline"), "Guidelines")]
+    who = F.lit(None).cast("string") if patient is None else F.col(patient) if isinstance(patient, str) else patient
+    return F.concat_ws("/", F.lit("Health"), F.concat(F.lit("Patients/"), who), first_of(rules, "Archive"))
+
+
+def it_folder(path: str | Column) -> Column:
+    _, kind, _ = _tests(path)
+    rules = [(kind("it_script"), "Code/Scripts"), (kind("it_config"), "Configs"), (kind("it_manual"), "Docs/Manuals"), (kind("it_note"), "Docs/Notes"), (kind("it_log"), "Logs")]
+    return F.concat(F.lit("IT/"), first_of(rules, "Resources"))
+
+
+def media_folder(path: str | Column, day: str | Column, shoot: str | None = None) -> Column:
+    """Images go to the shoot of the day, named if `shoot` is given."""
+    _, kind, _ = _tests(path)
+    date = F.date_format(F.lit(day).cast("date") if isinstance(day, str) else day, "yyyy-MM-dd")
+    folder = F.concat(F.lit("Media/Shoots/"), F.concat_ws("-", date, F.lit(shoot)), F.lit("/00_RAW"))
+    return first_of([(kind("image"), folder), (kind("video"), "Media/Video")], "Media/Archive")
+
+
 def placed(files: DataFrame, path: str, folder: Column) -> DataFrame:
     """Each file with its destination: the folder and its own name."""
     return files.withColumn("destination", F.concat(folder, F.lit("/"), file_name(path)))

@@ -19,8 +19,8 @@ def _pick(key: str, values: list[str]) -> str:
     return f"case {key} % {len(values)} " + " ".join(f"when {i} then '{v}'" for i, v in enumerate(values)) + " end"
 
 
-_STEMS = ["raw", "clean_scan", "output", "Invoice_paid", "rechnung_vendor", "bill", "inv_offen", "Receipt_2019", "steuer", "agreement", "payroll_1998", "ethics", "citation", "manuscript", "accepted", "photo", "table", "notes"]
-_ENDS = [".csv", ".json.gz", ".ipynb", ".py", ".PNG", ".db", ".pdf", ".pptx", ".md", ".tex", "", ".key"]
+_STEMS = ["raw", "clean_scan", "output", "Invoice_paid", "rechnung_vendor", "bill", "inv_offen", "Receipt_2019", "steuer", "agreement", "payroll_1998", "ethics", "citation", "manuscript", "accepted", "photo", "table", "notes", "lab_image", "design memo", "layout", "guideline", "yearly_report"]
+_ENDS = [".csv", ".json.gz", ".ipynb", ".py", ".PNG", ".db", ".pdf", ".pptx", ".md", ".tex", "", ".key", ".mp4", ".dwg", ".sh", ".log", ".docx", ".json"]
 NAME = f"concat({_pick('o_orderkey', _STEMS)}, '_', cast(o_custkey as string), {_pick('o_custkey', _ENDS)})"
 PATH = f"concat('in/', o_orderpriority, '/', {NAME})"
 _FILES = f"(select o_orderkey as id, {PATH} as path, lower({NAME}) as n, case when lower({NAME}) like '%.json.gz' then 'json.gz' else regexp_extract(lower({NAME}), '[^/.]\\.([^./]+)$', 1) end as e, {NAME} as name from orders)"
@@ -82,6 +82,37 @@ def place_research(t):
     return P.placed(_files(t), "path", P.research_folder("path"))
 
 
+@query(
+    _placed(
+        f"""'Engineering/' || case when {_is("cad")} then 'CAD' when {_is("simulation")} or {_has("simulation")} then 'Projects/Simulation' when {_is("calculation")} or {_has("calculation")} then 'Projects/Calculations' when {_has("standard")} then 'Standards'
+        when {_has("drawing")} then 'Drawings' when {_is("image")} or {_has("site_photo")} then 'Photos' when {_is("report")} or {_has("report")} then 'Projects/Reports' when {_has("design")} then 'Projects/Design' else 'Archive' end"""
+    )
+)
+def place_engineering(t):
+    return P.placed(_files(t), "path", P.engineering_folder("path"))
+
+
+@query(
+    _placed(
+        f"""'Health/' || case when id % 2 = 0 then 'Patients/p' || id || '/' else '' end || case when contains(n, 'report') then 'Reports' when {_is("scan")} or contains(n, 'image') then 'Imaging' when contains(n, 'lab') then 'Lab'
+        when contains(n, 'admin') then 'Admin' when contains(n, 'guideline') then 'Guidelines' else 'Archive' end"""
+    )
+)
+def place_health(t):
+    who = F.when(F.col("id") % 2 == 0, F.concat(F.lit("p"), F.col("id").cast("string")))
+    return P.placed(_files(t), "path", P.health_folder("path", who))
+
+
+@query(_placed(f"""'IT/' || case when {_is("it_script")} then 'Code/Scripts' when {_is("it_config")} then 'Configs' when {_is("it_manual")} then 'Docs/Manuals' when {_is("it_note")} then 'Docs/Notes' when {_is("it_log")} then 'Logs' else 'Resources' end"""))
+def place_it(t):
+    return P.placed(_files(t), "path", P.it_folder("path"))
+
+
+@query(_placed(f"""case when {_is("image")} then 'Media/Shoots/2024-05-06-sea/00_RAW' when {_is("video")} then 'Media/Video' else 'Media/Archive' end"""))
+def place_media(t):
+    return P.placed(_files(t), "path", P.media_folder("path", "2024-05-06", "sea"))
+
+
 @query("""
 select doc_id, source, n_chars from (select *, count(*) over (partition by source, n_chars) as a, count(*) over (partition by source, n_chars, md5(text)) as b from documents) where a > 1 and b > 1 and text is not null
 """)
