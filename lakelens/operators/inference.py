@@ -21,6 +21,21 @@ def result(data: DataFrame, /, **values: object) -> DataFrame:
     return data.sparkSession.createDataFrame([tuple(plain.values())], ", ".join(f"{k} {kind[type(v)]}" for k, v in plain.items()))
 
 
+NAN = float("nan")
+
+
+def over(a: float, b: float) -> float:
+    """a / b, infinite or NaN where b is 0."""
+    return a / b if b else (math.copysign(math.inf, a) if a else NAN)
+
+
+def p_of(tail, statistic: float, *dof: float) -> float:
+    """The tail's p value; 0 at infinity, NaN without a statistic or a degree of freedom."""
+    if math.isnan(statistic) or any(not d > 0 for d in dof):
+        return NAN
+    return 0.0 if math.isinf(statistic) else tail(statistic, *dof)
+
+
 def group_stats(df: DataFrame, value: str, group: str) -> DataFrame:
     """n, mean and var (sample) of each group, nulls left out."""
     x = df.select(F.col(group).alias("g"), clean_number(value).alias("v")).where("g is not null and v is not null")
@@ -63,6 +78,8 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     for c in ("x", "y"):
         d = d.join(average_ranks(d, c).select(F.col("value").alias(c), F.col("rank").alias(f"r{c}")), c)
     r, n = d.agg(F.corr("rx", "ry"), F.count(F.lit(1))).first()
+    if r is None or n < 3:
+        return result(df, n=n, r=NAN, p=NAN)
     return result(df, n=n, r=r, p=S.t_two_sided(r * math.sqrt((n - 2) / max(1e-300, 1 - r * r)), n - 2))
 
 
@@ -80,18 +97,23 @@ def t_test(df: DataFrame, value: str, group: str, equal_variances: bool = False)
     if len(rows) != 2:
         raise ValueError(f"two groups are needed, there are {len(rows)}")
     (a, b) = rows
+    if min(a.n, b.n) < 2:
+        return result(df, t=NAN, df=NAN, p=NAN, d=NAN, diff=a["mean"] - b["mean"])
     pooled = ((a.n - 1) * a["var"] + (b.n - 1) * b["var"]) / (a.n + b.n - 2)
     va, vb = (pooled / a.n, pooled / b.n) if equal_variances else (a["var"] / a.n, b["var"] / b.n)
-    dof = float(a.n + b.n - 2) if equal_variances else (va + vb) ** 2 / (va**2 / (a.n - 1) + vb**2 / (b.n - 1))
-    t = (a["mean"] - b["mean"]) / math.sqrt(va + vb)
-    return result(df, t=t, df=dof, p=S.t_two_sided(t, dof), d=(a["mean"] - b["mean"]) / math.sqrt(pooled), diff=a["mean"] - b["mean"])
+    dof = float(a.n + b.n - 2) if equal_variances else over((va + vb) ** 2, va**2 / (a.n - 1) + vb**2 / (b.n - 1))
+    diff = a["mean"] - b["mean"]
+    t = over(diff, math.sqrt(va + vb))
+    return result(df, t=t, df=dof, p=NAN if math.isnan(dof) else p_of(S.t_two_sided, t, dof), d=over(diff, math.sqrt(pooled)), diff=diff)
 
 
 def paired_t_test(df: DataFrame, x: str, y: str) -> DataFrame:
     d = df.select((clean_number(x) - clean_number(y)).alias("d")).dropna()
     n, mean, sd = d.agg(F.count("d"), F.avg("d"), F.stddev_samp("d")).first()
-    t = mean / (sd / math.sqrt(n))
-    return result(df, n=n, t=t, p=S.t_two_sided(t, n - 1), dz=mean / sd)
+    if n < 2:
+        return result(df, n=n, t=NAN, p=NAN, dz=NAN)
+    t = over(mean, sd / math.sqrt(n))
+    return result(df, n=n, t=t, p=p_of(S.t_two_sided, t, n - 1), dz=over(mean, sd))
 
 
 def bayes_t_test(df: DataFrame, value: str, group: str, r: float = 0.707) -> DataFrame:
@@ -106,10 +128,14 @@ def anova(df: DataFrame, value: str, group: str) -> DataFrame:
     """One-way analysis of variance: F, p, eta squared; Welch's F and p beside it."""
     rows = [r for r in group_stats(df, value, group).collect() if r.n > 1]
     k, n = len(rows), sum(r.n for r in rows)
+    if k < 2:
+        return result(df, k=k, n=n, f=NAN, p=NAN, eta2=NAN, welch_f=NAN, welch_p=NAN)
     grand = sum(r.n * r["mean"] for r in rows) / n
     between = sum(r.n * (r["mean"] - grand) ** 2 for r in rows)
     within = sum((r.n - 1) * r["var"] for r in rows)
-    f = (between / (k - 1)) / (within / (n - k))
+    f = over(between / (k - 1), within / (n - k))
+    if any(r["var"] == 0 for r in rows):  # Welch's weights are not defined
+        return result(df, k=k, n=n, f=f, p=p_of(S.f_tail, f, k - 1, n - k), eta2=over(between, between + within), welch_f=NAN, welch_p=NAN)
     w = [r.n / r["var"] for r in rows]
     m = sum(wi * r["mean"] for wi, r in zip(w, rows, strict=True)) / sum(w)
     spread = sum((1 - wi / sum(w)) ** 2 / (r.n - 1) for wi, r in zip(w, rows, strict=True))
@@ -136,10 +162,13 @@ def rank_sums(df: DataFrame, value: str, group: str) -> tuple[list, float, int]:
 
 def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
     """U of the first group (by value), two-sided p by the normal approximation with ties, rank-biserial 1 - 2U/(n1 n2)."""
-    (a, b), ties, n = rank_sums(df, value, group)
+    rows, ties, n = rank_sums(df, value, group)
+    if len(rows) != 2:
+        raise ValueError(f"two groups are needed, there are {len(rows)}")
+    a, b = rows
     u = a.r - a.n * (a.n + 1) / 2
     sd = math.sqrt(a.n * b.n / 12 * ((n + 1) - ties / (n * (n - 1))))
-    z = (max(u, a.n * b.n - u) - a.n * b.n / 2 - 0.5) / sd
+    z = (max(u, a.n * b.n - u) - a.n * b.n / 2 - 0.5) / sd if sd > 0 else 0.0
     return result(df, u=float(u), p=min(1.0, S.normal_two_sided(max(z, 0.0))), rank_biserial=1 - 2 * u / (a.n * b.n))
 
 
@@ -147,6 +176,8 @@ def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
     """H corrected for ties, p and epsilon squared (H - k + 1)/(n - k)."""
     rows, ties, n = rank_sums(df, value, group)
     k = len(rows)
+    if k < 2 or n <= k or ties == n**3 - n:
+        return result(df, k=k, n=n, h=NAN, p=NAN, epsilon2=NAN)
     h = (12 / (n * (n + 1)) * sum(r.r**2 / r.n for r in rows) - 3 * (n + 1)) / (1 - ties / (n**3 - n))
     return result(df, k=k, n=n, h=float(h), p=S.chi2_tail(h, k - 1), epsilon2=(h - k + 1) / (n - k))
 
@@ -180,6 +211,8 @@ def vif(df: DataFrame, xs: Sequence[str]) -> DataFrame:
 
 def mean_interval(df: DataFrame, value: str, confidence: float = 0.95) -> DataFrame:
     n, mean, sd = df.select(clean_number(value).alias("v")).agg(F.count("v"), F.avg("v"), F.stddev_samp("v")).first()
+    if n < 2:
+        return result(df, n=n, mean=NAN if mean is None else mean, low=NAN, high=NAN)
     half = S.t_quantile(0.5 + confidence / 2, n - 1) * sd / math.sqrt(n)
     return result(df, n=n, mean=mean, low=mean - half, high=mean + half)
 

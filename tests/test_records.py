@@ -100,3 +100,16 @@ def test_date_column_rules(spark):
     assert L.date_column(d) == "created" and L.date_column(d, "b") == "b"
     assert L.date_column(d.select("a", "b")) == "b" and L.date_column(d.select("a")) is None
     assert L.date_column(d.where("false")) is None
+
+
+def test_degenerate_groups_give_no_errors(spark):
+    one = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 1.0), ("b", 1.0), (None, None)], "g string, v double")
+    assert np.isnan(I.t_test(one, "v", "g").first().t) and np.isnan(I.anova(one, "v", "g").first().f) and np.isnan(I.kruskal(one, "v", "g").first().h)
+    assert I.mann_whitney(one, "v", "g").first().p == 1.0
+    apart = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 2.0), ("b", 2.0)], "g string, v double")
+    assert np.isinf(I.anova(apart, "v", "g").first().f) and I.anova(apart, "v", "g").first().p == 0.0
+    assert np.isnan(I.mean_interval(one.where("false"), "v").first().mean) and np.isnan(I.anova(one.where("false"), "v", "g").first().f)
+    pairs = spark.createDataFrame([(1.0, 2.0), (2.0, 3.0)], "x double, y double")
+    assert np.isinf(I.paired_t_test(pairs, "x", "y").first().t) and np.isnan(I.spearman(pairs, "x", "y").first().p)
+    with pytest.raises(ValueError):
+        I.mann_whitney(one.where("g = 'a'"), "v", "g")
