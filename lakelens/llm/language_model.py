@@ -14,9 +14,8 @@ from lakelens.llm.arrow import bytes_of, mix64, words
 from lakelens.llm.common import discard, remainder, stage, utf8
 from lakelens.llm.nearcopies import pieces, unit
 
-END = np.uint64(0x2545F4914F6CDD1D)
-#: Context restaurants 0 and 1: any word that has none of its own, and the start of a text.
-OTHER, START = 0, 1
+#: The end of a text, a token like the words; the start of a text, a context only.
+END, START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9D39247E33776D41)
 SMALL = 64
 
 
@@ -31,16 +30,18 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, counts + 1
 
 
-def contexts_of(w: np.ndarray, counts: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """The context restaurant of each token: that of the word before it. vocabulary is sorted; number i has i + 2."""
-    at = np.minimum(np.searchsorted(vocabulary, w), len(vocabulary) - 1) if len(vocabulary) else np.zeros(len(w), np.int64)
-    own = np.where(vocabulary[at] == w, at + 2, OTHER) if len(vocabulary) else np.zeros(len(w), np.int64)
-    u = np.empty(len(w), np.int64)
-    u[1:] = own[:-1]
+def contexts_of(w: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The context of each token: the word before it, or START."""
+    u = np.empty(len(w), np.uint64)
+    u[1:] = w[:-1]
     u[np.cumsum(counts) - counts] = START
     return u
 
 
+def pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix64(u * np.uint64(0x9E3779B97F4A7C15) ^ mix64(w))
+
+
 def stirling(d: float) -> np.ndarray:
     """Logarithms of the generalised Stirling numbers S_d(n, k), n and k up to SMALL."""
     out = np.full((SMALL + 1, SMALL + 1), -np.inf)
@@ -82,56 +83,30 @@ def seat(c: np.ndarray, a: np.ndarray, d: float, table: np.ndarray, u: np.ndarra
 
 @dataclass
 class Model:
-    """What is not kept by word: totals, discounts and the state of the context restaurants (a few KB)."""
+    """Totals and discounts; one row a word and one a bigram, in staged tables; the commonest bigrams' predictions.
+
+    words: (x, c, p, new, den): a word's count and root probability, and as a context its mass for the root's prediction
+    and its denominator. own: (h, own): the part of a bigram's prediction before division that its own seating gives.
+    hot: the words that make up at least 1 / HOT of all tokens, of which there are at most HOT.
+    """
 
     n: int
     v: int
-    vocabulary: np.ndarray
     d: tuple[float, float]
     theta: tuple[float, float]
-    customers: np.ndarray
-    tables: np.ndarray
-    root_customers: float
-    root_tables: float
-
-    def new(self) -> np.ndarray:
-        """Each context's mass for its parent's prediction."""
-        return (self.theta[1] + self.d[1] * self.tables) / (self.theta[1] + self.customers)
+    unseen: float
+    words: DataFrame
+    own: DataFrame
+    hot: DataFrame
+    head: tuple[np.ndarray, np.ndarray, np.ndarray]
 
-    def unseen(self) -> float:
-        """The root's probability of a word that training lacks: one of v + 1 equal words of its base."""
-        return (self.theta[0] + self.d[0] * self.root_tables) / (self.theta[0] + self.root_customers) / (self.v + 1)
 
+#: See Model.hot.
+HOT = 1 << 15
 
-def sweeps(m: Model, w: np.ndarray, row: np.ndarray, u: np.ndarray, c: np.ndarray, rounds: int, seed: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Gibbs rounds over whole words: tables of each (context, word), and each word's customers, tables and root probability.
 
-    A word's dish is served in its contexts' restaurants (u, c; row is the word's number), each table of which is a
-    customer of the shared parent. The contexts' own totals are those of the job before.
-    """
-    rest, root = (stirling(d) for d in (m.d[1], m.d[0]))
-    base = (m.theta[0] + m.d[0] * m.root_tables) / (m.v + 1)
-    p = np.maximum(np.bincount(row, minlength=len(w)), 1) / max(m.root_customers, 1.0)
-    h = mix64(w[row] + np.uint64(0x9E3779B97F4A7C15) * (u.astype(np.uint64) + np.uint64(1)))
-    for s in range(rounds):
-        z = np.uint64(0xD1B54A32D192ED03 * (seed * 1000 + s + 1) % (1 << 64))
-        t = seat(c, (m.theta[1] + m.d[1] * m.tables[u]) * p[row], m.d[1], rest, unit(mix64(h ^ z)))
-        n = np.bincount(row, t, len(w))
-        tw = seat(n, np.full(len(w), base), m.d[0], root, unit(mix64(w ^ z)))
-        p = (n - m.d[0] * tw + base) / (m.theta[0] + m.root_customers)
-        yield t, n, tw, p
-
-
-def flat(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    w = batch.column("w").to_numpy(zero_copy_only=False).view(np.uint64)
-    us, cs = batch.column("us"), batch.column("cs")
-    sizes = np.diff(us.offsets.to_numpy())
-    return w, np.repeat(np.arange(len(w)), sizes), us.flatten().to_numpy(zero_copy_only=False).astype(np.int64), cs.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-
-
-def count_pass(docs: DataFrame, vocabulary: np.ndarray | None) -> DataFrame:
-    """(w, u, c): tokens counted within each batch, by word (u = 0) or, given the contexts, by word and context."""
-    size = 1 if vocabulary is None else len(vocabulary) + 2
+def count_pass(docs: DataFrame, of_pairs: bool) -> DataFrame:
+    """(u, w, c): tokens counted within each batch, by word (u = 0) or by context and word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,157 +114,197 @@ def count_pass(docs: DataFrame, vocabulary: np.ndarray | None) -> DataFrame:
             held: list[tuple[np.ndarray, np.ndarray]] = []  # tokens of some pieces, counted together
             for lo, hi in pieces(offsets):
                 w, each = tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                held.append((w, np.zeros(len(w), np.int16) if vocabulary is None else contexts_of(w, each, vocabulary).astype(np.int16)))
+                held.append((w, contexts_of(w, each) if of_pairs else np.zeros(0, np.uint64)))
                 if hi == batch.num_rows or sum(len(w) for w, _ in held) > 2_000_000:
-                    word, number = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
-                    key = number * np.int64(size) + np.concatenate([u for _, u in held])
-                    del number
+                    w, u = (np.concatenate(x) for x in zip(*held, strict=True))
                     held.clear()
-                    key, c = np.unique(key, return_counts=True)
-                    w, u = word[key // size], (key % size).astype(np.int32)
+                    _, at, c = np.unique(pair(u, w) if of_pairs else w, return_index=True, return_counts=True)
+                    w, u = w[at].view(np.int64), u[at].view(np.int64) if of_pairs else np.zeros(len(at), np.int64)
                     for s in range(0, len(w), 50_000):
                         e = s + 50_000
-                        yield pa.RecordBatch.from_arrays([pa.array(w[s:e].view(np.int64)), pa.array(u[s:e]), pa.array(c[s:e].astype(np.int64))], ["w", "u", "c"])
+                        yield pa.RecordBatch.from_arrays([pa.array(u[s:e]), pa.array(w[s:e]), pa.array(c[s:e].astype(np.int64))], ["u", "w", "c"])
 
-    return docs.select(utf8(F.col("text")).alias("bytes")).mapInArrow(run, "w long, u int, c long")
+    return docs.select(utf8(F.col("text")).alias("bytes")).mapInArrow(run, "u long, w long, c long")
 
 
-def train(docs: DataFrame, contexts: int = 512, head: int = 1 << 14, rounds: int = 3, seed: int = 1) -> tuple[Model, DataFrame, np.ndarray, np.ndarray]:
-    """Fit the model to docs (text): the model, the word table, and the head words with their prediction matrix.
+def looked_up(x: DataFrame, key: str, words: DataFrame, hot: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """x with the named columns of the words (x, ...) its key names, null where there is none.
 
-    Every word of the corpus is counted, in the restaurant of the word before it. The `contexts` commonest words have
-    a restaurant each, all other words share one and the start of a text has one; all share the root restaurant,
-    whose base is uniform over the corpus's words and one unknown. A first job samples the seating and gives the
-    contexts' totals, a second samples on with these and averages the seatings of its rounds. Predictions come from the
-    averaged seatings and their own totals, so those of a context sum to 1:
-    word table (w, c, p, us, ps): count, root probability, and p(w | u) for each context u where w was seen.
-    The `head` commonest words are also returned as an array for broadcasting (at most head * contexts floats).
+    Hot words come by broadcast; their rows take a key of their own into the join, so that they do not meet in one task.
     """
-    spark = docs.sparkSession
-    uni = stage(count_pass(docs, None).groupBy("w").agg(F.sum("c").alias("c")), "lm-words")
-    n, v = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = np.array([r.w for r in uni.orderBy(F.desc("c"), "w").limit(head).select("w").collect()], np.int64).view(np.uint64)
-    vocabulary = np.sort(top[top != END][:contexts])
-
-    counted = count_pass(docs, vocabulary).repartition("w").groupBy("w", "u").agg(F.sum("c").alias("c"))
-    types = stage(counted.groupBy("w").agg(F.sum("c").alias("c"), F.collect_list("u").alias("us"), F.collect_list("c").alias("cs")), "lm-types")
-    size = len(vocabulary) + 2
-    by = types.select(F.explode(F.arrays_zip("us", "cs")).alias("x")).groupBy("x.us").agg(F.sum("x.cs").alias("c"), F.count(F.lit(1)).alias("t"), F.count_if(F.col("x.cs") == 1).alias("n1"), F.count_if(F.col("x.cs") == 2).alias("n2")).collect()
-    s1, s2 = types.agg(F.count_if(F.size("us") == 1), F.count_if(F.size("us") == 2)).first()
-    discount = lambda n1, n2: float(np.clip(n1 / (n1 + 2 * n2) if n1 + n2 else 0.5, 0.1, 0.95))
-    customers, tables = np.zeros(size), np.zeros(size)
-    for r in by:
-        customers[r.us], tables[r.us] = r.c, r.t
-    m = Model(n, v, vocabulary, (discount(s1, s2), discount(sum(r.n1 for r in by), sum(r.n2 for r in by))), (1.0, 1.0), customers, tables, float(tables.sum()), float(v))
+    near = hot.select(F.col("x").alias(key), F.lit(True).alias("_hot"), *[F.col(c).alias(f"_{c}") for c in columns])
+    x = x.join(F.broadcast(near), key, "left")
+    x = x.withColumn("_key", F.when(F.col("_hot"), F.xxhash64(F.lit("hot"), "u", "w")).otherwise(F.col(key)))
+    far = words.select(F.col("x").alias("_key"), *[F.col(c).alias(f"__{c}") for c in columns])
+    found = [F.when(F.col("_hot"), F.col(f"_{c}")).otherwise(F.col(f"__{c}")).alias(name) for c, name in columns.items()]
+    kept = [c for c in x.columns if not c.startswith("_")]
+    return x.join(far, "_key", "left").select(*kept, *found)
 
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t_u, n_all, t_all = np.zeros(size), 0.0, 0.0
-        for batch in batches:
-            w, row, u, c = flat(batch)
-            for i, (t, nw, tw, _) in enumerate(sweeps(m, w, row, u, c, rounds, seed)):
-                if i:  # the first round is burnt
-                    t_u += np.bincount(u, t, size) / (rounds - 1)
-                    n_all, t_all = n_all + nw.sum() / (rounds - 1), t_all + tw.sum() / (rounds - 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-2, size, dtype=np.int32)), pa.array(np.concatenate([[n_all, t_all], t_u]))], ["u", "t"])
 
-    got = {r.u: r.t for r in types.mapInArrow(totals, "u int, t double").groupBy("u").agg(F.sum("t").alias("t")).collect()}
-    m2 = Model(n, v, vocabulary, m.d, m.theta, customers, np.array([got.get(i, 0.0) for i in range(size)]), got.get(-2, 0.0), got.get(-1, 0.0))
+def sweep(heavy: DataFrame, words: DataFrame, hot: DataFrame, d: tuple[float, float], theta: tuple[float, float], v: int, root: tuple[float, float], seed: int, averaged: bool) -> tuple[DataFrame, DataFrame, tuple[float, float]]:
+    """One round of Gibbs sampling: new seatings of the bigrams, then of the words in the root.
+
+    heavy: (u, w, c, ts) with the tables summed so far; words: (x, c, cu, n1, s1, n, t, p, tw, ...); root: its customers
+    and tables. A bigram that occurs once has one table whatever is sampled, so only the others are here; the words
+    carry how many tables those have in them (n1) and in their context (s1).
+    """
+    z = np.uint64(0xD1B54A32D192ED03 * (seed + 1) % (1 << 64))
 
     def seated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = stirling(d[1])
         for batch in batches:
-            w, row, u, c = flat(batch)
-            t_type, n_word, t_word = np.zeros(len(u)), np.zeros(len(w)), np.zeros(len(w))
-            for i, (t, n, tw, _) in enumerate(sweeps(m2, w, row, u, c, rounds + 1, seed + 1)):
-                if i:
-                    t_type, n_word, t_word = t_type + t / rounds, n_word + n / rounds, t_word + tw / rounds
-            ts = pa.ListArray.from_arrays(batch.column("us").offsets, pa.array(t_type))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("w", "c", "us", "cs")), ts, pa.array(n_word), pa.array(t_word)], ["w", "c", "us", "cs", "ts", "n", "t"])
-
-    seats = stage(types.mapInArrow(seated, "w long, c long, us array<int>, cs array<long>, ts array<double>, n double, t double"), "lm-seats")
-    # the totals of these very seatings: each restaurant's predictions sum to 1
-    per = seats.select(F.explode(F.arrays_zip("us", "ts")).alias("x")).groupBy("x.us").agg(F.sum("x.ts").alias("t")).collect()
-    n_root, t_root = seats.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum("t"), F.lit(0.0))).first()
-    tables = np.zeros(size)
-    for r in per:
-        tables[r.us] = r.t
-    m3 = Model(n, v, vocabulary, m.d, m.theta, customers, tables, n_root, t_root)
-
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        new = m3.new()
+            u, w = (batch.column(c).to_numpy().view(np.uint64) for c in ("u", "w"))
+            c, t, p, ts = (batch.column(c).to_numpy().astype(np.float64) for c in ("c", "t", "p", "ts"))
+            now = seat(c, (theta[1] + d[1] * t) * p, d[1], table, unit(mix64(pair(u, w) ^ z)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("u", "w", "c")), pa.array(now), pa.array(ts + now if averaged else ts)], ["u", "w", "c", "now", "ts"])
+
+    x = looked_up(looked_up(heavy, "u", words, hot, {"t": "t"}), "w", words, hot, {"p": "p"})
+    heavy = stage(x.mapInArrow(seated, "u long, w long, c long, now double, ts double"), "lm-seats")
+    base = (theta[0] + d[0] * root[1]) / (v + 1)
+
+    def in_root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = stirling(d[0])
         for batch in batches:
-            w, row, u, c = flat(batch)
-            t, n_word, t_word = batch.column("ts").flatten().to_numpy(), batch.column("n").to_numpy(), batch.column("t").to_numpy()
-            p_root = (n_word - m3.d[0] * t_word) / (m3.theta[0] + n_root) + m3.unseen()
-            p_type = (c - m3.d[1] * t) / (m3.theta[1] + customers[u]) + new[u] * p_root[row]
-            ps = pa.ListArray.from_arrays(batch.column("us").offsets, pa.array(p_type.astype(np.float32)))
-            yield pa.RecordBatch.from_arrays([batch.column("w"), batch.column("c"), pa.array(p_root), batch.column("us"), ps], ["w", "c", "p", "us", "ps"])
-
-    table = stage(seats.mapInArrow(predict, "w long, c long, p double, us array<int>, ps array<float>"), "lm-table")
-    discard(uni, types, seats)
-    head_words = np.sort(top)
-    least = spark.createDataFrame([(int(x),) for x in head_words.view(np.int64)], "w long")
-    matrix, counts = np.zeros((len(head_words), size), np.float32), np.zeros(len(head_words), np.int64)
-    got = table.join(F.broadcast(least), "w").toArrow().combine_chunks()
-    if got.num_rows:
-        at = np.searchsorted(head_words, got["w"].to_numpy().view(np.uint64))
-        matrix[at] = np.outer(got["p"].to_numpy(), m3.new())
-        us, ps = (got[c].chunk(0) for c in ("us", "ps"))
-        matrix[np.repeat(at, np.diff(us.offsets.to_numpy())), us.flatten().to_numpy()] = ps.flatten().to_numpy()
-        counts[at] = got["c"].to_numpy()
-    np.log10(np.maximum(matrix, 1e-30, out=matrix), out=matrix)
-    return m3, table, head_words, (matrix, counts)
-
-
-def score(docs: DataFrame, model: Model, table: DataFrame, head_words: np.ndarray, head: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+            x, n, tw = batch.column("x").to_numpy().view(np.uint64), batch.column("n").to_numpy(), batch.column("tw").to_numpy()
+            now = seat(n, np.full(len(n), base), d[0], table, unit(mix64(x ^ z)))
+            p = (n - d[0] * now + base) / (theta[0] + root[0])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("x", "c", "cu", "n1", "s1", "n", "t")), pa.array(p), pa.array(now), pa.array(tw + now if averaged else tw)], ["x", "c", "cu", "n1", "s1", "n", "t", "p", "now", "tw"])
+
+    words = tables_of(words.select("x", "c", "cu", "n1", "s1", "tw"), heavy, "now")
+    words = stage(words.mapInArrow(in_root, "x long, c long, cu long, n1 double, s1 double, n double, t double, p double, now double, tw double"), "lm-words")
+    return heavy, words, words.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum("now"), F.lit(0.0))).first()
+
+
+def tables_of(words: DataFrame, heavy: DataFrame, column: str) -> DataFrame:
+    """words with n, the tables that serve the word in all contexts, and t, the tables of its own restaurant."""
+    for key, once, name in (("w", "n1", "n"), ("u", "s1", "t")):
+        more = heavy.groupBy(F.col(key).alias("x")).agg(F.sum(column).alias("_m"))
+        words = words.join(more, "x", "left").withColumn(name, F.col(once) + F.coalesce("_m", F.lit(0.0))).drop("_m")
+    return words
+
+
+def train(docs: DataFrame, rounds: int = 3, head: int = 1 << 19, seed: int = 1) -> Model:
+    """Fit the model to docs (text).
+
+    Every bigram of the corpus is counted. Each word has a restaurant for what follows it, so has the start of a text;
+    all share the root restaurant, whose base is uniform over the corpus's words and one unknown. The first of `rounds`
+    Gibbs rounds is burnt, the seatings of the others are averaged. Predictions come from the averaged seatings and
+    their own totals, so those of a context sum to 1. Predictions of the `head` commonest bigrams at most are kept as
+    arrays for broadcasting.
+    """
+    spark = docs.sparkSession
+    uni = count_pass(docs, False).groupBy(F.col("w").alias("x")).agg(F.sum("c").alias("c"))
+    uni = stage(uni, "lm-unigrams")
+    end, start = (int(x.astype(np.int64)) for x in (END, START))
+    n, v, texts = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max(F.when(F.col("x") == end, F.col("c"))), F.lit(0))).first()
+    seen = count_pass(docs, True).groupBy("u", "w").agg(F.sum("c").alias("c"))
+    # a bigram that occurs once needs no more than its key: what it adds to its word and context follows from their counts
+    twice = lambda c: F.when(F.col("c") > 1, F.col(c)).alias(c)
+    seen = stage(seen.select(F.xxhash64("u", "w").alias("h"), twice("u"), twice("w"), "c"), "lm-bigrams")
+    heavy = seen.where("c > 1").select("u", "w", "c", F.lit(0.0).alias("ts"))
+    discount = lambda n1, n2: float(np.clip(n1 / (n1 + 2 * n2) if n1 + n2 else 0.5, 0.1, 0.95))
+    words = uni.select("x", "c", F.when(F.col("x") == end, 0).otherwise(F.col("c")).alias("cu"))
+    words = words.unionByName(spark.createDataFrame([(start, 0, texts)], "x long, c long, cu long"))
+    for key, total, name, once in (("w", "c", "n", "n1"), ("u", "cu", "t", "s1")):
+        k = heavy.groupBy(F.col(key).alias("x")).agg(F.sum("c").alias("_c"), F.count(F.lit(1)).alias("_k"))
+        words = words.join(k, "x", "left").withColumn(once, (F.col(total) - F.coalesce("_c", F.lit(0))).cast("double"))
+        words = words.withColumn(name, F.col(once) + F.coalesce("_k", F.lit(0))).drop("_c", "_k")
+    words = stage(words.withColumn("tw", F.lit(0.0)), "lm-start")
+    r = words.where("c > 0").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("n")).first()
+    b = seen.agg(F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
+    d, theta, root = (discount(r.n1, r.n2), discount(b.n1, b.n2)), (1.0, 1.0), (float(r.n), float(v))
+    first, words = words, words.withColumn("p", F.col("n") / F.lit(max(root[0], 1.0)))
+    hot = lambda x: x.where(F.col("c") * HOT >= n)
+    old = [first]
+    for i in range(rounds):
+        heavy, words, root = sweep(heavy, words, hot(words), d, theta, v, root, seed * 1000 + i, i > 0)
+        discard(*old)
+        old = [heavy, words]
+
+    share = 1.0 / max(rounds - 1, 1)
+    t = (F.col("ts") if rounds > 1 else F.col("now")) * share
+    seats = heavy.select("u", "w", "c", t.alias("t"))
+    words = tables_of(words.select("x", "c", "cu", "n1", "s1", ((F.col("tw") if rounds > 1 else F.col("now")) * share).alias("tw")), seats, "t")
+    words = stage(words, "lm-averaged")
+    n_root, t_root = words.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum("tw"), F.lit(0.0))).first()
+    unseen = (theta[0] + d[0] * t_root) / (theta[0] + n_root) / (v + 1)
+    den = F.col("cu") + theta[1]
+    words = words.select("x", "c", ((F.col("n") - d[0] * F.col("tw")) / (theta[0] + n_root) + unseen).alias("p"), ((theta[1] + d[1] * F.col("t")) / den).alias("new"), den.alias("den"))
+    # tw is at most each round's n, so its mean is at most n
+    own = seen.where("c = 1").select("h", F.lit(1 - d[1]).alias("own"))
+    own = own.unionByName(seats.select(F.xxhash64("u", "w").alias("h"), (F.col("c") - d[1] * F.col("t")).alias("own")))
+    # the counts' histogram gives the least count of which there are at most `head` bigrams
+    step = F.floor(F.log2("c") * 16)
+    at, total = None, 0
+    for row in sorted(seats.groupBy(step.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r.k):
+        total += row.n
+        if total > head:
+            break
+        at = row.k
+    top = seats.where(step >= at if at is not None else F.lit(False))
+    top = looked_up(looked_up(top, "u", words, hot(words), {"new": "new", "den": "den"}), "w", words, hot(words), {"p": "p", "c": "cw"})
+    got = top.select("u", "w", F.log10((F.col("c") - d[1] * F.col("t")) / F.col("den") + F.col("new") * F.col("p")).alias("s"), F.log10((F.col("cw") + 0.1) / (n + 0.1 * (v + 1))).alias("b")).toArrow()
+    keys = pair(*(got[c].to_numpy().view(np.uint64) for c in ("u", "w")))
+    order = np.argsort(keys)
+    return Model(n, v, d, theta, unseen, words, own, hot(words), (keys[order], got["s"].to_numpy()[order], got["b"].to_numpy()[order]))
+
+
+def score(docs: DataFrame, model: Model, parts: int = 4) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of every row of docs (doc_id, text).
 
-    Head words are looked up in the broadcast matrix; every other token goes by its word to the word table, and
-    what it finds is summed by document.
+    Head bigrams are looked up in the broadcast arrays; every other token goes by its bigram, its context and its word
+    to the tables, and what it finds is summed by document. That is done for `parts` shares of the documents in turn,
+    so that no more than a share's tokens are on disk at a time.
     """
-    logs, counts = head
-    shared = docs.sparkSession.sparkContext.broadcast((head_words, logs, counts))
+    shared = docs.sparkSession.sparkContext.broadcast(model.head)
     norm = model.n + 0.1 * (model.v + 1)
     x = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", utf8(F.col("text")).alias("bytes"))
 
-    def looked_up(batch: pa.RecordBatch, column: str) -> Iterator[tuple]:
-        words_, matrix, seen = shared.value
-        data, offsets = bytes_of(batch.column(column))
+    def each_piece(batch: pa.RecordBatch) -> Iterator[tuple]:
+        keys = shared.value[0]
+        data, offsets = bytes_of(batch.column("bytes"))
         for lo, hi in pieces(offsets):
             w, each = tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            at = np.minimum(np.searchsorted(words_, w), len(words_) - 1) if len(words_) else np.zeros(len(w), np.int64)
-            yield lo, hi, w, each, contexts_of(w, each, model.vocabulary), at, (words_[at] == w) if len(words_) else np.zeros(len(w), bool)
+            u = contexts_of(w, each)
+            h = pair(u, w)
+            at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+            yield lo, hi, w, each, u, at, (keys[at] == h) if len(keys) else np.zeros(len(w), bool)
 
     def in_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros((4, batch.num_rows))
-            for lo, hi, _, each, u, at, hit in looked_up(batch, "bytes"):
+            for lo, hi, _, each, _, at, hit in each_piece(batch):
                 text = np.repeat(np.arange(hi - lo), each)[hit]
                 out[0, lo:hi] = each
                 if len(text):
                     out[1, lo:hi] = np.bincount(text, minlength=hi - lo)
-                    out[2, lo:hi] = np.bincount(text, np.log10((shared.value[2] + 0.1) / norm)[at[hit]], hi - lo)
-                    out[3, lo:hi] = np.bincount(text, shared.value[1][at[hit], u[hit]], hi - lo)
+                    out[2, lo:hi] = np.bincount(text, shared.value[2][at[hit]], hi - lo)
+                    out[3, lo:hi] = np.bincount(text, shared.value[1][at[hit]], hi - lo)
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), *(pa.array(out[i].astype(np.int64)) for i in (0, 1)), *(pa.array(out[i]) for i in (2, 3))], ["key", "doc_id", "n", "known", "base", "score"])
 
     def in_tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("key").to_numpy()
-            for lo, hi, w, each, u, _, hit in looked_up(batch, "bytes"):
+            for lo, hi, w, each, u, _, hit in each_piece(batch):
                 miss = ~hit
-                k = np.repeat(keys[lo:hi], each)[miss]
+                k, w, u = np.repeat(keys[lo:hi], each)[miss], w[miss].view(np.int64), u[miss].view(np.int64)
                 for s in range(0, len(k), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(k[s : s + 50_000]), pa.array(w[miss][s : s + 50_000].view(np.int64)), pa.array(u[miss][s : s + 50_000].astype(np.int32))], ["key", "w", "u"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a[s : s + 50_000]) for a in (k, u, w)], ["key", "u", "w"])
 
+    found = F.coalesce("c", F.lit(0))
+    p = F.coalesce("own", F.lit(0.0)) / F.coalesce("den", F.lit(1.0)) + F.coalesce("new", F.lit(1.0)) * F.coalesce("p", F.lit(model.unseen))
+    tails = None
+    for i in range(parts):
+        tail = x.where(F.pmod("key", F.lit(parts)) == i).select("key", "bytes").mapInArrow(in_tail, "key long, u long, w long")
+        tail = tail.withColumn("h", F.xxhash64("u", "w")).join(model.own, "h", "left").drop("h")
+        tail = looked_up(looked_up(tail, "u", model.words, model.hot, {"new": "new", "den": "den"}), "w", model.words, model.hot, {"p": "p", "c": "c"})
+        tail = tail.groupBy("key").agg(F.sum((found > 0).cast("long")).alias("k2"), F.sum(F.log10((found + 0.1) / F.lit(norm))).alias("b2"), F.sum(F.log10(p)).alias("s2"))
+        tail = stage(tail, "lm-tail")
+        tails = tail if tails is None else tails.unionByName(tail)
     kind = docs.schema["doc_id"].dataType.simpleString()
     main = x.mapInArrow(in_head, f"key long, doc_id {kind}, n long, known long, base double, score double")
     main = main.groupBy("key", "doc_id", "n", "known", "base", "score").agg(F.count(F.lit(1)).alias("rows"))
-    new = docs.sparkSession.createDataFrame([(i, float(g)) for i, g in enumerate(model.new())], "u int, new double")
-    tail = x.select("key", "bytes").mapInArrow(in_tail, "key long, w long, u int").join(table, "w", "left").join(F.broadcast(new), "u")
-    place = F.array_position("us", F.col("u"))
-    p = F.when(place > 0, F.element_at("ps", F.when(place > 0, place).otherwise(1).cast("int")).cast("double")).otherwise(F.col("new") * F.coalesce("p", F.lit(model.unseen())))
-    found = F.coalesce("c", F.lit(0))
-    tail = tail.groupBy("key").agg(F.sum((found > 0).cast("long")).alias("k2"), F.sum(F.log10((found + 0.1) / F.lit(norm))).alias("b2"), F.sum(F.log10(p)).alias("s2"))
-    x = main.join(tail, "key", "left").withColumn("_r", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    x = main.join(tails, "key", "left").withColumn("_r", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b) / F.col("rows"), F.lit(0.0))
     return x.select("doc_id", F.col("n").alias("n_tokens"), plus("known", "k2").cast("long").alias("n_known"), plus("base", "b2").alias("base_score"), plus("score", "s2").alias("score"))
 
@@ -298,6 +313,6 @@ def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out documents score by a model that never saw them; null text is empty and has its end mark only."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held_out = remainder("doc_id", 10) == 0
-    model, table, head_words, head = train(docs.where(~held_out))
-    out = score(docs, model, table, head_words, head)
+    model = train(docs.where(~held_out))
+    out = score(docs, model)
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")

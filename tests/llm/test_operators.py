@@ -217,9 +217,10 @@ def test_language_model(spark):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
     train = [w for i, t, _, _ in rows if zlib.crc32(str(i).encode()) % 10 for w in [x.lower() for x in words_of(t)] + [None]]
     count, n = Counter(train), len(train)
-    # a small head and few contexts send tokens down every path
-    model, words, heads, head = language_model.train(docs.where(~held), contexts=20, head=25)
-    got = language_model.score(docs, model, words, heads, head).collect()
+    # a small head sends tokens down both paths
+    model = language_model.train(docs.where(~held), head=40)
+    assert 0 < len(model.head[0]) <= 40
+    got = language_model.score(docs, model).collect()
     assert len(got) == len(rows) and model.n == n and model.v == len(count)
     texts = {i: [x.lower() for x in words_of(t)] + [None] for i, t, _, _ in rows}
     for r in got:
@@ -228,21 +229,44 @@ def test_language_model(spark):
         assert r.base_score == pytest.approx(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (len(count) + 1))) for w in t), abs=1e-9)
     out = [r for r in got if zlib.crc32(str(r.doc_id).encode()) % 10 == 0 and r.n_tokens > 30]
     assert sum(r.score for r in out) > 0.8 * sum(r.base_score for r in out)
-    full = language_model.score(docs, *language_model.train(docs.where(~held), contexts=20, head=1 << 15)).collect()
+    full = language_model.score(docs, language_model.train(docs.where(~held)), parts=1).collect()
     assert sorted(r.doc_id for r in full) == sorted(r.doc_id for r in got)
     a, b = {r.doc_id: r.score for r in got}, {r.doc_id: r.score for r in full}
-    assert all(a[i] == pytest.approx(b[i], abs=1e-3) for i in a)
+    assert all(a[i] == pytest.approx(b[i], abs=1e-6) for i in a)
 
 
-def test_language_model_is_a_distribution(spark):
+def test_language_model_predictions_sum_to_one(spark):
     docs = table(spark, [(i, t, "en", "a") for i, t in enumerate(["a b c a b", "b c", "a a a d"])]).select("doc_id", "text")
-    m, words, heads, (logs, _) = language_model.train(docs, contexts=3)
-    assert np.allclose((10 ** logs.astype(float)).sum(0) + m.new() * m.unseen(), 1, atol=1e-5)
+    m = language_model.train(docs)
+    words = [r for r in m.words.collect()]
+    assert sum(r.p for r in words if r.c) + m.unseen == pytest.approx(1, abs=1e-9)
+    own = {r.h: r.own for r in m.own.collect()}
+    pairs = spark.createDataFrame([(u.x, w.x) for u in words for w in words if w.c], "u long, w long").select("u", "w", F.xxhash64("u", "w").alias("h")).collect()
+    root = {r.x: r for r in words}
+    for u in words:
+        mass = sum(own.get(q.h, 0.0) / u.den + u.new * root[q.w].p for q in pairs if q.u == u.x)
+        assert mass + u.new * m.unseen == pytest.approx(1, abs=1e-9)
+
+
+def test_seatings_against_a_plain_sampler():
+    """Table counts given a fixed base agree with customers moved one by one."""
+    rng, d, theta, a = random.Random(2), 0.6, 1.0, 0.4
+    c, t, got = 12, [12], []
+    for r in range(6000):
+        i = rng.choices(range(len(t)), t)[0]
+        t[i] -= 1
+        t = [x for x in t if x]
+        i = rng.choices(range(len(t) + 1), [x - d for x in t] + [a])[0]
+        t = t + [1] if i == len(t) else [x + (j == i) for j, x in enumerate(t)]
+        got.append(len(t))
+    u = np.random.default_rng(1).random(4000)
+    ours = language_model.seat(np.full(4000, float(c)), np.full(4000, a), d, language_model.stirling(d), u)
+    assert abs(ours.mean() - np.mean(got[500:])) < 0.2
 
 
 def test_language_model_of_nothing(empty):
     x = empty.select("doc_id", "text")
-    assert language_model.score(x, *language_model.train(x)).count() == 0
+    assert language_model.score(x, language_model.train(x)).count() == 0
 
 
 # vectors
