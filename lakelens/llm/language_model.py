@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakelens.llm.arrow import bytes_of, mix64, words
-from lakelens.llm.common import discard, remainder, stage, utf8
+from lakelens.llm.common import discard, remainder, stage, tidy, utf8
 from lakelens.llm.nearcopies import pieces, unit
 
 #: The end of a text, a token like the words; the start of a text, a context only.
@@ -86,8 +87,8 @@ class Model:
     """Totals and discounts; one row a word and one a bigram, in staged tables; the commonest bigrams' predictions.
 
     words: (x, c, p, new, den): a word's count and root probability, and as a context its mass for the root's prediction
-    and its denominator. own: (h, own): the part of a bigram's prediction before division that its own seating gives.
-    hot: the words that make up at least 1 / HOT of all tokens, of which there are at most HOT.
+    and its denominator. own: (u, w, own), bucketed by both: the part of a bigram's prediction before division that its
+    own seating gives. hot: words of the commonest words, a bounded number. head: keys, scores and base scores.
     """
 
     n: int
@@ -97,12 +98,36 @@ class Model:
     unseen: float
     words: DataFrame
     own: DataFrame
+    buckets: int
     hot: DataFrame
     head: tuple[np.ndarray, np.ndarray, np.ndarray]
 
+    def release(self) -> None:
+        """Drop the model's tables."""
+        self.own.sparkSession.sql(f"DROP TABLE IF EXISTS {self.own.named}")
+        discard(self.words.at)
 
-#: See Model.hot.
-HOT = 1 << 15
+
+def bucketed(df: DataFrame, buckets: int) -> DataFrame:
+    """df, which is dealt by (u, w) to that many partitions, as a table that later joins find in place."""
+    spark, name = df.sparkSession, f"lakelens_bigrams_{uuid.uuid4().hex}"
+    with tidy(spark):
+        df.write.option("compression", "zstd").bucketBy(buckets, "u", "w").sortBy("u", "w").saveAsTable(name, format="parquet")
+    out = spark.table(name)
+    out.named = name
+    return out
+
+
+def least_count(df: DataFrame, most: int) -> int:
+    """A count c that at most `most` rows of df reach; from a histogram in steps of a sixteenth of a power of two."""
+    total, at = 0, 1 << 62
+    step = F.floor(F.log2("c") * 16)
+    for r in sorted(df.groupBy(step.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).collect(), key=lambda r: -r.c):
+        total += r.n
+        if total > most:
+            break
+        at = r.c
+    return at
 
 
 def count_pass(docs: DataFrame, of_pairs: bool) -> DataFrame:
@@ -144,9 +169,10 @@ def looked_up(x: DataFrame, key: str, words: DataFrame, hot: DataFrame, columns:
 def sweep(heavy: DataFrame, words: DataFrame, hot: DataFrame, d: tuple[float, float], theta: tuple[float, float], v: int, root: tuple[float, float], seed: int, averaged: bool) -> tuple[DataFrame, DataFrame, tuple[float, float]]:
     """One round of Gibbs sampling: new seatings of the bigrams, then of the words in the root.
 
-    heavy: (u, w, c, ts) with the tables summed so far; words: (x, c, cu, n1, s1, n, t, p, tw, ...); root: its customers
-    and tables. A bigram that occurs once has one table whatever is sampled, so only the others are here; the words
-    carry how many tables those have in them (n1) and in their context (s1).
+    heavy: (u, w, c, ts, near) with the tables summed so far and whether both words are hot, which need no shuffle;
+    words: (x, c, cu, n1, s1, n, t, p, tw, ...); root: its customers and tables. A bigram that occurs once has one table
+    whatever is sampled, so only the others are here; the words carry how many tables those have in them (n1) and in
+    their context (s1).
     """
     z = np.uint64(0xD1B54A32D192ED03 * (seed + 1) % (1 << 64))
 
@@ -156,10 +182,13 @@ def sweep(heavy: DataFrame, words: DataFrame, hot: DataFrame, d: tuple[float, fl
             u, w = (batch.column(c).to_numpy().view(np.uint64) for c in ("u", "w"))
             c, t, p, ts = (batch.column(c).to_numpy().astype(np.float64) for c in ("c", "t", "p", "ts"))
             now = seat(c, (theta[1] + d[1] * t) * p, d[1], table, unit(mix64(pair(u, w) ^ z)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("u", "w", "c")), pa.array(now), pa.array(ts + now if averaged else ts)], ["u", "w", "c", "now", "ts"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("u", "w", "c", "near")), pa.array(now), pa.array(ts + now if averaged else ts)], ["u", "w", "c", "near", "now", "ts"])
 
-    x = looked_up(looked_up(heavy, "u", words, hot, {"t": "t"}), "w", words, hot, {"p": "p"})
-    heavy = stage(x.mapInArrow(seated, "u long, w long, c long, now double, ts double"), "lm-seats")
+    columns = ["u", "w", "c", "near", "ts", "t", "p"]
+    near = heavy.where("near").join(F.broadcast(hot.select(F.col("x").alias("u"), "t")), "u").join(F.broadcast(hot.select(F.col("x").alias("w"), "p")), "w")
+    far = looked_up(looked_up(heavy.where("not near"), "u", words, hot, {"t": "t"}), "w", words, hot, {"p": "p"})
+    x = near.select(columns).unionByName(far.select(columns))
+    heavy = stage(x.mapInArrow(seated, "u long, w long, c long, near boolean, now double, ts double"), "lm-seats")
     base = (theta[0] + d[0] * root[1]) / (v + 1)
 
     def in_root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,24 +212,25 @@ def tables_of(words: DataFrame, heavy: DataFrame, column: str) -> DataFrame:
     return words
 
 
-def train(docs: DataFrame, rounds: int = 3, head: int = 1 << 19, seed: int = 1) -> Model:
+def train(docs: DataFrame, rounds: int = 3, head: int = 1 << 20, hot: int = 1 << 17, seed: int = 1) -> Model:
     """Fit the model to docs (text).
 
     Every bigram of the corpus is counted. Each word has a restaurant for what follows it, so has the start of a text;
     all share the root restaurant, whose base is uniform over the corpus's words and one unknown. The first of `rounds`
     Gibbs rounds is burnt, the seatings of the others are averaged. Predictions come from the averaged seatings and
-    their own totals, so those of a context sum to 1. Predictions of the `head` commonest bigrams at most are kept as
-    arrays for broadcasting.
+    their own totals, so those of a context sum to 1. Broadcast are at most: the predictions of the `head` commonest
+    bigrams and the rows of the `hot` commonest words. All others go by joins.
     """
     spark = docs.sparkSession
     uni = count_pass(docs, False).groupBy(F.col("w").alias("x")).agg(F.sum("c").alias("c"))
     uni = stage(uni, "lm-unigrams")
     end, start = (int(x.astype(np.int64)) for x in (END, START))
     n, v, texts = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max(F.when(F.col("x") == end, F.col("c"))), F.lit(0))).first()
-    seen = count_pass(docs, True).groupBy("u", "w").agg(F.sum("c").alias("c"))
-    # a bigram that occurs once needs no more than its key: what it adds to its word and context follows from their counts
-    twice = lambda c: F.when(F.col("c") > 1, F.col(c)).alias(c)
-    seen = stage(seen.select(F.xxhash64("u", "w").alias("h"), twice("u"), twice("w"), "c"), "lm-bigrams")
+    # a bigram that occurs once adds to its word and context what their counts leave over: no later step reads it but own
+    buckets = int(min(max(8, n // 4_000_000 + 1), 20_000))
+    seen = bucketed(count_pass(docs, True).repartition(buckets, "u", "w").groupBy("u", "w").agg(F.sum("c").alias("c")), buckets)
+    common = least_count(uni, hot)
+    of_hot = lambda x: x.where(F.greatest("c", "cu") >= common)
     heavy = seen.where("c > 1").select("u", "w", "c", F.lit(0.0).alias("ts"))
     discount = lambda n1, n2: float(np.clip(n1 / (n1 + 2 * n2) if n1 + n2 else 0.5, 0.1, 0.95))
     words = uni.select("x", "c", F.when(F.col("x") == end, 0).otherwise(F.col("c")).alias("cu"))
@@ -210,95 +240,121 @@ def train(docs: DataFrame, rounds: int = 3, head: int = 1 << 19, seed: int = 1)
         words = words.join(k, "x", "left").withColumn(once, (F.col(total) - F.coalesce("_c", F.lit(0))).cast("double"))
         words = words.withColumn(name, F.col(once) + F.coalesce("_k", F.lit(0))).drop("_c", "_k")
     words = stage(words.withColumn("tw", F.lit(0.0)), "lm-start")
+    for key in ("u", "w"):
+        heavy = heavy.join(F.broadcast(of_hot(words).select(F.col("x").alias(key), F.lit(True).alias(f"_{key}"))), key, "left")
+    heavy = stage(heavy.select("u", "w", "c", "ts", (F.col("_u").isNotNull() & F.col("_w").isNotNull()).alias("near")), "lm-heavy")
     r = words.where("c > 0").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("n")).first()
     b = seen.agg(F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
     d, theta, root = (discount(r.n1, r.n2), discount(b.n1, b.n2)), (1.0, 1.0), (float(r.n), float(v))
     first, words = words, words.withColumn("p", F.col("n") / F.lit(max(root[0], 1.0)))
-    hot = lambda x: x.where(F.col("c") * HOT >= n)
-    old = [first]
+    old = [first, heavy]
     for i in range(rounds):
-        heavy, words, root = sweep(heavy, words, hot(words), d, theta, v, root, seed * 1000 + i, i > 0)
+        heavy, words, root = sweep(heavy, words, of_hot(words), d, theta, v, root, seed * 1000 + i, i > 0)
         discard(*old)
         old = [heavy, words]
 
     share = 1.0 / max(rounds - 1, 1)
     t = (F.col("ts") if rounds > 1 else F.col("now")) * share
-    seats = heavy.select("u", "w", "c", t.alias("t"))
+    seats = heavy.select("u", "w", "c", "near", t.alias("t"))
     words = tables_of(words.select("x", "c", "cu", "n1", "s1", ((F.col("tw") if rounds > 1 else F.col("now")) * share).alias("tw")), seats, "t")
     words = stage(words, "lm-averaged")
     n_root, t_root = words.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum("tw"), F.lit(0.0))).first()
     unseen = (theta[0] + d[0] * t_root) / (theta[0] + n_root) / (v + 1)
     den = F.col("cu") + theta[1]
-    words = words.select("x", "c", ((F.col("n") - d[0] * F.col("tw")) / (theta[0] + n_root) + unseen).alias("p"), ((theta[1] + d[1] * F.col("t")) / den).alias("new"), den.alias("den"))
-    # tw is at most each round's n, so its mean is at most n
-    own = seen.where("c = 1").select("h", F.lit(1 - d[1]).alias("own"))
-    own = own.unionByName(seats.select(F.xxhash64("u", "w").alias("h"), (F.col("c") - d[1] * F.col("t")).alias("own")))
-    # the counts' histogram gives the least count of which there are at most `head` bigrams
-    step = F.floor(F.log2("c") * 16)
-    at, total = None, 0
-    for row in sorted(seats.groupBy(step.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r.k):
-        total += row.n
-        if total > head:
-            break
-        at = row.k
-    top = seats.where(step >= at if at is not None else F.lit(False))
-    top = looked_up(looked_up(top, "u", words, hot(words), {"new": "new", "den": "den"}), "w", words, hot(words), {"p": "p", "c": "cw"})
+    averaged = words
+    words = words.select("x", "c", "cu", ((F.col("n") - d[0] * F.col("tw")) / (theta[0] + n_root) + unseen).alias("p"), ((theta[1] + d[1] * F.col("t")) / den).alias("new"), den.alias("den"))
+    words.at = averaged
+    t = seats.select("u", "w", "t").repartition(buckets, "u", "w")
+    own = bucketed(seen.join(t, ["u", "w"], "left").select("u", "w", (F.col("c") - d[1] * F.coalesce("t", F.lit(1.0))).alias("own")), buckets)
+    top = seats.where(F.col("c") >= least_count(seats, head))
+    top = looked_up(looked_up(top, "u", words, of_hot(words), {"new": "new", "den": "den"}), "w", words, of_hot(words), {"p": "p", "c": "cw"})
     got = top.select("u", "w", F.log10((F.col("c") - d[1] * F.col("t")) / F.col("den") + F.col("new") * F.col("p")).alias("s"), F.log10((F.col("cw") + 0.1) / (n + 0.1 * (v + 1))).alias("b")).toArrow()
     keys = pair(*(got[c].to_numpy().view(np.uint64) for c in ("u", "w")))
     order = np.argsort(keys)
-    return Model(n, v, d, theta, unseen, words, own, hot(words), (keys[order], got["s"].to_numpy()[order], got["b"].to_numpy()[order]))
+    spark.sql(f"DROP TABLE IF EXISTS {seen.named}")
+    discard(uni, heavy, *old[1:])
+    return Model(n, v, d, theta, unseen, words, own, buckets, of_hot(words), (keys[order], got["s"].to_numpy()[order], got["b"].to_numpy()[order]))
 
 
-def score(docs: DataFrame, model: Model, parts: int = 4) -> DataFrame:
+def score(docs: DataFrame, model: Model, parts: int = 6) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of every row of docs (doc_id, text).
 
-    Head bigrams are looked up in the broadcast arrays; every other token goes by its bigram, its context and its word
-    to the tables, and what it finds is summed by document. That is done for `parts` shares of the documents in turn,
-    so that no more than a share's tokens are on disk at a time.
+    Head bigrams are looked up in the broadcast arrays. Every other token goes by its bigram to the table of bigrams,
+    and before that, unless both of its words are hot, by context and word to the table of words; what it finds is
+    summed by document. That is done for `parts` shares of the documents in turn, so that no more than a share's tokens
+    are on disk at a time.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model.head)
+    hot = model.hot.orderBy("x").toArrow()
+    words = [hot[c].to_numpy() for c in ("x", "c", "p", "new", "den")]
+    words[0] = words[0].view(np.uint64)
+    order = np.argsort(words[0])
+    shared = docs.sparkSession.sparkContext.broadcast((model.head, [x[order] for x in words]))
     norm = model.n + 0.1 * (model.v + 1)
     x = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", utf8(F.col("text")).alias("bytes"))
 
+    def places(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(keys, x), max(len(keys) - 1, 0))
+        return at, (keys[at] == x) if len(keys) else np.zeros(len(x), bool)
+
     def each_piece(batch: pa.RecordBatch) -> Iterator[tuple]:
-        keys = shared.value[0]
+        """Tokens, contexts and where they are in the head and among the hot words; near: not in the head, both words hot."""
+        (keys, _, _), (hot_words, *_) = shared.value
         data, offsets = bytes_of(batch.column("bytes"))
         for lo, hi in pieces(offsets):
             w, each = tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             u = contexts_of(w, each)
-            h = pair(u, w)
-            at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-            yield lo, hi, w, each, u, at, (keys[at] == h) if len(keys) else np.zeros(len(w), bool)
+            at, hit = places(keys, pair(u, w))
+            (au, hu), (aw, hw) = places(hot_words, u), places(hot_words, w)
+            yield lo, hi, w, each, u, at, hit, au, aw, ~hit & hu & hw
 
     def in_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (_, scores, bases), (_, counts, *_) = shared.value
+        known = np.log10((counts + 0.1) / norm)
         for batch in batches:
             out = np.zeros((4, batch.num_rows))
-            for lo, hi, _, each, _, at, hit in each_piece(batch):
-                text = np.repeat(np.arange(hi - lo), each)[hit]
+            for lo, hi, _, each, _, at, hit, _, aw, near in each_piece(batch):
+                text = np.repeat(np.arange(hi - lo), each)
                 out[0, lo:hi] = each
-                if len(text):
-                    out[1, lo:hi] = np.bincount(text, minlength=hi - lo)
-                    out[2, lo:hi] = np.bincount(text, shared.value[2][at[hit]], hi - lo)
-                    out[3, lo:hi] = np.bincount(text, shared.value[1][at[hit]], hi - lo)
+                if hit.any():
+                    out[1, lo:hi] = np.bincount(text[hit], minlength=hi - lo)
+                    out[2, lo:hi] = np.bincount(text[hit], bases[at[hit]], hi - lo)
+                    out[3, lo:hi] = np.bincount(text[hit], scores[at[hit]], hi - lo)
+                if near.any():
+                    out[1, lo:hi] += np.bincount(text[near], minlength=hi - lo)
+                    out[2, lo:hi] += np.bincount(text[near], known[aw[near]], hi - lo)
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), *(pa.array(out[i].astype(np.int64)) for i in (0, 1)), *(pa.array(out[i]) for i in (2, 3))], ["key", "doc_id", "n", "known", "base", "score"])
 
-    def in_tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def in_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, (_, _, p, new, den) = shared.value
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            for lo, hi, w, each, u, _, _, au, aw, near in each_piece(batch):
+                k, a, b = np.repeat(keys[lo:hi], each)[near], 1 / den[au[near]], new[au[near]] * p[aw[near]]
+                w, u = w[near].view(np.int64), u[near].view(np.int64)
+                for s in range(0, len(k), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[s : s + 50_000]) for x in (k, u, w, a, b)], ["key", "u", "w", "a", "b"])
+
+    def in_far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("key").to_numpy()
-            for lo, hi, w, each, u, _, hit in each_piece(batch):
-                miss = ~hit
-                k, w, u = np.repeat(keys[lo:hi], each)[miss], w[miss].view(np.int64), u[miss].view(np.int64)
+            for lo, hi, w, each, u, _, hit, _, _, near in each_piece(batch):
+                far = ~hit & ~near
+                k, w, u = np.repeat(keys[lo:hi], each)[far], w[far].view(np.int64), u[far].view(np.int64)
                 for s in range(0, len(k), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(a[s : s + 50_000]) for a in (k, u, w)], ["key", "u", "w"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[s : s + 50_000]) for x in (k, u, w)], ["key", "u", "w"])
 
-    found = F.coalesce("c", F.lit(0))
-    p = F.coalesce("own", F.lit(0.0)) / F.coalesce("den", F.lit(1.0)) + F.coalesce("new", F.lit(1.0)) * F.coalesce("p", F.lit(model.unseen))
     tails = None
     for i in range(parts):
-        tail = x.where(F.pmod("key", F.lit(parts)) == i).select("key", "bytes").mapInArrow(in_tail, "key long, u long, w long")
-        tail = tail.withColumn("h", F.xxhash64("u", "w")).join(model.own, "h", "left").drop("h")
-        tail = looked_up(looked_up(tail, "u", model.words, model.hot, {"new": "new", "den": "den"}), "w", model.words, model.hot, {"p": "p", "c": "c"})
-        tail = tail.groupBy("key").agg(F.sum((found > 0).cast("long")).alias("k2"), F.sum(F.log10((found + 0.1) / F.lit(norm))).alias("b2"), F.sum(F.log10(p)).alias("s2"))
+        some = x.where(F.pmod("key", F.lit(parts)) == i).select("key", "bytes")
+        far = some.mapInArrow(in_far, "key long, u long, w long")
+        far = looked_up(looked_up(far, "u", model.words, model.hot, {"new": "new", "den": "den"}), "w", model.words, model.hot, {"p": "p", "c": "c"})
+        b = F.coalesce("new", F.lit(1.0)) * F.coalesce("p", F.lit(model.unseen))
+        far = far.select("key", "u", "w", F.coalesce(1 / F.col("den"), F.lit(0.0)).alias("a"), b.alias("b"), F.coalesce("c", F.lit(0)).alias("c"))
+        near = some.mapInArrow(in_near, "key long, u long, w long, a double, b double").withColumn("c", F.lit(None).cast("long"))
+        tail = near.unionByName(far).repartition(model.buckets, "u", "w").join(model.own, ["u", "w"], "left")
+        tail = tail.select("key", "c", F.log10(F.coalesce("own", F.lit(0.0)) * F.col("a") + F.col("b")).alias("s"))
+        # near tokens have their count, and their part of the base score, from the broadcast words
+        tail = tail.groupBy("key").agg(F.count_if(F.col("c") > 0).alias("k2"), F.sum(F.log10((F.col("c") + 0.1) / F.lit(norm))).alias("b2"), F.sum("s").alias("s2"))
         tail = stage(tail, "lm-tail")
         tails = tail if tails is None else tails.unionByName(tail)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -315,4 +371,5 @@ def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder("doc_id", 10) == 0
     model = train(docs.where(~held_out))
     out = score(docs, model)
+    model.release()
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -217,9 +217,9 @@ def test_language_model(spark):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
     train = [w for i, t, _, _ in rows if zlib.crc32(str(i).encode()) % 10 for w in [x.lower() for x in words_of(t)] + [None]]
     count, n = Counter(train), len(train)
-    # a small head sends tokens down both paths
-    model = language_model.train(docs.where(~held), head=40)
-    assert 0 < len(model.head[0]) <= 40
+    # a small head and few hot words send tokens down every path
+    model = language_model.train(docs.where(~held), head=40, hot=12)
+    assert 0 < len(model.head[0]) <= 40 and 0 < model.hot.count() <= 13
     got = language_model.score(docs, model).collect()
     assert len(got) == len(rows) and model.n == n and model.v == len(count)
     texts = {i: [x.lower() for x in words_of(t)] + [None] for i, t, _, _ in rows}
@@ -240,11 +240,10 @@ def test_language_model_predictions_sum_to_one(spark):
     m = language_model.train(docs)
     words = [r for r in m.words.collect()]
     assert sum(r.p for r in words if r.c) + m.unseen == pytest.approx(1, abs=1e-9)
-    own = {r.h: r.own for r in m.own.collect()}
-    pairs = spark.createDataFrame([(u.x, w.x) for u in words for w in words if w.c], "u long, w long").select("u", "w", F.xxhash64("u", "w").alias("h")).collect()
+    own = {(r.u, r.w): r.own for r in m.own.collect()}
     root = {r.x: r for r in words}
     for u in words:
-        mass = sum(own.get(q.h, 0.0) / u.den + u.new * root[q.w].p for q in pairs if q.u == u.x)
+        mass = sum(own.get((u.x, w.x), 0.0) / u.den + u.new * root[w.x].p for w in words if w.c)
         assert mass + u.new * m.unseen == pytest.approx(1, abs=1e-9)
 
 
