@@ -11,7 +11,8 @@ from lakelens.llm.nearcopies import op3_near_copies
 from lakelens.llm.packing import op10_pack
 from lakelens.llm.repeats import op9_repeats
 from lakelens.llm.secrets import op6_secrets
+from lakelens.llm.trie import OP13_SQL, op13_prefix_trie
 from lakelens.llm.vectors import op5_near_vectors
 
-QUERIES = {"op1_mix": op1_mix, "op2_media": op2_media, "op3_near_copies": op3_near_copies, "op4_language_model": op4_language_model, "op5_near_vectors": op5_near_vectors, "op6_secrets": op6_secrets, "op7_lines": op7_lines, "op8_langid": op8_langid, "op9_repeats": op9_repeats, "op10_pack": op10_pack}
-SQL = {"op1_mix": OP1_SQL}
+QUERIES = {"op1_mix": op1_mix, "op2_media": op2_media, "op3_near_copies": op3_near_copies, "op4_language_model": op4_language_model, "op5_near_vectors": op5_near_vectors, "op6_secrets": op6_secrets, "op7_lines": op7_lines, "op8_langid": op8_langid, "op9_repeats": op9_repeats, "op10_pack": op10_pack, "op13_prefix_trie": op13_prefix_trie}
+SQL = {"op1_mix": OP1_SQL, "op13_prefix_trie": OP13_SQL}
