@@ -166,9 +166,9 @@ def trie(turns: DataFrame, lengths: DataFrame) -> DataFrame:
     owner = nodes.groupBy("conv").agg(F.min("depth").alias("top"), F.sum("words").alias("owned"), F.max((F.col("n") == F.col("ends")).cast("long")).alias("leaf"))
     above = p.join(owner.select("conv", "top"), "conv").where("depth = top - 1").select("conv", *NODE)  # where the owned stretch hangs
     # All stretches that start with a first turn of their own hang on the root, whose owner is the smallest of all.
-    root = nodes.where("depth = 0").select(F.col("conv").alias("root"))
+    root = nodes.where("depth = 0").select("conv").first()
     hang = above.where("depth > 0").join(nodes.select(*NODE, F.col("conv").alias("above")), NODE).select("conv", "above")
-    hang = stage(hang.unionByName(above.where("depth = 0").select("conv").crossJoin(F.broadcast(root)).select("conv", F.col("root").alias("above"))), "trie-hang")
+    hang = stage(hang.unionByName(above.where("depth = 0").select("conv", F.lit(root and root.conv).cast("long").alias("above"))), "trie-hang")
     known = stage(owner.join(hang, "conv", "left"), "trie-owners")
     total = p.groupBy("conv").agg(F.max("upto").alias("total"))
     x = p.join(known.join(total, "conv", "right"), "conv")
