@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakelens.sources.text import fuzzy_score
+
+if TYPE_CHECKING:
+    from lakelens.operators.textindex import TextIndex
+
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -186,35 +194,60 @@ def unchanged(index: DataFrame, files: DataFrame) -> DataFrame:
     return files.join(index.select("path", "hash"), ["path", "hash"], "left_anti")
 
 
+def snippet(text: Column | str, words: Sequence[str], around: int = 8, most: int = 3) -> Column:
+    """Pieces of the text: each word that holds one of `words` (case ignored) with `around` words on both sides.
+
+    Pieces that meet are one; the first `most` are joined by " ... ". Null if there is none.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    parts = F.split(text, r"\s+")
+    holds = lambda w: reduce(Column.__or__, [F.contains(F.lower(w), F.lit(x.lower())) for x in words])
+    hits = F.filter(F.transform(parts, lambda w, i: F.when(holds(w), i)), lambda i: i.isNotNull())
+    # Runs (from, to) of word numbers: a hit within reach of the last run's end moves that end.
+    runs = F.aggregate(
+        hits, F.array().cast("array<struct<a:int,b:int>>"),
+        lambda s, i: F.when((F.size(s) > 0) & (F.get(s, F.size(s) - 1)["b"] >= i - around - 1), F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.struct(F.get(s, F.size(s) - 1)["a"].alias("a"), (i + around).alias("b")))))
+        .when(F.size(s) > most, s).otherwise(F.concat(s, F.array(F.struct(F.greatest(i - around, F.lit(0)).alias("a"), (i + around).alias("b"))))),
+    )
+    pieces = F.transform(F.slice(runs, 1, most), lambda r: F.trim(F.array_join(F.slice(parts, r["a"] + 1, r["b"] - r["a"] + 1), " ")))
+    return F.when(F.size(pieces) > 0, F.array_join(pieces, " ... "))
+
+
 def ranked(
-    docs: DataFrame, key: str, text: str, query: str, condition: Column | None = None, meta: DataFrame | None = None, order: str = "relevance", modified: str | None = None, path: str | None = None, context: int = 30
+    docs: DataFrame, key: str, text: str, query: str, condition: Column | None = None, meta: DataFrame | None = None, order: str = "relevance", modified: str | None = None, path: str | None = None, around: int = 8, index: TextIndex | None = None
 ) -> DataFrame:
     """Rows of docs that match the query and the condition, with score and snippet, in one of four orders.
 
-    Scores are those of the whole table; the condition may use columns of `meta`, joined by key (documents without a
-    row there are left out). Orders: relevance, newest, oldest, path; ties by score, then key. The snippet is the
-    first place of one of the query's words with `context` characters on both sides; null if none is written so.
+    Matches and scores come from the index if one is given, else from a scan of the texts, and are those of the whole
+    table; the condition may use columns of `meta`, joined by key (documents without a row there are left out). Orders:
+    relevance, newest, oldest, path; ties by score, then key.
     """
     by = {"relevance": [], "newest": [F.desc_nulls_last(modified)] if modified else None, "oldest": [F.asc_nulls_last(modified)] if modified else None, "path": [F.lower(path)] if path else None}
     if by.get(order) is None:
         raise ValueError(f"cannot order by {order!r}")
-    words = sorted({re.escape(w) for leaf in leaves(parse(query)) for w in leaf.parts})
+    words = sorted({w for leaf in leaves(parse(query)) for w in leaf.parts})
     rows = docs if meta is None else docs.join(meta, key)
     if condition is not None:
         rows = rows.where(condition)
-    hits = search(docs, key, text, query).withColumnRenamed("key", key)
-    snippet = F.nullif(F.regexp_extract(text, f"(?is).{{0,{context}}}(?:{'|'.join(words)}).{{0,{context}}}", 0), F.lit(""))
-    return rows.join(hits, key).withColumn("snippet", snippet).orderBy(*by[order], F.desc("score"), key)
+    hits = (index.search(query) if index else search(docs, key, text, query)).withColumnRenamed("key", key)
+    return rows.join(hits, key).withColumn("snippet", snippet(text, words, around)).orderBy(*by[order], F.desc("score"), key)
+
 
+def search_or_fuzzy(docs: DataFrame, key: str, text: str, query: str, least: float = 80.0, top: int = 5) -> DataFrame:
+    """(key, score): the query's matches; where it has none, what matches any word that starts with one of the `top` most similar terms.
 
-def search_or_fuzzy(docs: DataFrame, key: str, text: str, query: str, near: float = 0.8) -> DataFrame:
-    """(key, score, term): the query's matches; where it has none, those of the vocabulary's terms within the edit share `near` of it."""
+    Similarity is twice the longest common subsequence of the whole query and a term over both lengths, in percent.
+    """
     hits = search(docs, key, text, query)
     if not hits.isEmpty():
-        return hits.withColumn("term", F.lit(query))
-    word = query.strip().lower()
-    share = 1 - F.levenshtein("term", F.lit(word)) / F.greatest(F.length("term"), F.lit(len(word)))
-    like = vocabulary(docs, key, text).where(F.abs(F.length("term") - len(word)) <= len(word)).withColumn("share", share).where(F.col("share") >= near)
-    terms = like.select("term", "share")
-    found = tokens(docs, key, text).join(terms, "term")
-    return found.groupBy("key").agg(F.max("share").alias("score"), F.max_by("term", F.struct("share", "term")).alias("term"))
+        return hits
+    terms = close_terms(vocabulary(docs, key, text), query.strip().lower(), least, top)
+    return search(docs, key, text, " OR ".join(f"{t}*" for t in terms)) if terms else hits
+
+
+def close_terms(vocabulary: DataFrame, word: str, least: float = 80.0, top: int = 5) -> list[str]:
+    """The vocabulary's terms most like a word, best first; terms whose length alone rules them out are not scored."""
+    n = len(word)
+    within = F.length("term").between(n * least / (200 - least), n * (200 - least) / least)
+    x = vocabulary.where(within).select("term").withColumn("share", fuzzy_score("term", word)).where(F.col("share") >= least)
+    return [r.term for r in x.orderBy(F.desc("share"), "term").limit(top).collect()]

@@ -15,7 +15,7 @@ from lakelens.operators import profile as R
 from lakelens.operators import search as X
 from lakelens.operators import timeseries as N
 from lakelens.plans import records  # noqa: F401  registers its queries
-from lakelens.plans.registry import QUERIES, SQL, query, rounded  # noqa: F401
+from lakelens.plans.registry import QUERIES, SQL, index_of, query, rounded  # noqa: F401
 from lakelens.sources import text as TX
 
 NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -314,12 +314,15 @@ def postings(t):
     return X.postings(t("documents"), "doc_id", "text").withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
 
 
-def _bm25(units: list[str], where: str) -> str:
+_FOLDED = _TOK.replace("lower(text)", "strip_accents(lower(text))")
+
+
+def _bm25(units: list[str], where: str, tokens: str = _TOK) -> str:
     """SQL for a score over units, each an expression over the padded token text p."""
     tf = ", ".join(f"cast(({u}) as bigint) as u{i}" for i, u in enumerate(units))
     d = ", ".join(f"count(*) filter (u{i} > 0) as d{i}" for i in range(len(units)))
     score = " + ".join(f"greatest(1e-6, ln((n - d{i} + 0.5) / (d{i} + 0.5))) * u{i} * 2.2 / (u{i} + 1.2 * (0.25 + 0.75 * len / avglen))" for i in range(len(units)))
-    return f"""with x as (select doc_id as key, len({_TOK}) as len, ' ' || array_to_string({_TOK}, '  ') || ' ' as p from documents where text is not null),
+    return f"""with x as (select doc_id as key, len({tokens}) as len, ' ' || array_to_string({tokens}, '  ') || ' ' as p from documents where text is not null),
     y as (select key, len, {tf} from x), s as (select count(*) as n, avg(len) as avglen, {d} from y)
     select key, round({score}, 6) as score from y, s where {where}"""
 
@@ -330,9 +333,9 @@ def _count(phrase: str) -> str:
     return f"(length(p) - length(replace(p, ' {p} ', ''))) / {len(p) + 2}"
 
 
-@query(_bm25([_count("the"), _count("ing")], "u0 > 0 or u1 > 0"))
+@query(_bm25([_count("the"), _count("ing")], "u0 > 0 or u1 > 0", _FOLDED))
 def search_bm25(t):
-    return rounded(X.search(t("documents"), "doc_id", "text", "the OR ing"))
+    return rounded(index_of(t("documents")).search("the OR ing"))
 
 
 @query(_bm25([_count("of"), _count("that"), _count("der")], "u0 > 0 and u1 > 0 and not u2 > 0"))
@@ -340,9 +343,19 @@ def search_boolean(t):
     return rounded(X.search(t("documents"), "doc_id", "text", "(of AND that) NOT der"))
 
 
-@query(_bm25([_count("of the")], "u0 > 0"))
+@query(_bm25([_count("of the")], "u0 > 0", _FOLDED))
 def search_phrase(t):
-    return rounded(X.search(t("documents"), "doc_id", "text", "of the"))
+    return rounded(index_of(t("documents")).search("of the"))
+
+
+@query(f"select term, count(distinct doc_id) as docs, count(*) as occurrences from (select doc_id, unnest({_FOLDED}) as term from documents) group by 1")
+def index_vocabulary(t):
+    return index_of(t("documents")).vocabulary()
+
+
+@query()
+def search_stemmed(t):
+    return rounded(index_of(t("documents"), stemming=True).remembered("thinking OR \"of things\""))
 
 
 @query(r"""

@@ -12,7 +12,7 @@ from lakelens.operators import filing as P
 from lakelens.operators import inference as I
 from lakelens.operators import records as L
 from lakelens.operators import search as X
-from lakelens.plans.registry import query, rounded
+from lakelens.plans.registry import index_of, query, rounded
 
 
 def _pick(key: str, values: list[str]) -> str:
@@ -357,18 +357,21 @@ def bootstrap_mean(t):
     return I.bootstrap_mean(t("events"), "value", "event_id", 500).select("n", F.round("mean", 6).alias("mean"), ((F.col("low") < F.col("mean")) & (F.col("mean") < F.col("high"))).alias("holds"))
 
 
-_HITS = r"""with x as (select doc_id, source, lang, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as t from documents where text is not null),
+_HITS = r"""with x as (select doc_id, source, lang, text, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') as t from documents where text is not null),
 y as (select *, len(t) as len, cast(len(list_filter(t, lambda w: w = 'the')) as bigint) as u from x), s as (select count(*) as n, avg(len) as avglen, count(*) filter (u > 0) as d from y),
 h as (select *, round(greatest(1e-6, ln((n - d + 0.5) / (d + 0.5))) * u * 2.2 / (u + 1.2 * (0.25 + 0.75 * len / avglen)), 6) as score from y, s where u > 0)"""
 
 
-@query(_HITS + " select doc_id, score, regexp_extract(text, '(?is).{0,30}(?:the).{0,30}', 0) as snippet from h where source = 'src1' and lang = 'en' order by score desc, doc_id")
+@query(_HITS + r""", w as (select doc_id, regexp_split_to_array(text, '\s+') as p from h), i as (select doc_id, unnest(list_filter(range(1, len(p) + 1), lambda i: contains(lower(p[i]), 'the'))) as i from w),
+g as (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 17 then 0 else 1 end as new from i), r as (select doc_id, i, sum(new) over (partition by doc_id order by i) as run from g),
+b as (select doc_id, run, greatest(min(i) - 8, 1) as a, max(i) + 8 as b from r group by all), k as (select doc_id, string_agg(trim(array_to_string(p[a:b], ' ')), ' ... ' order by run) as snippet from b join w using (doc_id) where run <= 3 group by doc_id)
+select doc_id, score, snippet from h left join k using (doc_id) where source = 'src1' and lang = 'en' order by score desc, doc_id""")
 def search_filtered(t):
     d = t("documents")
-    return rounded(X.ranked(d, "doc_id", "text", "the", (F.col("source") == "src1") & (F.col("lang") == "en")).select("doc_id", "score", "snippet"))
+    return rounded(X.ranked(d, "doc_id", "text", "the", (F.col("source") == "src1") & (F.col("lang") == "en"), index=index_of(d)).select("doc_id", "score", "snippet"))
 
 
 @query(_HITS + " select doc_id, score, quality from h join labels using (doc_id) where quality = 1 order by lower(source), score desc, doc_id")
 def search_with_metadata(t):
-    x = X.ranked(t("documents"), "doc_id", "text", "the", F.col("quality") == 1, t("labels"), "path", path="source")
+    x = X.ranked(t("documents"), "doc_id", "text", "the", F.col("quality") == 1, t("labels"), "path", path="source", index=index_of(t("documents")))
     return rounded(x.select("doc_id", "score", "quality"))

@@ -88,26 +88,6 @@ def office_to_text(c: str | Column) -> Column:
     return F.pandas_udf(lambda s: s.map(zipped_text), "string")(c)
 
 
-def snippets(text: str, terms: list[str], context: int = 80, most: int = 3) -> str:
-    """Ranges of context around the terms' places, merged, the first few joined."""
-    half = context // 2
-    spans = sorted((max(0, m.start() - half), min(len(text), m.end() + half)) for t in terms for m in re.finditer(re.escape(t), text, re.IGNORECASE))
-    merged: list[list[int]] = []
-    for a, b in spans:
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(b, merged[-1][1])
-        else:
-            merged.append([a, b])
-    return " ... ".join(text[a:b].strip() for a, b in merged[:most])
-
-
-def snippet_column(c: str | Column, terms: list[str], context: int = 80) -> Column:
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else snippets(x, terms, context))
-
-    return F.pandas_udf(run, "string")(c)
-
-
 def edit_ratio(a: str, b: str) -> float:
     """200 times the longest common subsequence over both lengths, the score of fuzzy term matching."""
     if not a or not b:

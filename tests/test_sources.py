@@ -62,7 +62,6 @@ def test_ignore_rules(spark):
 def test_text_of_pages_and_mail():
     assert text.page_text("<title>T</title><script>x</script><p>a <b>b</b></p>") == "T\na b"
     assert "hello" in text.mail_text(b"From: a@b\nSubject: s\nContent-Type: text/plain\n\nhello\n")
-    assert text.snippets("one two three four", ["three"], 8).count("three") == 1
     assert text.edit_ratio("color", "colour") > 85
 
 
