@@ -7,8 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Aggregations by name, as callers give them.
-AGGREGATES = {"mean": F.avg, "sum": F.sum, "count": F.count, "median": F.median, "min": F.min, "max": F.max, "std": F.stddev_samp, "var": F.var_samp}
+from lakelens.operators.quantiles import median, quantiles, same
+
+#: Aggregations by name, as callers give them; the median, which Spark can only take of a buffer of all values, is read off running counts.
+AGGREGATES = {"mean": F.avg, "sum": F.sum, "count": F.count, "median": median, "min": F.min, "max": F.max, "std": F.stddev_samp, "var": F.var_samp}
+
+QUARTILES = {"q1": 0.25, "med": 0.5, "q3": 0.75}
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -22,17 +26,15 @@ def clean_number(c: str | Column) -> Column:
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row a numeric column: count, nulls, mean, median, std, sum, min, max, q1, q3, iqr. One pass over the data."""
+    """One row a numeric column: count, nulls, mean, median, std, sum, min, max, q1, q3, iqr; a column without values has nulls."""
     columns = list(columns or numeric_columns(df))
     x = df.select(*[clean_number(c).alias(c) for c in columns])
-    # percentiles hold each column's distinct values, so they are taken of one unpivoted column by group, spillable
     long = x.unpivot([], columns, "column", "value")
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = long.groupBy("column").agg(
-        F.count("value").alias("count"), F.count_if(F.col("value").isNull()).alias("nulls"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.sum("value").alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"), q.alias("q"),
-    )
-    return out.select("column", "count", "nulls", "mean", F.col("q")[1].alias("median"), "std", "sum", "min", "max", F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
+    plain = long.groupBy("column").agg(
+        F.count("value").alias("count"), F.count_if(F.col("value").isNull()).alias("nulls"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.sum("value").alias("sum"), F.min("value").alias("min"), F.max("value").alias("max")
+    )
+    q = quantiles(long, "value", QUARTILES, ["column"])
+    return plain.join(q, "column", "left").select("column", "count", "nulls", "mean", F.col("med").alias("median"), "std", "sum", "min", "max", "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"))
 
 
 def categorical_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -48,7 +50,12 @@ def group_aggregate(df: DataFrame, keys: Sequence[str], values: Sequence[str], a
     if unknown := set(aggregates) - set(AGGREGATES):
         raise ValueError(f"unknown aggregates: {sorted(unknown)}")
     x = df if keep_null_keys else df.dropna(subset=list(keys))
-    return x.groupBy(*keys).agg(*[AGGREGATES[a](v).alias(f"{v}_{a}") for v in values for a in aggregates])
+    out = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *[AGGREGATES[a](v).alias(f"{v}_{a}") for v in values for a in aggregates if a != "median"])
+    if "median" in aggregates:  # all values' medians from one table of running counts
+        long = x.select(*keys, F.inline(F.array(*[F.struct(F.lit(v).alias("_of"), F.col(v).cast("double").alias("_v")) for v in values])))
+        m = median(long, "_v", [*keys, "_of"], "_m").groupBy(*keys).agg(*[F.max(F.when(F.col("_of") == v, F.col("_m"))).alias(f"{v}_median") for v in values])
+        out = out.alias("x").join(m.alias("m"), same(keys, "x", "m"), "left").select("x.*", *[f"m.{v}_median" for v in values])
+    return out.select(*keys, *[f"{v}_{a}" for v in values for a in aggregates])
 
 
 def parsed_number(c: str | Column) -> Column:
@@ -65,8 +72,7 @@ def share_by(df: DataFrame, key: str, value: str) -> DataFrame:
 def box_summary(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles, whiskers (extremes within 1.5 iqr of the quartiles), number of fliers, mean and n by group."""
     x = df.select(F.col(group).alias("group"), clean_number(value).alias("v")).where("group is not null and v is not null")
-    q = x.groupBy("group").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select("group", *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "med", "q3"))])
+    q = quantiles(x, "v", QUARTILES, ["group"])
     q = q.withColumn("lo", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).withColumn("hi", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     inside = F.col("v").between(F.col("lo"), F.col("hi"))
     return x.join(q, "group").groupBy("group", "q1", "med", "q3").agg(

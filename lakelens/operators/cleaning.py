@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakelens.functions.scalar import parse_date
 from lakelens.operators.aggregates import clean_number, numeric_columns
+from lakelens.operators.quantiles import median, quantiles
 
 IDENTIFIERS = ("id", "code", "key", "zip", "postal", "phone")
 DATE_HINTS = ("date", "time", "timestamp", "created", "modified", "day")
@@ -52,16 +53,25 @@ def coerce(df: DataFrame, kinds: dict[str, str] | None = None) -> DataFrame:
 def fill_missing(df: DataFrame, how: str = "mean", columns: Sequence[str] | None = None) -> DataFrame:
     """Nulls replaced: numbers by mean, median or zero (integers by the rounded value), text by its least mode.
 
-    One aggregation gives all fill values; a column without any value stays null.
+    A column without any value stays null. Medians are read off running counts and modes off counts, so no task holds a
+    column's values.
     """
     columns = list(columns or df.columns)
     numbers = [c for c in numeric_columns(df) if c in columns]
     texts = [c for c in text_columns(df) if c in columns]
-    f = {"mean": F.avg, "median": F.median, "zero": lambda c: F.when(F.count(c) > 0, F.lit(0.0))}[how]
-    row = df.agg(*[f(clean_number(c)).alias(c) for c in numbers], *[F.mode(c, True).alias(c) for c in texts]).first()
+    row: dict = {}
+    if numbers and how == "median":
+        long = df.select(*[clean_number(c).alias(c) for c in numbers]).unpivot([], numbers, "column", "value")
+        row |= {r.column: r.median for r in median(long, "value", ["column"]).collect()}
+    elif numbers:
+        f = {"mean": F.avg, "zero": lambda c: F.when(F.count(c) > 0, F.lit(0.0))}[how]
+        row |= df.agg(*[f(clean_number(c)).alias(c) for c in numbers]).first().asDict()
+    if texts:
+        counts = df.select(*texts).unpivot([], texts, "column", "value").where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        row |= {r.column: r.b.value for r in counts.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("m"), "value")).alias("b")).collect()}
     out = []
     for c, t in df.dtypes:
-        v = row[c] if c in numbers or c in texts else None
+        v = row.get(c)
         if v is None:
             out.append(F.col(c))
         elif t in ("double", "float"):
@@ -94,7 +104,7 @@ def drop_outliers(df: DataFrame, columns: Sequence[str], how: str = "iqr", limit
     """Rows without outliers, column after column: later columns see what earlier ones left. Nulls stay."""
     for c in columns:
         if how == "iqr":
-            q1, q3 = df.agg(F.percentile(c, 0.25), F.percentile(c, 0.75)).first()
+            q1, q3 = quantiles(df.select(clean_number(c).alias("v")), "v", {"q1": 0.25, "q3": 0.75}).first() or (None, None)
             k = 1.5 if limit is None else limit
             lo, hi = (None, None) if q1 is None else (q1 - k * (q3 - q1), q3 + k * (q3 - q1))
         else:

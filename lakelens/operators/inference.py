@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from lakelens.functions import special as S
 from lakelens.operators.aggregates import clean_number
+from lakelens.operators.quantiles import average_ranks, median
+from lakelens.sources.shared import staged
 
 
 def result(data: DataFrame, /, **values: object) -> DataFrame:
@@ -42,23 +44,6 @@ def group_stats(df: DataFrame, value: str, group: str) -> DataFrame:
     return x.groupBy("g").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.coalesce(F.var_samp("v"), F.lit(0.0)).alias("var"))
 
 
-def average_ranks(df: DataFrame, value: str, parts: int = 64) -> DataFrame:
-    """(value, ties, rank): each distinct value's average rank.
-
-    Counts by value are cut into ranges at approximate quantiles; the ranges' totals give each its offset, so no
-    task sorts all values.
-    """
-    n = df.groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("ties")).where("value is not null")
-    cuts = n.agg(F.approx_percentile("value", [i / parts for i in range(1, parts)])).first()[0] or []
-    part = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]).cast("array<double>"), lambda c: c < F.col("value")))
-    x = n.withColumn("_p", part)
-    totals = x.groupBy("_p").agg(F.sum("ties").alias("_t"))
-    offset = F.coalesce(F.sum("_t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = F.sum("ties").over(Window.partitionBy("_p").orderBy("value").rowsBetween(Window.unboundedPreceding, -1))
-    x = x.join(F.broadcast(totals.select("_p", offset.alias("_o"))), "_p").withColumn("_b", F.coalesce(before, F.lit(0)) + F.col("_o"))
-    return x.select("value", "ties", (F.col("_b") + (F.col("ties") + 1) / 2).alias("rank"))
-
-
 def correlation(df: DataFrame, x: str, y: str, confidence: float = 0.95) -> DataFrame:
     """Pearson r, its p value and Fisher interval (n >= 4) over complete pairs."""
     r, n = df.select(clean_number(x).alias("x"), clean_number(y).alias("y")).dropna().agg(F.corr("x", "y"), F.count(F.lit(1))).first()
@@ -73,12 +58,21 @@ def correlation(df: DataFrame, x: str, y: str, confidence: float = 0.95) -> Data
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Rank correlation of complete pairs with average ranks."""
-    d = df.select(clean_number(x).alias("x"), clean_number(y).alias("y")).dropna()
+    """Rank correlation of complete pairs with average ranks, its p value beside it.
+
+    Equal pairs are counted first, so a frequent value meets its rank once for each value it is paired with.
+    """
+    d = df.select(clean_number(x).alias("x"), clean_number(y).alias("y")).dropna().groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
+    d = staged(d, "pairs")
+    n = d.agg(F.sum("w")).first()[0] or 0
     for c in ("x", "y"):
-        d = d.join(average_ranks(d, c).select(F.col("value").alias(c), F.col("rank").alias(f"r{c}")), c)
-    r, n = d.agg(F.corr("rx", "ry"), F.count(F.lit(1))).first()
-    if r is None or n < 3:
+        d = d.join(average_ranks(d, c, "w").select(F.col("value").alias(c), F.col("rank").alias(f"r{c}")), c)
+    if n < 3:
+        return result(df, n=n, r=NAN, p=NAN)
+    a, b = (F.col(c) - (n + 1) / 2 for c in ("rx", "ry"))  # every rank's mean is (n + 1) / 2
+    sxy, sxx, syy = d.agg(F.sum(F.col("w") * a * b), F.sum(F.col("w") * a * a), F.sum(F.col("w") * b * b)).first()
+    r = over(sxy, math.sqrt(sxx * syy))
+    if math.isnan(r):
         return result(df, n=n, r=NAN, p=NAN)
     return result(df, n=n, r=r, p=S.t_two_sided(r * math.sqrt((n - 2) / max(1e-300, 1 - r * r)), n - 2))
 
@@ -146,7 +140,7 @@ def anova(df: DataFrame, value: str, group: str) -> DataFrame:
 def levene(df: DataFrame, value: str, group: str) -> DataFrame:
     """Levene's test about the medians: one-way F of the absolute deviations."""
     x = df.select(F.col(group).alias("g"), clean_number(value).alias("v")).where("g is not null and v is not null")
-    med = x.groupBy("g").agg(F.median("v").alias("m"))
+    med = median(x, "v", ["g"], "m")
     a = anova(x.join(med, "g").select("g", F.abs(F.col("v") - F.col("m")).alias("z")), "z", "g")
     return a.select("k", "n", "f", "p")
 
@@ -154,8 +148,9 @@ def levene(df: DataFrame, value: str, group: str) -> DataFrame:
 def rank_sums(df: DataFrame, value: str, group: str) -> tuple[list, float, int]:
     """Rank sum and n of each group, the tie term sum(t^3 - t), and n in all."""
     x = df.select(F.col(group).alias("g"), clean_number(value).alias("v")).where("g is not null and v is not null")
-    ranks = average_ranks(x, "v")
-    rows = x.join(ranks.withColumnRenamed("value", "v"), "v").groupBy("g").agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("n")).orderBy("g").collect()
+    x = staged(x.groupBy("g", "v").agg(F.count(F.lit(1)).alias("w")), "counts")
+    ranks = average_ranks(x, "v", "w")
+    rows = x.join(ranks.withColumnRenamed("value", "v"), "v").groupBy("g").agg(F.sum(F.col("w") * F.col("rank")).alias("r"), F.sum("w").alias("n")).orderBy("g").collect()
     ties = ranks.agg(F.sum(F.col("ties").cast("double") ** 3 - F.col("ties"))).first()[0] or 0.0
     return rows, ties, sum(r.n for r in rows)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakelens.operators.aggregates import AGGREGATES
+from lakelens.operators.quantiles import median
 
 #: Greatest median gap in seconds of each frequency.
 GAPS = (("S", 60), ("T", 3600), ("H", 129600), ("D", 1209600), ("W", 5184000), ("M", 15552000), ("Q", 62208000))
@@ -25,7 +26,7 @@ def infer_frequency(df: DataFrame, at: str) -> DataFrame:
     days = t.groupBy("d").agg(F.min("t").alias("first"), F.max("t").alias("last"))
     edge = days.withColumn("p", F.lag("last").over(Window.orderBy("d"))).select("d", F.col("first").alias("t"), "p")
     gaps = t.withColumn("p", prev).join(edge.withColumnRenamed("p", "q"), ["d", "t"], "left").select((F.unix_micros("t") - F.unix_micros(F.coalesce("p", "q"))).alias("g")).where("g is not null")
-    out = gaps.agg((F.median("g") / 1e6).alias("gap"))
+    out = df.sparkSession.range(1).select(F.lit(0)).join(median(gaps, "g", name="gap"), F.lit(True), "left").select((F.col("gap") / 1e6).alias("gap"))
     f = F.when(F.col("gap").isNull(), None)
     for name, most in GAPS:
         f = f.when(F.col("gap") <= most, name)
@@ -44,7 +45,10 @@ def bin_label(t: Column, unit: str) -> Column:
 def resample(df: DataFrame, at: str, value: str, unit: str = "D", aggregate: str = "mean", spine: bool = True) -> DataFrame:
     """(bin, value): the aggregate of each bin; with spine the empty bins between first and last too (null; 0 for sum and count)."""
     x = df.select(bin_label(F.col(at).cast("timestamp"), unit).alias("bin"), F.col(value).cast("double").alias("v")).where("bin is not null")
-    out = x.groupBy("bin").agg(AGGREGATES[aggregate]("v").cast("double").alias("value"))
+    if aggregate == "median":
+        out = x.select("bin").distinct().join(median(x, "v", ["bin"], "value"), "bin", "left")
+    else:
+        out = x.groupBy("bin").agg(AGGREGATES[aggregate]("v").cast("double").alias("value"))
     if not spine or unit not in ("S", "T", "H", "D", "W"):
         return out
     step = {"S": "interval 1 second", "T": "interval 1 minute", "H": "interval 1 hour", "D": "interval 1 day", "W": "interval 7 days"}[unit]
@@ -83,13 +87,19 @@ def changes(df: DataFrame, order: str, value: str, by: Sequence[str] = ()) -> Da
     return df.select(*df.columns, (F.col(value) - before).alias("diff"), total.alias("cumsum"), F.when(before != 0, (F.col(value) / before - 1) * 100).alias("pct_change"))
 
 
+def only(row: DataFrame) -> Column:
+    """The value of a table of one column and at most one row."""
+    found = row.first()
+    return F.lit(None if found is None else found[0]).cast("double")
+
+
 def robust_outliers(df: DataFrame, value: str, by: str | None = None, limit: float = 3.5) -> DataFrame:
     """df with outlier: 0.6745 |x - median| / MAD above limit, a MAD of 0 taken as 1."""
     keys = [by] if by else []
-    med = df.groupBy(*keys).agg(F.median(value).alias("_med"))
-    x = df.join(med, keys) if by else df.crossJoin(F.broadcast(med))
+    med = median(df, value, keys, "_med")
+    x = df.join(med, keys) if by else df.withColumn("_med", only(med))
     dev = F.abs(F.col(value) - F.col("_med"))
-    mad = x.groupBy(*keys).agg(F.median(dev).alias("_mad"))
-    x = x.join(mad, keys) if by else x.crossJoin(F.broadcast(mad))
+    mad = median(x.withColumn("_dev", dev), "_dev", keys, "_mad")
+    x = x.join(mad, keys) if by else x.withColumn("_mad", only(mad))
     scale = F.when(F.col("_mad") == 0, 1.0).otherwise(F.col("_mad"))
     return x.withColumn("outlier", 0.6745 * dev / scale > limit).drop("_med", "_mad")

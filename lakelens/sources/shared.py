@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,3 +39,10 @@ def listing(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder; none if it is absent."""
     p, fs = _path(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def staged(df: DataFrame, tag: str) -> DataFrame:
+    """df written to the shared folder and read back: it runs once, its size is known, and lost executors cost no more than a read."""
+    path = f"{shared_folder(df.sparkSession)}/staged/{tag}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
