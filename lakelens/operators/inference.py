@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lakelens.functions import special as S
 from lakelens.operators.aggregates import clean_number
 from lakelens.operators.quantiles import average_ranks, median
+from lakelens.operators.regression import least_squares
 from lakelens.sources.shared import staged
 
 
@@ -178,21 +179,8 @@ def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
 
 
 def ols(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
-    """Least squares with an intercept: term, coefficient, std_error, t, p. One pass of sums; the normal equations are a few numbers."""
-    d = df.select(F.lit(1.0).alias("intercept"), *[clean_number(c).alias(c) for c in xs], clean_number(y).alias("_y")).dropna()
-    names = ["intercept", *xs]
-    cross = [F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate([*names, "_y"]) for j, b in enumerate([*names, "_y"]) if i <= j]
-    row = d.agg(*cross).first()
-    m = np.zeros((len(names) + 1,) * 2)
-    for k, v in row.asDict().items():
-        i, j = map(int, k.split("_"))
-        m[i, j] = m[j, i] = v
-    inv = np.linalg.inv(m[:-1, :-1])
-    beta, n = inv @ m[:-1, -1], m[0, 0]
-    s2 = (m[-1, -1] - beta @ m[:-1, -1]) / (n - len(names))
-    se = np.sqrt(np.diag(inv) * s2)
-    rows = [(name, float(b), float(e), float(b / e), float(S.t_two_sided(b / e, n - len(names)))) for name, b, e in zip(names, beta, se, strict=True)]
-    return df.sparkSession.createDataFrame(rows, "term string, coefficient double, std_error double, t double, p double")
+    """Least squares with an intercept: term, coefficient, std_error, t, p, low, high (see `regression.least_squares`)."""
+    return least_squares(df, f"{y} ~ {' + '.join(xs)}", "plain").table(df)
 
 
 def vif(df: DataFrame, xs: Sequence[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from lakelens.operators import observe as O
 from lakelens.operators import profile as R
 from lakelens.operators import search as X
 from lakelens.operators import timeseries as N
-from lakelens.plans import records  # noqa: F401  registers its queries
+from lakelens.plans import models, records  # noqa: F401  register their queries
 from lakelens.plans.registry import QUERIES, SQL, index_of, query, rounded  # noqa: F401
 from lakelens.sources import text as TX
 
