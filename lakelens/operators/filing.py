@@ -163,12 +163,13 @@ def engineering_folder(path: str | Column) -> Column:
 
 
 def health_folder(path: str | Column, patient: str | Column | None = None) -> Column:
-    """Below the patient's own folder where `patient` is not null."""
+    """Below the patient's own folder where `patient` is not null; a patient's files that no rule takes stay unsorted there unless they are documents."""
     _, kind, low = _tests(path)
     has = lambda w: F.contains(low, F.lit(w))
     rules = [(has("report"), "Reports"), (kind("scan") | has("image"), "Imaging"), (has("lab"), "Lab"), (has("admin"), "Admin"), (has("guideline"), "Guidelines")]
     who = F.lit(None).cast("string") if patient is None else F.col(patient) if isinstance(patient, str) else patient
-    return F.concat_ws("/", F.lit("Health"), F.concat(F.lit("Patients/"), who), first_of(rules, "Archive"))
+    rest = F.when(who.isNull() | extension(path).isin("txt", "pdf", "docx", "md"), "Archive").otherwise("unsorted")
+    return F.concat_ws("/", F.lit("Health"), F.concat(F.lit("Patients/"), who), first_of(rules, rest))
 
 
 def it_folder(path: str | Column) -> Column:
@@ -191,10 +192,18 @@ def placed(files: DataFrame, path: str, folder: Column) -> DataFrame:
 
 
 def duplicate_files(files: DataFrame, name: str, size: str, digest: str) -> DataFrame:
-    """Rows whose content another row has: only those that share name and size are compared by digest."""
-    n = F.count(F.lit(1))
-    x = files.withColumn("_n", n.over(Window.partitionBy(name, size))).where("_n > 1").withColumn("_n", n.over(Window.partitionBy(name, size, digest)))
-    return x.where((F.col("_n") > 1) & F.col(digest).isNotNull()).drop("_n")
+    """Rows that share their lower-cased name and size, or their content's digest, with another row.
+
+    A null size equals another; a null digest (a file that cannot be read) equals none. Repeats are counted first and
+    met again by a join, so a file with very many copies is not one window.
+    """
+    x = files.withColumns({"_name": F.lower(name), "_size": F.col(size), "_digest": F.col(digest)})
+    several = lambda keys, mark: x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys, F.lit(True).alias(mark))
+    for i, keys in enumerate((["_name", "_size"], ["_digest"])):
+        x_, y = x.alias("x"), several(keys, f"_m{i}").alias("y")
+        equal = F.expr(" and ".join(f"x.{k} {'=' if k == '_digest' else '<=>'} y.{k}" for k in keys))
+        x = x_.join(y, equal, "left").select("x.*", f"y._m{i}")
+    return x.where("_m0 or _m1").drop("_name", "_size", "_digest", "_m0", "_m1")
 
 
 def folder_summary(files: DataFrame, category: str, size: str, digest: str) -> DataFrame:
@@ -235,10 +244,14 @@ def rotation(backups: DataFrame, archive: str, parent: str, at: str, keep: int =
     return roots.join(F.broadcast(kept.select("root")), "root", "left_anti").select(F.col("key").alias(archive))
 
 
-def verification(manifest: DataFrame, payload: DataFrame, path: str, digest: str) -> DataFrame:
-    """(path, problem): files of the manifest that the payload lacks or has with another digest."""
+def verification(manifest: DataFrame, payload: DataFrame, path: str, digest: str, full: bool = True) -> DataFrame:
+    """(path, problem): files of a full backup's manifest that the payload lacks, and files with another digest.
+
+    A file whose digest the manifest does not give is not compared; an incremental payload may lack files.
+    """
     x = manifest.select(path, F.col(digest).alias("_m")).join(payload.select(path, F.col(digest).alias("_p"), F.lit(True).alias("_has")), path, "left")
-    problem = F.when(F.col("_has").isNull(), "missing").when(~F.col("_m").eqNullSafe(F.col("_p")), "mismatch")
+    lost = F.col("_has").isNull()
+    problem = F.when(lost, F.when(F.lit(full), "missing")).when((F.col("_m") != "") & ~F.col("_m").eqNullSafe(F.col("_p")), "mismatch")
     return x.select(path, problem.alias("problem")).where("problem is not null")
 
 

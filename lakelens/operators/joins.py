@@ -92,9 +92,19 @@ def duplicate_marks(df: DataFrame, key: str) -> DataFrame:
     return df.join(n, F.col(key).eqNullSafe(F.col("_k"))).select(*df.columns, (F.col("_n") > 1).alias("duplicate"))
 
 
-def relations(columns: DataFrame) -> DataFrame:
-    """Guess references from (table, column): X_id or Xid points to table X (high if there is one, else low)."""
-    target = F.regexp_replace(F.lower("column"), "_?(id|key)$", "")
-    c = columns.where(F.lower("column").rlike("(id|key)$")).withColumn("target", target).where("target <> '' and target <> table")
-    t = columns.select(F.col("table").alias("target")).distinct().withColumn("found", F.lit(True))
-    return c.join(t, "target", "left").select("table", "column", "target", F.when(F.col("found"), "high").otherwise("low").alias("confidence"))
+def relations(columns: DataFrame, files: Sequence[str] = ("file_index", "file_metadata", "file_tags", "files")) -> DataFrame:
+    """Guess references from (table, column): X_id points to table X, high if there is one, else low and without target.
+
+    A column called path points to each of the `files` tables but its own, medium. Case is ignored.
+    """
+    low = columns.select("table", "column", F.lower("column").alias("_c"))
+    names = columns.select(F.lower("table").alias("_t"), F.col("table").alias("target")).groupBy("_t").agg(F.min("target").alias("target"))
+    ids = low.where(F.col("_c").rlike("..*_id$")).withColumn("_t", F.regexp_replace("_c", "_id$", "")).join(names, "_t", "left")
+    ids = ids.select("table", "column", "target", F.when(F.col("target").isNotNull(), "high").otherwise("low").alias("confidence"))
+    paths = low.where("_c = 'path'").select("table", "column", F.explode(F.array(*map(F.lit, files))).alias("target"), F.lit("medium").alias("confidence"))
+    return ids.unionByName(paths.where("target <> table"))
+
+
+def relation_graph(references: DataFrame) -> DataFrame:
+    """(table, targets): the tables that each table points to, sorted, from rows (table, target); rows without a target are left out."""
+    return references.where("target is not null").groupBy("table").agg(F.array_sort(F.collect_set("target")).alias("targets"))

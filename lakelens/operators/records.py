@@ -33,9 +33,10 @@ DATES = [r"\d{4}-\d{2}-\d{2}", r"\d{2}\.\d{2}\.\d{4}", r"\d{2}/\d{2}/\d{4}"]
 def log_entries(lines: DataFrame, line: str) -> DataFrame:
     """ts, path, file, extension and, for .../year/month/customer/file, year, month and customer of each log line.
 
-    The path is what follows the last "] "; lines that are empty are left out.
+    The path is what follows the last "]" of a line that has "] ", else the whole line; empty lines are left out.
     """
-    raw = F.trim(F.regexp_replace(F.regexp_extract(line, r"(?s)([^\]]*)$", 1), r"[\\/]+", "/"))
+    rest = F.when(F.contains(F.col(line), F.lit("] ")), F.regexp_extract(line, r"(?s)([^\]]*)$", 1)).otherwise(F.col(line))
+    raw = F.trim(F.regexp_replace(rest, r"[\\/]+", "/"))
     parts = F.split(F.col("path"), "/")
     deep = (F.size(parts) >= 5) & F.element_at(parts, -4).rlike(r"^\d{4}$") & F.element_at(parts, -3).rlike(r"^\d+$")
     x = lines.where(F.trim(line) != "").withColumn("ts", F.regexp_extract(line, r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}", 0)).withColumn("path", raw)
@@ -66,13 +67,14 @@ def _clean(value: Column) -> Column:
 
 
 def virtual_tags(text: str | Column, meta: Column | None = None) -> Column:
-    """Sorted "label: value" tags, lower-case, of a text's labelled fields; a label that meta has is taken from there."""
+    """Sorted "label: value" tags, lower-case, of a text's labelled fields; a label for which meta has a value of two signs or more is taken from there."""
     text = F.col(text) if isinstance(text, str) else text
     tag = lambda k, v: F.when(F.length(v) > 1, F.lower(F.concat(k, F.lit(": "), v)))
     found = [tag(F.lit(k), _clean(F.regexp_extract(text, f"(?i){p}", 1))) for k, p in LABELS.items()]
     if meta is None:
         return F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))
-    keys = F.transform(F.map_keys(meta), lambda k: F.lower(k))
+    some = F.filter(F.map_entries(meta), lambda e: (F.length(_clean(e["key"])) > 1) & (F.length(_clean(e["value"])) > 1))
+    keys = F.coalesce(F.transform(some, lambda e: F.lower(_clean(e["key"]))), F.array().cast("array<string>"))
     rest = [F.when(~F.array_contains(keys, k), f) for k, f in zip(LABELS, found, strict=True)]
     given = F.transform(F.map_entries(meta), lambda e: tag(_clean(e["key"]), _clean(e["value"])))
     return F.array_sort(F.array_distinct(F.array_compact(F.concat(F.coalesce(given, F.array().cast("array<string>")), F.array(*rest)))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from lakelens.functions import scalar as S
@@ -206,14 +208,26 @@ def duplicate_documents(t):
     return J.duplicate_marks(t("documents").select("doc_id", F.md5("text").alias("hash")), "hash").select("doc_id", "duplicate")
 
 
-@query("""
-select c.tbl as "table", c.col as "column", c.target, case when c.target in ('nation', 'region', 'customer', 'order', 'part') then 'high' else 'low' end as confidence
-from (values ('customer', 'nationkey', 'nation'), ('nation', 'regionkey', 'region'), ('order', 'custkey', 'cust'), ('part', 'supp_id', 'supp'), ('lineitem', 'part_id', 'part')) c(tbl, col, target)
-""")
+_COLUMNS = r"""c as (select table_name as tbl, regexp_replace(regexp_replace(column_name, '^[a-z]{1,2}_', ''), 'key$', '_id') as col from information_schema.columns
+ where table_name in ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'labels', 'pages', 'conversations'))"""
+
+
+def table_columns(t):
+    """(table, column) of the given tables, the prefix of a column left out and key written as _id."""
+    tables = "region nation customer supplier part orders lineitem events documents labels pages conversations".split()
+    rows = [(n, re.sub("key$", "_id", re.sub("^[a-z]{1,2}_", "", c))) for n in tables for c in t(n).columns]
+    return t("region").sparkSession.createDataFrame(rows, "table string, column string")
+
+
+@query(f"""with {_COLUMNS} select c.tbl as "table", c.col as "column", x.tbl as target, case when x.tbl is null then 'low' else 'high' end as confidence
+from c left join (select distinct tbl from c) x on x.tbl = regexp_replace(c.col, '_id$', '') where c.col like '_%\\_id' escape '\\'""")
 def heuristic_relations(t):
-    spark = t("region").sparkSession
-    cols = [("customer", "nationkey"), ("customer", "name"), ("nation", "regionkey"), ("region", "name"), ("order", "custkey"), ("part", "supp_id"), ("lineitem", "part_id")]
-    return J.relations(spark.createDataFrame(cols, "table string, column string"))
+    return J.relations(table_columns(t))
+
+
+@query(f"""with {_COLUMNS} select c.tbl as "table", string_agg(distinct x.tbl, ',' order by x.tbl) as targets from c join (select distinct tbl from c) x on c.col = x.tbl || '_id' group by 1""")
+def relation_graph(t):
+    return J.relation_graph(J.relations(table_columns(t))).withColumn("targets", F.array_join("targets", ","))
 
 
 @query(

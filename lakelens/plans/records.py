@@ -95,7 +95,7 @@ def place_engineering(t):
 @query(
     _placed(
         f"""'Health/' || case when id % 2 = 0 then 'Patients/p' || id || '/' else '' end || case when contains(n, 'report') then 'Reports' when {_is("scan")} or contains(n, 'image') then 'Imaging' when contains(n, 'lab') then 'Lab'
-        when contains(n, 'admin') then 'Admin' when contains(n, 'guideline') then 'Guidelines' else 'Archive' end"""
+        when contains(n, 'admin') then 'Admin' when contains(n, 'guideline') then 'Guidelines' when id % 2 = 0 and not regexp_matches(n, '[^/.]\\.(txt|pdf|docx|md)$') then 'unsorted' else 'Archive' end"""
     )
 )
 def place_health(t):
@@ -114,7 +114,7 @@ def place_media(t):
 
 
 @query("""
-select doc_id, source, n_chars from (select *, count(*) over (partition by source, n_chars) as a, count(*) over (partition by source, n_chars, md5(text)) as b from documents) where a > 1 and b > 1 and text is not null
+select doc_id, source, n_chars from (select *, count(*) over (partition by lower(source), n_chars) as a, count(*) over (partition by md5(text)) as b from documents) where a > 1 or (b > 1 and text is not null)
 """)
 def duplicate_files(t):
     d = t("documents").select("doc_id", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("digest"))
@@ -156,12 +156,13 @@ def rotation(t):
 
 @query("""
 select m.o_orderkey, case when p.k is null then 'missing' else 'mismatch' end as problem from orders m left join (select o_orderkey as k, case when o_orderkey % 5 = 0 then 'x' else o_orderstatus end as s from orders where o_orderkey % 7 <> 0) p on k = o_orderkey
-where p.k is null or s is distinct from o_orderstatus
+where p.k is null or (o_orderkey % 3 > 0 and s is distinct from o_orderstatus)
 """)
 def verify_archive(t):
     m = t("orders").select("o_orderkey", "o_orderstatus")
     payload = m.where("o_orderkey % 7 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 5 == 0, "x").otherwise(F.col("o_orderstatus")))
-    return P.verification(m, payload, "o_orderkey", "o_orderstatus")
+    listed = m.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderstatus")))
+    return P.verification(listed, payload, "o_orderkey", "o_orderstatus")
 
 
 @query("""
@@ -174,16 +175,25 @@ def incremental_base(t):
     return P.incremental_base(b, "o_custkey", "o_orderkey", "kind", "o_orderdate", "there")
 
 
+@query("""
+select o_orderkey, case when o_orderkey % 4 = 0 then '' else 'erstellt von: team ' || (o_custkey % 9) || '; ' end || 'kunde: ' || case when o_custkey % 3 = 0 then 'house ' || o_custkey else lower(o_orderpriority) end || '; patch: p' || (o_custkey % 50) || '.1' || case when o_custkey % 5 = 0 then '; status: ' || lower(o_orderstatus) || lower(o_orderstatus) else '' end as tags from orders
+""")
+def virtual_tags_with_metadata(t):
+    meta = F.expr("map('KUNDE', case when o_custkey % 3 = 0 then concat('House, ', o_custkey) when o_custkey % 3 = 1 then ' .' end, 'Status', case when o_custkey % 5 = 0 then repeat(o_orderstatus, 2) else o_orderstatus end)")
+    v = L.virtual_tags(F.expr(_HEADER), meta)
+    return t("orders").select("o_orderkey", F.array_join(v, "; ").alias("tags"))
+
+
 @query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)")
 def unreferenced(t):
     return P.unreferenced(t("customer").select("c_custkey"), t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
-_LINE = f"concat('[', cast(cast(o_orderdate as date) as string), 'T08:15:30] /docs/', case when o_orderkey % 3 = 0 then '' else '2023/04/' end, o_orderpriority, '//', {NAME})"
+_LINE = f"case when o_orderkey % 11 = 0 then concat('docs/x[', cast(o_orderkey % 5 as string), ']/', {NAME}) else concat('[', cast(cast(o_orderdate as date) as string), 'T08:15:30] /docs/', case when o_orderkey % 3 = 0 then '' else '2023/04/' end, o_orderpriority, '//', {NAME}) end"
 
 
 @query(f"""
-with p as (select id, regexp_replace(trim(regexp_extract(line, '([^\\]]*)$', 1)), '[\\\\/]+', '/', 'g') as path, cast(replace(regexp_extract(line, '\\d{{4}}-\\d{{2}}-\\d{{2}}[T ]\\d{{2}}:\\d{{2}}:\\d{{2}}', 0), 'T', ' ') as timestamp) as ts
+with p as (select id, regexp_replace(trim(case when contains(line, '] ') then regexp_extract(line, '([^\\]]*)$', 1) else line end), '[\\\\/]+', '/', 'g') as path, try_cast(nullif(replace(regexp_extract(line, '\\d{{4}}-\\d{{2}}-\\d{{2}}[T ]\\d{{2}}:\\d{{2}}:\\d{{2}}', 0), 'T', ' '), '') as timestamp) as ts
  from (select o_orderkey as id, {_LINE} as line from orders)), s as (select *, string_split(path, '/') as a from p)
 select id, ts, path, a[-1] as file, lower(regexp_extract(a[-1], '\\.([^.]*)$', 1)) as extension, case when len(a) >= 5 and regexp_matches(a[-4], '^\\d{{4}}$') and regexp_matches(a[-3], '^\\d+$') then a[-4] end as year,
  case when len(a) >= 5 and regexp_matches(a[-4], '^\\d{{4}}$') and regexp_matches(a[-3], '^\\d+$') then a[-3] end as month, case when len(a) >= 5 and regexp_matches(a[-4], '^\\d{{4}}$') and regexp_matches(a[-3], '^\\d+$') then a[-2] end as customer from s
@@ -192,7 +202,7 @@ def log_entries(t):
     return L.log_entries(t("orders").select(F.col("o_orderkey").alias("id"), F.expr(_LINE).alias("line")), "line").drop("line")
 
 
-@query("select case when o_orderkey % 3 = 0 then 'UNKNOWN' else o_orderpriority end as customer, count(*) as n from orders group by 1 order by n desc, customer limit 20")
+@query("select case when o_orderkey % 3 = 0 or o_orderkey % 11 = 0 then 'UNKNOWN' else o_orderpriority end as customer, count(*) as n from orders group by 1 order by n desc, customer limit 20")
 def log_customers(t):
     x = L.log_entries(t("orders").select(F.lit("log").alias("log"), F.expr(_LINE).alias("line")), "line")
     return L.log_summary(x, "log")["customers"]
