@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lakelens.operators import linediff as D
 from lakelens.operators import regression as M
 from lakelens.plans.registry import query, rounded
 
@@ -55,3 +56,24 @@ def mixed_model(t):
     x = t("lineitem").join(t("part").select(F.col("p_partkey").alias("l_partkey"), "p_size"), "l_partkey")
     fit = M.random_intercept(x, "l_extendedprice ~ l_quantity + p_size", "l_partkey")
     return fit.table(x).select("*", *[F.lit(fit.model[k]).alias(k) for k in ("n", "groups", "log_likelihood", "sigma2", "tau2")])
+
+
+@query("""
+with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents where doc_id % 3 = 0)
+select doc_id, count(*) as removed, count(*) as added from l where contains(line, 'the') group by 1
+""")
+def line_differences(t):
+    d = t("documents").select("doc_id", "text")
+    new = d.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("the"), F.lit("THE"))).otherwise(F.col("text")))
+    x = D.line_diff(d, new, "doc_id", "text", 0)
+    return x.where("sign in ('-', '+')").groupBy(F.col("key").alias("doc_id")).agg(F.count_if(F.col("sign") == "-").alias("removed"), F.count_if(F.col("sign") == "+").alias("added"))
+
+
+@query("""
+select doc_id as key, case when doc_id % 5 = 0 then 'missing_b' when doc_id % 3 = 0 and length(text) > 0 and octet_length(encode(text)) > 2000 - 1 then 'large' when doc_id % 3 = 0 then 'changed' else 'identical' end as status,
+ case when doc_id % 5 = 0 or (doc_id % 3 = 0 and octet_length(encode(text)) > 1999) then null when doc_id % 3 = 0 then round(2e0 * length(text) / (2 * length(text) + 1), 6) else 1 end as ratio from documents
+""")
+def compare_texts(t):
+    d = t("documents").select("doc_id", "text")
+    new = d.where("doc_id % 5 <> 0").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("☃"))).otherwise(F.col("text")))
+    return rounded(D.compare_texts(d, new, "doc_id", "text", limit=2001).select("key", "status", "ratio"))
