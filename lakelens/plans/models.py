@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lakelens.operators import linediff as D
+from lakelens.operators import observers as V
 from lakelens.operators import regression as M
 from lakelens.plans.registry import query, rounded
+from lakelens.sources.shared import shared_folder
 
 
 def fitted(df, formula, errors, *figures):
@@ -77,3 +81,21 @@ def compare_texts(t):
     d = t("documents").select("doc_id", "text")
     new = d.where("doc_id % 5 <> 0").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("☃"))).otherwise(F.col("text")))
     return rounded(D.compare_texts(d, new, "doc_id", "text", limit=2001).select("key", "status", "ratio"))
+
+
+@query("""
+with d as (select doc_id, text, case when doc_id % 7 = 1 then text || '!' when doc_id % 7 = 2 then replace(text, 'the', 'THE') else text end as now from documents where text is not null),
+x as (select doc_id, text, now, sha256(text) as a, sha256(now) as b, nullif(trim(regexp_extract(text, '([A-Z][a-z]+) the', 1)), '') as f, nullif(trim(regexp_extract(now, '([A-Z][a-z]+) the', 1)), '') as g from d)
+select 'state' as observer, cast(doc_id as varchar) as path, case when doc_id % 5 = 0 then 'DELETED' when doc_id % 7 = 2 then 'REPLACED' else 'UPDATED' end as event, 'digest' as field, a as old, case when doc_id % 5 > 0 then b end as new from x where doc_id % 5 = 0 or a <> b
+union all select 'fields', cast(doc_id as varchar), case when doc_id % 5 = 0 then 'DELETED' else 'CHANGED' end, case when doc_id % 5 > 0 then 'lead' end, case when doc_id % 5 > 0 then f end, case when doc_id % 5 > 0 then g end from x where doc_id % 5 = 0 or f is distinct from g
+union all select 'identity', cast(doc_id as varchar), 'TOUCHED', 'identity', null, g from x where doc_id % 5 > 0 and a <> b and g is not null
+union all select 'identity', cast(doc_id as varchar), case when g is null or doc_id % 5 = 0 then 'DELETED' when f is null then 'CREATED' else 'CHANGED' end, case when doc_id % 5 > 0 and f is not null and g is not null then 'identity' end,
+ case when doc_id % 5 > 0 and f is not null and g is not null then f end, case when doc_id % 5 > 0 and f is not null and g is not null then g end from x where (doc_id % 5 = 0 and f is not null) or (doc_id % 5 > 0 and f is distinct from g)
+""")
+def observer_graph(t):
+    d = t("documents").where("text is not null").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    now = F.when(F.col("doc_id") % 7 == 1, F.concat("content", F.lit("!"))).when(F.col("doc_id") % 7 == 2, F.replace("content", F.lit("the"), F.lit("THE"))).otherwise(F.col("content"))
+    store = V.SnapshotStore(d.sparkSession, f"{shared_folder(d.sparkSession)}/observed-{uuid.uuid4().hex}")
+    known = V.Registry().add(V.IdentityObserver("lead"), V.StateObserver(), V.FieldObserver({"lead": ["(?-i:([A-Z][a-z]+) the)"]}))
+    V.observe(d, known, store)
+    return V.observe(d.where("doc_id % 5 > 0").withColumn("content", now), known, store)[0]

@@ -33,7 +33,52 @@ def upsert_into(spark: SparkSession, target: str, key: str, at: str) -> Callable
 
 
 def read_current(spark: SparkSession, target: str, key: str, at: str) -> DataFrame:
-    return latest(spark.read.parquet(target).drop("batch"), key, at)
+    """The newest row of each key; keys whose newest row is a deletion (column `deleted`) are left out."""
+    x = latest(spark.read.parquet(target).drop("batch"), key, at)
+    return x.where("not deleted").drop("deleted") if "deleted" in x.columns else x
+
+
+LISTED = "path string, modified timestamp, size long, content binary, deleted boolean, batch long"
+
+
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, modified, size) of all files below a folder; their bytes are not read."""
+    x = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return x.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
+
+
+def mirrored(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
+    """(path, modified, size, content): the files that stand after all batches, or after those before one."""
+    x = spark.read.schema(LISTED).parquet(target)
+    x = x if before is None else x.where(F.col("batch") < before)
+    last = x.groupBy("path").agg(F.max("batch").alias("batch"))  # contents are not aggregated
+    return x.join(last, ["path", "batch"]).where("not deleted").drop("deleted", "batch")
+
+
+def mirror_folder(spark: SparkSession, folder: str, target: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that compares the folder's listing with what `target` holds and appends what changed.
+
+    New and changed files (by time or size) are appended with their bytes, files that are gone as deletions, which a file
+    stream cannot see. A batch that is repeated compares with the batches before it and overwrites itself.
+    """
+
+    def write(_: DataFrame, number: int) -> None:
+        spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in (f.split(" ") for f in LISTED.split(", ")) if n != "batch"]).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        old = mirrored(spark, target, number).select("path", F.col("modified").alias("_m"), F.col("size").alias("_s"))
+        x = listed(spark, folder).join(old, "path", "full")
+        fresh = x.where("modified is not null and not (modified <=> _m and size <=> _s)").select("path")
+        gone = x.where("modified is null").select("path", "_m", "_s")
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).join(fresh, "path", "left_semi")
+        rows = files.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content", F.lit(False).alias("deleted"))
+        dead = gone.select("path", F.col("_m").alias("modified"), F.col("_s").alias("size"), F.lit(None).cast("binary").alias("content"), F.lit(True).alias("deleted"))
+        rows.unionByName(dead).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return write
+
+
+def ticks(spark: SparkSession) -> DataFrame:
+    """A stream with a row a trigger, for work that is due though no file has come."""
+    return spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
 
 
 def debounced(stream: DataFrame, key: str, at: str, seconds: int = 1) -> DataFrame:
