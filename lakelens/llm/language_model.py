@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,7 +18,8 @@ from lakelens.llm.nearcopies import pieces, unit
 
 #: The end of a text, a token like the words; the start of a text, a context only.
 END, START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9D39247E33776D41)
-SMALL = 64
+#: Customers up to which seatings are drawn from a table; for larger parties, the numbers of tables that are taken one by one.
+SMALL, FEW = 64, 8
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,15 +56,127 @@ def stirling(d: float) -> np.ndarray:
     return out
 
 
+def lgamma(x: np.ndarray) -> np.ndarray:
+    """log gamma of positive numbers, by Stirling's series from 8 on."""
+    x = np.asarray(x, float)
+    low = np.maximum(8 - np.floor(x), 0).astype(int)
+    shift = np.zeros(x.shape)
+    for i in range(int(low.max(initial=0))):
+        shift += np.where(i < low, np.log(np.where(i < low, x + i, 1.0)), 0.0)
+    z = x + low
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - shift
+
+
+def reach(d: float) -> tuple[float, int]:
+    """Up to which t / c^d the written-out series keeps eight digits, and how many of its terms count there."""
+    z = (8 / ((1 - d) * d ** (d / (1 - d)))) ** (1 - d)
+    j = np.arange(1, 4001)
+    size = j * math.log(z) + lgamma(1 + j * d) - lgamma(1.0 + j)
+    return z, int(np.flatnonzero(size > size.max() - 45)[-1]) + 1
+
+
+def log_series(c: np.ndarray, t: np.ndarray, d: float, terms: int) -> np.ndarray:
+    """log S_d(c, t) - log (c - 1)! by the binomial series of (1 - (1 - x)^d)^t; c (n), t (n, m) not much above c^d.
+
+    The coefficient of x^c in (1 - x)^jd is -sin(pi jd) gamma(1 + jd) gamma(c - jd) / (pi c!).
+    """
+    each, of = np.unique(c, return_inverse=True)
+    first = lgamma(each - d)
+    total, binomial = np.zeros(t.shape), np.ones(t.shape)
+    for j in range(1, terms + 1):
+        binomial = binomial * ((j - 1 - t) / j * (each**-d if j > 1 else np.ones(len(each)))[of][:, None])  # over c^d a term, which the gammas' ratio has too much
+        some = each - j * d > 1e-3
+        if not some.any():
+            break
+        size = np.where(some, lgamma(np.where(some, each - j * d, 1.0)) - first + math.lgamma(1 + j * d) + (j - 1) * d * np.log(each), -np.inf)
+        total -= math.sin(math.pi * j * d) / math.pi * binomial * np.exp(np.minimum(size, 690))[of][:, None]
+    return np.log(np.maximum(total, 1e-300)) - lgamma(t + 1) - t * math.log(d) + (first - lgamma(each))[of][:, None]
+
+
+def log_saddle(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """The same for larger t below c, by the saddle point of the generating function."""
+    lo, hi = np.full(t.shape, -700.0), np.full(t.shape, -1e-12)
+    for _ in range(50):  # log (1 - x) at which x d/dx log F^t = c
+        mid = (lo + hi) / 2
+        big = np.log(t * d * -np.expm1(mid)) + (d - 1) * mid - np.log(-np.expm1(d * mid)) > np.log(c)
+        lo, hi = np.where(big, mid, lo), np.where(big, hi, mid)
+    y = (lo + hi) / 2
+    x, f = -np.expm1(y), -np.expm1(d * y)
+    g = x * d * np.exp((d - 1) * y) / f
+    v = t * (g + g * (1 - d) * x * np.exp(-y) - g * g)  # the second derivative
+    return t * np.log(f) - c * np.log1p(-np.exp(y)) - 0.5 * np.log(2 * math.pi * np.maximum(v, 1e-300)) + np.log(c) - lgamma(t + 1) - t * math.log(d)
+
+
+def seat_many(c: np.ndarray, a: np.ndarray, d: float, u: np.ndarray, points: int = 192, nodes: int = 12) -> np.ndarray:
+    """Draw t from S_d(c, t) a^t for c above SMALL: on all t, or on a grid of `points`, within nine deviations of the mode.
+
+    log S is the series' as far as that reaches, then the saddle point's, met there; it hardly bends, so it is taken at
+    `nodes` places of log t and interpolated. The first few t are taken one by one.
+    """
+    lo, hi = np.full(len(c), -700.0), np.full(len(c), -1e-12)
+    for _ in range(50):  # the mode, through the saddle point that belongs to it
+        mid = (lo + hi) / 2
+        f = -np.expm1(d * mid)
+        t = c * f / (-np.expm1(mid) * d) * np.exp((1 - d) * mid)
+        up = np.log(f) + np.log(a / d) > np.log(t)
+        lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
+    t = np.clip(t, 1.0, c)
+    first, last = np.maximum(1.0, np.floor(t - 9 * np.sqrt(t) - 9)), np.minimum(c, np.ceil(t + 9 * np.sqrt(t) + 9))
+    step = np.maximum(1.0, (last - first) / (points - 1))
+    grid = first[:, None] + step[:, None] * np.arange(points)
+    inside = grid <= last[:, None] + 1e-9
+    grid = np.minimum(grid, last[:, None])
+    z, terms = reach(d)
+    turn = np.minimum(np.maximum(z * c**d, FEW), c - 1)[:, None]
+
+    def log_s(t: np.ndarray) -> np.ndarray:
+        """Less the half of log (c - t) that the saddle point's has, which bends."""
+        out = np.empty(t.shape)
+        near, far = np.flatnonzero((t <= turn).any(1)), np.flatnonzero((t > turn).any(1))
+        if len(near):
+            out[near] = log_series(c[near], np.minimum(t, turn)[near], d, terms)
+        if len(far):
+            of, edge = c[far][:, None], turn[far]
+            met = log_series(c[far], edge, d, terms) - log_saddle(of, np.minimum(edge, of - 0.5), d)
+            out[far] = np.where(t[far] <= edge, out[far], log_saddle(of, np.clip(t[far], edge, of - 0.5), d) + met)
+        return out + 0.5 * np.log(np.maximum(c[:, None] - t, 0.5))
+
+    # Barycentric interpolation at Chebyshev places of log t.
+    bottom, top = np.log(np.maximum(first, FEW)), np.log(np.maximum(np.minimum(last, c - 0.5), FEW + 1.0))
+    angle = (np.arange(nodes) + 0.5) * np.pi / nodes
+    places = np.cos(angle)
+    values = log_s(np.exp((bottom + top)[:, None] / 2 + (top - bottom)[:, None] / 2 * places))
+    weight = np.sin(angle) * (-1.0) ** np.arange(nodes)
+    q = (2 * np.log(np.maximum(grid, FEW)) - (bottom + top)[:, None]) / (top - bottom)[:, None]
+    up_, down = np.zeros(grid.shape), np.zeros(grid.shape)
+    for k in range(nodes):
+        gap = q - places[k]
+        gap = np.where(np.abs(gap) < 1e-12, 1e-12, gap)
+        up_ += weight[k] / gap * values[:, k : k + 1]
+        down += weight[k] / gap
+    found = up_ / down
+    few = np.flatnonzero(first <= FEW)
+    if len(few):
+        found[few] = np.where(grid[few] <= FEW, np.take_along_axis(log_s(np.broadcast_to(np.arange(1.0, FEW + 1), (len(c), FEW)))[few], np.minimum(grid[few].astype(int), FEW) - 1, 1), found[few])
+    found = np.where(grid >= c[:, None], -lgamma(c)[:, None], found - 0.5 * np.log(np.maximum(c[:, None] - grid, 0.5)))  # everyone alone: S is 1
+    w = np.where(inside, found + grid * np.log(a)[:, None], -np.inf)
+    w = np.exp(w - w.max(1, keepdims=True)).cumsum(1)
+    x = u * w[:, -1]
+    k = (w < x[:, None]).sum(1)
+    before = np.where(k > 0, np.take_along_axis(w, np.maximum(k - 1, 0)[:, None], 1)[:, 0], 0.0)
+    part = (x - before) / np.maximum(np.take_along_axis(w, k[:, None], 1)[:, 0] - before, 1e-300)
+    drawn = first + step * (k + np.where(step > 1, part - 0.5, 0.0))  # a grid's place stands for the stretch about it
+    return np.clip(np.round(drawn), 1, c)
+
+
 def seat(c: np.ndarray, a: np.ndarray, d: float, table: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Sample how many tables c customers of a dish sit at, given a: the strength of a new table times its dish's base.
 
-    Up to SMALL customers the number is drawn from its exact conditional, S_d(c, t) a^t. Larger parties grow from
-    a draw at SMALL by a twentieth at a time, each step's customers opening tables at the seating rule's rate. u is
-    uniform in (0, 1], one for each party.
+    The number is drawn from its conditional, S_d(c, t) a^t, whatever c is: up to SMALL customers S comes from a table
+    by the recursion, above from `seat_many`. u is uniform in (0, 1], one for each party.
     """
     t = np.ones(len(c))
-    small = np.minimum(c, SMALL).astype(np.int64)
+    small = np.where(c <= SMALL, c, 0).astype(np.int64)
     order = np.argsort(small, kind="stable")
     edge = np.searchsorted(small[order], np.arange(2, SMALL + 2))
     for n, lo, hi in zip(range(2, SMALL + 1), edge, edge[1:], strict=False):
@@ -71,14 +185,10 @@ def seat(c: np.ndarray, a: np.ndarray, d: float, table: np.ndarray, u: np.ndarra
             w = table[n, 1 : n + 1] + np.arange(1, n + 1) * np.log(a[at])[:, None]
             w = np.exp(w - w.max(1, keepdims=True)).cumsum(1)
             t[at] = 1 + (w < (u[at] * w[:, -1])[:, None]).sum(1)
-    at, now, v = np.flatnonzero(c > SMALL), float(SMALL), u
-    while len(at):
-        step = np.minimum(max(1.0, now // 20), c[at] - now)
-        v = (v[at] if len(v) == len(c) else v) * 7.31 % 1.0
-        t[at] += np.floor(step * a[at] / (a[at] + now - d * t[at]) + v)
-        now += max(1.0, now // 20)
-        left = c[at] > now
-        at, v = at[left], v[left]
+    many = np.flatnonzero(c > SMALL)
+    for s in range(0, len(many), 4096):
+        at = many[s : s + 4096]
+        t[at] = seat_many(c[at], a[at], d, u[at])
     return np.minimum(t, c)
 
 

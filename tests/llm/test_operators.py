@@ -263,6 +263,31 @@ def test_seatings_against_a_plain_sampler():
     assert abs(ours.mean() - np.mean(got[500:])) < 0.2
 
 
+@pytest.mark.parametrize("c", [65, 400, 5000])
+@pytest.mark.parametrize("d", [0.1, 0.6, 0.95])
+def test_seatings_of_large_parties_follow_the_exact_law(c, d):
+    """Means within a hundredth of, and counts close to, S_d(c, t) a^t with S by its recursion."""
+    most = min(c, 2500)
+    k = np.arange(most + 1)
+    log_p = np.full(most + 1, -np.inf)  # of t tables for n customers where every table draws another at rate d: gamma(t) d^(t-1) S_d(n, t) / gamma(n)
+    log_p[1] = 0
+    with np.errstate(divide="ignore"):
+        for n in range(1, c):
+            q = np.minimum(k * d / n, 1 - 1e-16)
+            up = log_p + np.log(q)
+            log_p = log_p + np.log1p(-q)
+            log_p[1:] = np.logaddexp(log_p[1:], up[:-1])
+    t, n = k[1:], 20000
+    u = (np.arange(n) + 0.5) / n
+    for a in (0.01, 0.5, 5.0, 100.0):
+        law = log_p[1:] + t * math.log(a / d) - np.array([math.lgamma(x) for x in t])
+        law = np.exp(law - law.max())
+        law /= law.sum()
+        ours = language_model.seat(np.full(n, float(c)), np.full(n, a), d, language_model.stirling(d), u)
+        assert ours.mean() == pytest.approx(float(t @ law), rel=0.01)
+        assert np.abs(np.bincount(ours.astype(int), minlength=most + 1)[1 : most + 1] / n - law).sum() < 0.1
+
+
 def test_language_model_of_nothing(empty):
     x = empty.select("doc_id", "text")
     assert language_model.score(x, language_model.train(x)).count() == 0
