@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakelens.functions import special as S
@@ -45,10 +45,16 @@ def group_stats(df: DataFrame, value: str, group: str) -> DataFrame:
     return x.groupBy("g").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.coalesce(F.var_samp("v"), F.lit(0.0)).alias("var"))
 
 
+def safe_corr(x: str, y: str) -> Column:
+    """Pearson r as an aggregate, NaN where a side does not vary."""
+    spread = F.sqrt(F.var_pop(x) * F.var_pop(y))
+    return F.when(spread > 0, F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))).otherwise(F.lit(NAN))
+
+
 def correlation(df: DataFrame, x: str, y: str, confidence: float = 0.95) -> DataFrame:
     """Pearson r, its p value and Fisher interval (n >= 4) over complete pairs."""
-    r, n = df.select(clean_number(x).alias("x"), clean_number(y).alias("y")).dropna().agg(F.corr("x", "y"), F.count(F.lit(1))).first()
-    if n < 3 or r is None:
+    r, n = df.select(clean_number(x).alias("x"), clean_number(y).alias("y")).dropna().agg(safe_corr("x", "y"), F.count(F.lit(1))).first()
+    if n < 3 or r is None or math.isnan(r):
         return result(df, n=n, r=float("nan"), p=float("nan"), low=float("nan"), high=float("nan"))
     t = r * math.sqrt((n - 2) / max(1e-300, 1 - r * r))
     from statistics import NormalDist
@@ -82,16 +88,21 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(x, y, r) of every pair, all in one aggregation."""
     d = df.select(*[clean_number(c).alias(c) for c in columns])
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    rows = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.corr(a, b).alias("r")) for a, b in pairs])
+    rows = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), safe_corr(a, b).alias("r")) for a, b in pairs])
     return d.agg(rows.alias("rows")).select(F.inline("rows"))
 
 
+def two_groups(df: DataFrame, value: str, group: str) -> list:
+    """The statistics of the only two groups, in order; any other number of groups is an error."""
+    rows = group_stats(df, value, group).orderBy("g").limit(3).collect()
+    if len(rows) != 2:
+        raise ValueError(f"two groups are needed, there are {'more' if len(rows) > 2 else len(rows)}")
+    return rows
+
+
 def t_test(df: DataFrame, value: str, group: str, equal_variances: bool = False) -> DataFrame:
     """Two-sample t (Welch unless equal_variances), groups in order of value: t, df, p, Cohen's d and the difference."""
-    rows = group_stats(df, value, group).orderBy("g").collect()
-    if len(rows) != 2:
-        raise ValueError(f"two groups are needed, there are {len(rows)}")
-    (a, b) = rows
+    a, b = two_groups(df, value, group)
     if min(a.n, b.n) < 2:
         return result(df, t=NAN, df=NAN, p=NAN, d=NAN, diff=a["mean"] - b["mean"])
     pooled = ((a.n - 1) * a["var"] + (b.n - 1) * b["var"]) / (a.n + b.n - 2)
@@ -112,10 +123,12 @@ def paired_t_test(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def bayes_t_test(df: DataFrame, value: str, group: str, r: float = 0.707) -> DataFrame:
-    a, b = group_stats(df, value, group).orderBy("g").collect()
+    a, b = two_groups(df, value, group)
     dof = a.n + b.n - 2
-    pooled = ((a.n - 1) * a["var"] + (b.n - 1) * b["var"]) / dof
-    t = (a["mean"] - b["mean"]) / math.sqrt(pooled * (1 / a.n + 1 / b.n))
+    pooled = over((a.n - 1) * a["var"] + (b.n - 1) * b["var"], dof)
+    t = over(a["mean"] - b["mean"], math.sqrt(pooled * (1 / a.n + 1 / b.n))) if pooled >= 0 else NAN
+    if not math.isfinite(t):
+        return result(df, t=float(t), bf10=NAN if math.isnan(t) else math.inf)
     return result(df, t=t, bf10=S.jzs_bf10(t, a.n * b.n / (a.n + b.n), dof, r))
 
 
@@ -184,12 +197,18 @@ def ols(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
 
 
 def vif(df: DataFrame, xs: Sequence[str]) -> DataFrame:
-    """Variance inflation: the diagonal of the inverse correlation matrix."""
+    """Variance inflation: the diagonal of the inverse correlation matrix; NaN for columns that do not vary, infinite where some determine others."""
     r = np.eye(len(xs))
     for row in correlation_matrix(df.dropna(subset=list(xs)), xs).collect():
         i, j = xs.index(row.x), xs.index(row.y)
         r[i, j] = r[j, i] = row.r
-    return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(xs, np.diag(np.linalg.inv(r)), strict=True)], "term string, vif double")
+    flat = [i for i in range(len(xs)) if len(xs) > 1 and np.isnan(np.delete(r[i], i)).all()]
+    use = [i for i in range(len(xs)) if i not in flat]
+    out = np.full(len(xs), NAN)
+    if use:
+        kept = r[np.ix_(use, use)]
+        out[use] = np.diag(np.linalg.inv(kept)) if np.linalg.matrix_rank(kept, 1e-10) == len(use) else math.inf
+    return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(xs, out, strict=True)], "term string, vif double")
 
 
 def mean_interval(df: DataFrame, value: str, confidence: float = 0.95) -> DataFrame:
@@ -205,6 +224,8 @@ def proportion_interval(df: DataFrame, condition: str, confidence: float = 0.95)
     from statistics import NormalDist
 
     n, k = df.agg(F.count(F.lit(1)), F.count_if(F.expr(condition))).first()
+    if not n:
+        return result(df, n=n, p=NAN, low=NAN, high=NAN)
     p = k / n
     half = NormalDist().inv_cdf(0.5 + confidence / 2) * math.sqrt(p * (1 - p) / n)
     return result(df, n=n, p=p, low=max(0.0, p - half), high=min(1.0, p + half))
@@ -224,21 +245,21 @@ def adjust_p(df: DataFrame, key: str, p: str) -> DataFrame:
     )
 
 
-def normality(df: DataFrame, value: str) -> DataFrame:
-    """D'Agostino's K2 from the sample's moments: statistic and p (n of at least 20)."""
-    n, g1, g2 = df.select(clean_number(value).alias("v")).agg(F.count("v"), F.skewness("v"), F.kurtosis("v")).first()
-    y = g1 * math.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
-    b2 = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
-    w2 = math.sqrt(2 * (b2 - 1)) - 1
-    z1 = math.asinh(y / math.sqrt(2 / (w2 - 1))) / math.sqrt(0.5 * math.log(w2))
-    e, v = 3 * (n - 1) / (n + 1), 24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))
-    x = (g2 + 3 - e) / math.sqrt(v)
-    s = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * math.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
-    a = 6 + 8 / s * (2 / s + math.sqrt(1 + 4 / s**2))
-    ratio = (1 - 2 / a) / (1 + x * math.sqrt(2 / (a - 4)))
-    z2 = (1 - 2 / (9 * a) - math.copysign(abs(ratio) ** (1 / 3), ratio)) / math.sqrt(2 / (9 * a))
-    k2 = z1 * z1 + z2 * z2
-    return result(df, n=n, k2=k2, p=S.chi2_tail(k2, 2))
+def normality(df: DataFrame, value: str, most: int = 5000) -> DataFrame:
+    """Whether the values may be normal: test, n, statistic, p.
+
+    Shapiro and Wilk's W of up to `most` values, by Royston's coefficients; D'Agostino's K2 from the moments of more.
+    Fewer than three values, or constant ones, have NaN.
+    """
+    v = df.select(clean_number(value).alias("v")).where("v is not null")
+    n, g1, g2, sd = v.agg(F.count("v"), F.skewness("v"), F.kurtosis("v"), F.stddev_pop("v")).first()
+    if n < 3 or not sd:
+        return result(df, test="shapiro", n=n, statistic=NAN, p=NAN)
+    if n <= most:  # a bounded number of values comes to the driver
+        w, p = S.shapiro_wilk([r.v for r in v.collect()])
+        return result(df, test="shapiro", n=n, statistic=w, p=p)
+    k2 = S.k_squared(n, g1, g2)
+    return result(df, test="k2", n=n, statistic=k2, p=S.chi2_tail(k2, 2))
 
 
 def durbin_watson(df: DataFrame, residual: str, order: str, by: str) -> DataFrame:
@@ -256,10 +277,11 @@ def lag_correlation(df: DataFrame, x: str, y: str, by: str, order: Sequence[str]
 
 def mean_difference(df: DataFrame, value: str, group: str, confidence: float = 0.95) -> DataFrame:
     """Difference of two groups' means with its Welch interval."""
-    a, b = group_stats(df, value, group).orderBy("g").collect()
+    a, b = two_groups(df, value, group)
     va, vb = a["var"] / a.n, b["var"] / b.n
-    dof = (va + vb) ** 2 / (va**2 / (a.n - 1) + vb**2 / (b.n - 1))
-    diff, half = a["mean"] - b["mean"], S.t_quantile(0.5 + confidence / 2, dof) * math.sqrt(va + vb)
+    dof = over((va + vb) ** 2, va**2 / (a.n - 1) + vb**2 / (b.n - 1)) if min(a.n, b.n) > 1 else NAN
+    diff = a["mean"] - b["mean"]
+    half = NAN if math.isnan(dof) else S.t_quantile(0.5 + confidence / 2, dof) * math.sqrt(va + vb)
     return result(df, diff=diff, se=math.sqrt(va + vb), df=dof, low=diff - half, high=diff + half)
 
 
@@ -270,9 +292,8 @@ def paired_interval(df: DataFrame, x: str, y: str, confidence: float = 0.95) ->
 
 def t_route(df: DataFrame, value: str, group: str, level: float = 0.05) -> tuple[str, DataFrame]:
     """The test that two groups call for, and its row: Mann-Whitney unless both look normal, else Welch unless variances agree, else t."""
-    groups = [r.g for r in group_stats(df, value, group).orderBy("g").collect()]
-    looks = [normality(df.where(F.col(group) == g), value).first().p for g in groups]
-    if min(looks) < level:
+    looks = [normality(df.where(F.col(group) == r.g), value).first().p for r in two_groups(df, value, group)]
+    if not min(looks) >= level or any(map(math.isnan, looks)):  # what cannot be tested does not count as normal
         return "mannwhitney", mann_whitney(df, value, group)
     equal = levene(df, value, group).first().p >= level
     return ("ttest" if equal else "welch"), t_test(df, value, group, equal_variances=equal)
@@ -325,3 +346,25 @@ def bootstrap_mean(df: DataFrame, value: str, key: str, replicates: int = 2000,
     ends = means.agg(F.percentile("m", low), F.percentile("m", high)).first()  # `replicates` rows
     n, mean = rows.agg(F.count("v"), F.avg("v")).first()
     return result(df, n=n, mean=float("nan") if mean is None else mean, low=float("nan") if ends[0] is None else ends[0], high=float("nan") if ends[1] is None else ends[1])
+
+
+def t_power(df: DataFrame, value: str, group: str, level: float = 0.05, wanted: float = 0.8) -> DataFrame:
+    """Power of the t test of two groups at the difference that they have, and the least size of each group for `wanted`.
+
+    Columns: n1, n2, d, power, needed; groups that do not vary, or of fewer than two values, have NaN and no needed size.
+    """
+    r = t_test(df, value, group, equal_variances=True).first()
+    a, b = two_groups(df, value, group)
+    d = abs(r.d)
+    if not math.isfinite(d) or d == 0:
+        return result(df, n1=a.n, n2=b.n, d=d, power=level if d == 0 else NAN, needed=-1)
+    return result(df, n1=a.n, n2=b.n, d=d, power=S.t_power(d, a.n, b.n, level), needed=S.least_n(lambda n: S.t_power(d, n, n, level), wanted, 2))
+
+
+def anova_power(df: DataFrame, value: str, group: str, level: float = 0.05) -> DataFrame:
+    """Power of the analysis of variance at the effect that the groups have: k, n, f (Cohen), power."""
+    r = anova(df, value, group).first()
+    if not (0 <= r.eta2 < 1) or r.n <= r.k:
+        return result(df, k=r.k, n=r.n, f=NAN, power=NAN)
+    f = math.sqrt(r.eta2 / (1 - r.eta2))
+    return result(df, k=r.k, n=r.n, f=f, power=S.anova_power(f, r.k, r.n, level))

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from lakelens.operators import inference as I
 from lakelens.operators import linediff as D
 from lakelens.operators import observers as V
 from lakelens.operators import regression as M
@@ -99,3 +100,19 @@ def observer_graph(t):
     known = V.Registry().add(V.IdentityObserver("lead"), V.StateObserver(), V.FieldObserver({"lead": ["(?-i:([A-Z][a-z]+) the)"]}))
     V.observe(d, known, store)
     return V.observe(d.where("doc_id % 5 > 0").withColumn("content", now), known, store)[0]
+
+
+@query("""
+with g as (select l_returnflag as g, count(*) as n, avg(l_quantity) as m, var_pop(l_quantity) * count(*) as ss from lineitem where l_quantity is not null and l_returnflag is not null group by 1),
+e as (select count(*) as k, sum(n)::bigint as n, sum(ss) as within, sum(n * m * m) - sum(n * m) ** 2 / sum(n) as among from g) select k, n, round(sqrt(among / within), 6) as f from e
+""")
+def anova_effect(t):
+    return rounded(I.anova_power(t("lineitem"), "l_quantity", "l_returnflag").select("k", "n", "f"))
+
+
+@query("""
+with g as (select event_type as g, count(*) as n, avg(value) as m, var_samp(value) as v from events where event_type in ('view', 'click') group by 1 order by 1), a as (select * from g where g = 'click'), b as (select * from g where g = 'view')
+select a.n as n1, b.n as n2, round(abs(a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)), 6) as d from a, b
+""")
+def t_effect(t):
+    return rounded(I.t_power(t("events").where("event_type in ('view', 'click')"), "value", "event_type").select("n1", "n2", "d"))
