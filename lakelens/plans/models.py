@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from lakelens.operators import inference as I
 from lakelens.operators import linediff as D
 from lakelens.operators import observers as V
+from lakelens.operators import profiles as R
 from lakelens.operators import regression as M
 from lakelens.plans.registry import query, rounded
+from lakelens.sources import preflight as PF
 from lakelens.sources.shared import shared_folder
 
 
@@ -116,3 +118,34 @@ select a.n as n1, b.n as n2, round(abs(a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n
 """)
 def t_effect(t):
     return rounded(I.t_power(t("events").where("event_type in ('view', 'click')"), "value", "event_type").select("n1", "n2", "d"))
+
+
+_TEXTS = """(select item_id as k, case when item_id % 6 = 0 then '{"a": ' when item_id % 6 = 1 then '[' || item_id || ']' when item_id % 6 = 2 then '  ' when item_id % 6 = 3 then cast(item_id as varchar) else '{"t": ' || to_json(text) || '}' end as line
+ from (select conv_id * 100 + turn as item_id, text from conversations where text is not null))"""
+
+
+@query(f"select case when k % 6 = 0 then 'invalid' when k % 6 = 1 then 'array' when k % 6 = 2 then 'blank' when k % 6 = 3 then 'scalar' else 'object' end as kind, count(*) as rows from {_TEXTS} group by 1")
+def preflight_json(t):
+    c = t("conversations").where("text is not null").select((F.col("conv_id") * 100 + F.col("turn")).alias("k"), F.to_json(F.struct(F.col("text").alias("t"))).alias("j"))
+    r = F.col("k") % 6
+    line = F.when(r == 0, '{"a": ').when(r == 1, F.concat(F.lit("["), "k", F.lit("]"))).when(r == 2, "  ").when(r == 3, F.col("k").cast("string")).otherwise(F.col("j"))
+    return PF.check_json_lines(c.select(line.alias("line")), "line").select("kind", "rows")
+
+
+@query("""
+select page_id as key, case when page_id % 5 = 0 then 'empty' when page_id % 5 = 1 then 'no_root' when page_id % 5 = 2 then 'unclosed' else 'unbalanced' end as problem from pages where page_id % 5 < 4
+""")
+def preflight_xml(t):
+    title = F.regexp_replace(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1), r"[<>&\"']", "")
+    r = F.col("page_id") % 5
+    x = F.when(r == 0, "").when(r == 1, title).when(r == 2, F.concat(F.lit("<p><t>"), title, F.lit("</p>"))).when(r == 3, F.concat(F.lit("<p><t>"), title, F.lit("</t></q>"))).otherwise(F.concat(F.lit("<p a='1>0'><t>"), title, F.lit("</t></p>")))
+    return PF.check_xml(t("pages").select("page_id", x.alias("x")), "page_id", "x").withColumn("problem", F.when((F.col("key") % 5 == 1) & (F.col("problem") == "empty"), "no_root").otherwise(F.col("problem")))
+
+
+@query(
+    """select 'supplier' as "table", count(*) as rows, 3 as columns from supplier union all select 'nation', count(*), 3 from nation union all select 'customer', count(*), 3 from customer"""
+)
+def profiles_at_once(t):
+    tables = {"supplier": t("supplier"), "nation": t("nation"), "customer": t("customer")}
+    got = R.profile_tables({n: df.select(*df.columns[:3]) for n, df in tables.items()})
+    return got.tables.where("status = 'done'").select("table", "rows", "columns")
