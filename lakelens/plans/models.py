@@ -11,6 +11,7 @@ from lakelens.operators import linediff as D
 from lakelens.operators import observers as V
 from lakelens.operators import profiles as R
 from lakelens.operators import regression as M
+from lakelens.operators import reports as W
 from lakelens.plans.registry import query, rounded
 from lakelens.sources import preflight as PF
 from lakelens.sources.shared import shared_folder
@@ -149,3 +150,27 @@ def profiles_at_once(t):
     tables = {"supplier": t("supplier"), "nation": t("nation"), "customer": t("customer")}
     got = R.profile_tables({n: df.select(*df.columns[:3]) for n, df in tables.items()})
     return got.tables.where("status = 'done'").select("table", "rows", "columns")
+
+
+@query("""
+with e as (select event_id, event_type as t, value as v from events where event_id % 13 <> 0)
+select 'type' as path, 'string' as kind, count(*) as reports, count(*) as rows, null::double as total from e where event_id % 11 > 0 union all select 'type', 'null', count(*), count(*), null from e where event_id % 11 = 0
+union all select 'data.value', 'number', count(*), count(*), round(sum(v), 4) from e where v is not null union all select 'data.ids', 'number', count(*), 2 * count(*), sum(2 * event_id + 1)::double from e where event_id % 2 = 0
+union all select 'data.ids', 'array', count(*), count(*), null from e where event_id % 2 = 1
+""")
+def report_roll_up(t):
+    ids = F.when(F.col("event_id") % 2 == 0, F.array("event_id", F.col("event_id") + 1)).otherwise(F.array().cast("array<bigint>"))
+    kind = F.when(F.col("event_id") % 11 > 0, F.col("event_type"))
+    text = F.to_json(F.struct(kind.alias("type"), F.struct(F.col("value"), ids.alias("ids")).alias("data")), {"ignoreNullFields": "false"})
+    x = t("events").select("event_id", F.when(F.col("event_id") % 13 == 0, F.lit("{broken")).otherwise(text).alias("j"))
+    rows = W.rolled_up(W.json_paths(x, "event_id", "j")).where("not (path = 'data.value' and kind = 'null')")
+    return rounded(rows.select("path", "kind", "reports", "rows", "total"), 4)
+
+
+@query("""
+select event_id as key, case when event_id % 13 = 0 then 0e0 when event_id % 3 = 0 then 75e-2 else 25e-2 end as share, event_id % 13 > 0 and event_id % 3 = 0 as recognised from events
+""")
+def report_recognition(t):
+    text = F.when(F.col("event_id") % 13 == 0, F.lit("[")).when(F.col("event_id") % 3 == 0, F.to_json(F.struct(F.struct(F.col("value"), F.col("event_type")).alias("metrics"), F.lit(1).alias("run")))).otherwise(F.to_json(F.struct(F.lit(1).alias("run"), F.lit(2).alias("metric"))))
+    x = t("events").select("event_id", text.alias("j"))
+    return W.recognised(W.json_paths(x, "event_id", "j"), {"metrics": 2.0, "run": 1.0, "absent": 1.0}, 0.6)
