@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lakelens.llm.common import stage, word_count
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
+COPIES = 4096
 
 
 def best_fit(lengths: Sequence[int], capacities: Sequence[int], attention: float) -> tuple[list[int], list[int], list[int]]:
@@ -51,8 +52,9 @@ def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, shard_pieces:
 
     A document's length is its words plus end_words (the end mark). Those longer than the largest capacity are
     cut into pieces of that capacity and a rest; start is the piece's first word. Pieces are dealt by hash into
-    shards of about shard_pieces, each packed by best_fit in one task, so a group is bounded however large or
-    repetitive the table is. (shard, bin) names a bin; its pieces lie at offset without overlap.
+    shards of about shard_pieces, each packed by best_fit in one task. Equal rows are counted first, then numbered
+    in spans of COPIES and dealt by their number as well, so a group is bounded however repetitive the table is and
+    the dealing does not depend on partitions. (shard, bin) names a bin; its pieces lie at offset without overlap.
 
     Null and empty texts are a piece of end_words; with end_words = 0 they have none. Rows that repeat are packed
     each; an empty table gives an empty result; other columns are ignored.
@@ -60,11 +62,16 @@ def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, shard_pieces:
     capacities = sorted({int(c) for c in capacities})
     most = capacities[-1]
     sized = docs.select(F.col(id_col).alias("doc_id"), (word_count(F.col(text_col)) + end_words).alias("_n"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_h"))
-    sized = sized.where("_n > 0").withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / most).cast("int"))))
+    equal = sized.where("_n > 0").groupBy("doc_id", "_n", "_h").agg(F.count("*").alias("_rows"))
+    equal = stage(equal, "pack-lengths")
+    total = equal.agg(F.sum(F.col("_rows") * F.ceil(F.col("_n") / most))).first()[0] or 0
+    spans = equal.withColumn("_span", F.explode(F.sequence(F.lit(0), F.floor((F.col("_rows") - 1) / COPIES))))
+    few = F.least(F.lit(COPIES), F.col("_rows") - F.col("_span") * COPIES).cast("int")
+    copies = spans.withColumn("_few", few).repartition("_h", "_span").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_few"))))
+    cut = copies.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / most).cast("int"))))
     start = (F.col("piece") * F.lit(most)).cast("long")
-    pieces = stage(sized.select("doc_id", "piece", start.alias("start"), F.least(F.lit(most), F.col("_n") - start).cast("int").alias("length"), "_h"), "pack-pieces")
-    shards = max(1, -(-pieces.count() // shard_pieces))
-    pieces = pieces.select("doc_id", "piece", "start", "length", F.pmod(F.xxhash64("_h", "piece"), F.lit(shards)).alias("shard"))
+    shard = F.pmod(F.xxhash64("_h", "piece", "_span", "_copy"), F.lit(max(1, -(-total // shard_pieces))))
+    pieces = cut.select("doc_id", "piece", start.alias("start"), F.least(F.lit(most), F.col("_n") - start).cast("int").alias("length"), shard.alias("shard"))
 
     def one(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
