@@ -108,7 +108,7 @@ def test_mix_odd_rows(odd, empty):
 
 
 def test_media_round_trip(odd, spark):
-    items = media.resolve(media.sequences(media.as_pages(odd), media_only=True), media.describe(media.store(odd))).collect()
+    items = media.resolve(media.media_items(media.sequences(media.as_pages(odd))), media.describe(media.store(odd))).select("n_bytes", "media.*").collect()
     assert len(items) == len(ODD)
     want = Counter()
     for _, t, _, _ in ODD:
@@ -124,9 +124,69 @@ def test_interleaving_keeps_positions_and_captions():
     assert [(p, k, t, r, c) for p, k, t, r, _, c in media.parse(html)] == [(0, "text", "one", None, None), (1, "image", None, "a", "cap"), (2, "image", None, "b", "cap"), (3, "text", "two", None, None), (4, "image", None, "c", "y"), (5, "text", "three", None, None)]
 
 
+def brief(html):
+    return [t if k == "text" else (r, c) for _, k, t, r, _, c in media.parse(html)]
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<html><head><title>x</title><body><p>hello</p></body></html>", ["hello"]),
+        ("<head><meta charset=u><title>x</title>hello<p>b", ["hello", "b"]),
+        ("<head><noscript><img src=t></noscript><title>x<div>a</div>", None),
+        ('<p>a</p><figure><img src="x"><figcaption>cap</figure><p>c</p><p>d</p>', ["a", ("x", "cap"), "c", "d"]),
+        ('<figure><figcaption><p>cap</p><p>tion</p></figcaption><img src="x" alt="no"></figure>z', [("x", "cap tion"), "z"]),
+        ("<figure><pre>code</pre><figcaption>listing</figcaption></figure>z", ["code", "listing", "z"]),
+        ('<video><source src="v.mp4"><source src="v.ogg"></video>', [("v.mp4", None)]),
+        ('<audio src="a.mp3" title="t"><source src="b.mp3"></audio>', [("a.mp3", "t")]),
+        ('<div><nav><ul><li><img src="logo">menu</div><p>a', ["a"]),
+        ('<figure><img src="o"><figure><img src="i"><figcaption>in</figcaption></figure><figcaption>out</figcaption></figure>', [("o", "out"), ("i", "out")]),
+        ("<p>a<p>b<nav>m</p>n</nav>c", ["a", "b", "c"]),
+        ('a<img src="1"/>b<nav/>c<figure><img src="2"><figcaption>end', ["a", ("1", None), "b", "c", ("2", "end")]),
+    ],
+)
+def test_pages_with_missing_end_tags(html, want):
+    assert want is None or brief(html) == want
+    assert [x[0] for x in media.parse(html)] == list(range(len(media.parse(html))))
+
+
+def test_interleaving_against_the_page_as_built():
+    rng = random.Random(31)
+    for _ in range(200):
+        want, html = [], "<html><head><title>t</title>" + rng.choice(["</head><body>", "<body>", "</head>", ""])
+        for n in range(rng.randrange(12)):
+            kind = rng.randrange(4)
+            if kind == 0:
+                want.append(f"text {n}")
+                html += f"<p>text\n {n}" + rng.choice(["</p>", ""])
+            elif kind == 1:
+                want.append((f"m{n}", None))
+                html += rng.choice([f'<p><img src="m{n}">', f'<div><video><source src="m{n}"></video></div>'])
+            elif kind == 2:
+                many = rng.randrange(1, 4)
+                want += [(f"m{n}.{i}", f"cap {n}") for i in range(many)]
+                parts = [f'<img src="m{n}.{i}" alt="q">' for i in range(many)]
+                parts.insert(rng.randrange(many + 1), f"<figcaption>cap {n}</figcaption>")
+                html += f"<figure>{''.join(parts)}</figure>"
+            else:
+                html += f'<div><nav><li>menu {n}<img src="no"></div>' if rng.random() < 0.5 else "<script>var a = '<p>';</script>"
+        assert brief(html) == want, html
+
+
 def test_sequences_of_odd_pages(spark):
-    pages = spark.createDataFrame([(1, None), (2, ""), (3, "<p>a<p>b")], "page_id long, html string")
-    assert [(r.page_id, r.position, r.text) for r in media.sequences(pages).orderBy("position").collect()] == [(3, 0, "a"), (3, 1, "b")]
+    names = ["position", "kind", "text", "ref", "digest", "caption", "media", "item", "odd`name", "a.b"]
+    pages = spark.createDataFrame([(1, None, *names), (2, "", *names), (3, '<p>a<p>b<img src="u"><img src="u">' + "<p>w" * 20_000, *names), (None, "x", *names)], ["page_id", "html", *names])
+    got = media.sequences(pages)
+    assert got.columns == ["page_id", *names, "items"]
+    rows = {r.page_id: r for r in got.collect()}
+    assert {k: len(r["items"]) for k, r in rows.items()} == {1: 0, 2: 0, 3: 20_004, None: 1}
+    assert [x.text for x in rows[3]["items"][:2]] == ["a", "b"] and all(r[n] == n for r in rows.values() for n in names)
+    plain = media.sequences(pages.select("page_id", "html", "position", "caption"))
+    seen = media.resolve(media.media_items(plain), spark.createDataFrame([("d", 1)], "digest string, caption int")).collect()
+    assert [(r.page_id, r.item.position, r.item.ref, r.media, r.caption) for r in seen] == [(3, 2, "u", None, "caption"), (3, 3, "u", None, "caption")]
+    assert media.sequences(pages.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="items_col"):
+        media.sequences(pages.withColumn("items", pages.page_id))
 
 
 # near copies
@@ -499,6 +559,48 @@ def test_packing_places_every_word_once(spark):
     assert used / room > 0.85
 
 
+def plain_best_fit(lengths, capacities, attention):
+    """Every policy, every open bin looked at for every piece."""
+    price = lambda c: c * (1 + attention * c)
+    outcomes = []
+    for ahead in (1, 2, 4, capacities[-1]):
+        size, used, placed = [], [], []
+        for n in lengths:
+            fits = [(size[b] - used[b], b) for b in range(len(size)) if size[b] - used[b] >= n]
+            if fits:
+                b = min(fits)[1]
+            else:
+                want = min(n * ahead, capacities[-1])
+                _, c = min((price(c) / min(c, want), c) for c in capacities if c >= want)
+                b = len(size)
+                size.append(c)
+                used.append(0)
+            placed.append((b, used[b]))
+            used[b] += n
+        final = [min(c for c in capacities if c >= u) for u in used]
+        outcomes.append((sum(map(price, final)), placed, final))
+    return min(outcomes, key=lambda x: x[0])
+
+
+@pytest.mark.parametrize("attention", [0.0, 1 / 8192, 0.05])
+def test_best_fit_equals_a_plain_search(attention):
+    rng = random.Random(32)
+    for _ in range(60):
+        lengths = sorted((rng.choice([1, 2, 5, 16, rng.randrange(1, 129)]) for _ in range(rng.randrange(120))), reverse=True)
+        cost, placed, final = plain_best_fit(lengths, [16, 48, 128], attention)
+        bins, offsets, got = packing.best_fit(lengths, [16, 48, 128], attention)
+        assert list(zip(bins, offsets, strict=True)) == placed and got == final
+        assert sum(c * (1 + attention * c) for c in got) == cost
+
+
+def test_packing_deals_repeated_rows_over_shards(spark):
+    repeated = spark.range(20_000).selectExpr("cast(null as long) as doc_id", "'a b c' as text")
+    got = packing.pack(repeated, shard_pieces=1000)
+    sizes = [r["count"] for r in got.groupBy("shard").count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 1300
+    assert sorted(got.collect()) == sorted(packing.pack(repeated.repartition(3), shard_pieces=1000).collect())
+
+
 def test_packing_odd_rows(odd, empty):
     assert packing.pack(empty).count() == 0
     assert {r.doc_id for r in packing.pack(odd).collect()} == {1, 2, 3, None, 5, 6}
