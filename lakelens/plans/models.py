@@ -13,6 +13,7 @@ from lakelens.operators import profiles as R
 from lakelens.operators import regression as M
 from lakelens.operators import reports as W
 from lakelens.plans.registry import query, rounded
+from lakelens.sources import datasets as DS
 from lakelens.sources import preflight as PF
 from lakelens.sources.shared import shared_folder
 
@@ -174,3 +175,26 @@ def report_recognition(t):
     text = F.when(F.col("event_id") % 13 == 0, F.lit("[")).when(F.col("event_id") % 3 == 0, F.to_json(F.struct(F.struct(F.col("value"), F.col("event_type")).alias("metrics"), F.lit(1).alias("run")))).otherwise(F.to_json(F.struct(F.lit(1).alias("run"), F.lit(2).alias("metric"))))
     x = t("events").select("event_id", text.alias("j"))
     return W.recognised(W.json_paths(x, "event_id", "j"), {"metrics": 2.0, "run": 1.0, "absent": 1.0}, 0.6)
+
+
+@query("select event_type, count(*) as n, round(sum(value), 4) as total from events group by 1")
+def committed_parts(t):
+    e, path = t("events"), f"{shared_folder(t('events').sparkSession)}/parts-{uuid.uuid4().hex}"
+    for run in (0, 1, 1, 2, 0):
+        DS.write_parts(e.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == run), path, f"third {run}")
+    return rounded(DS.read_parts(e.sparkSession, path).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")), 4)
+
+
+@query("""
+select 'orders' as name, 'orders.parquet' as file_name, count(*) as rows, count(*) filter (where o_orderstatus = 'F') as raw_rows, 2 as cleaned_version from orders
+union all select 'orders.parquet', 'orders.parquet', count(*), count(*), 1 from lineitem union all select 'nation', 'nation.parquet', count(*), count(*), 1 from nation
+""")
+def dataset_registry(t):
+    o = t("orders")
+    r = DS.Registry(o.sparkSession, f"{shared_folder(o.sparkSession)}/registry-{uuid.uuid4().hex}")
+    done = o.where("o_orderstatus = 'F'")
+    for source, cleaned, raw in (("/a/orders.parquet", done, o), ("/b/orders.parquet", t("lineitem"), t("lineitem")), ("/a/orders.parquet", o, done), ("/a/nation.parquet", t("nation"), t("nation"))):
+        r.register(source, cleaned.select(*cleaned.columns[:3]), raw.select(*raw.columns[:2]))
+    parts = [r.read(n, "raw").agg(F.lit(n).alias("name"), F.count("*").alias("raw_rows")) for n in ("orders", "orders.parquet", "nation")]
+    raw = parts[0].union(parts[1]).union(parts[2])
+    return r.records().join(raw, "name").select("name", "file_name", "rows", "raw_rows", "cleaned_version")
