@@ -49,14 +49,27 @@ def resample(df: DataFrame, at: str, value: str, unit: str = "D", aggregate: str
         out = x.select("bin").distinct().join(median(x, "v", ["bin"], "value"), "bin", "left")
     else:
         out = x.groupBy("bin").agg(AGGREGATES[aggregate]("v").cast("double").alias("value"))
-    if not spine or unit not in ("S", "T", "H", "D", "W"):
+    if not spine:
         return out
-    step = {"S": "interval 1 second", "T": "interval 1 minute", "H": "interval 1 hour", "D": "interval 1 day", "W": "interval 7 days"}[unit]
-    bins = out.agg(F.min("bin").alias("a"), F.max("bin").alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b", F.expr(step))).alias("bin"))
-    out = bins.join(out, "bin", "left")
+    out = empty_bins(out, unit).join(out, "bin", "left")
     return out.withColumn("value", F.coalesce("value", F.lit(0.0))) if aggregate in ("sum", "count") else out
 
 
+def empty_bins(bins: DataFrame, unit: str) -> DataFrame:
+    """All bins of a unit from the first to the last of the column bin.
+
+    Bins shorter than a day are made day by day in many tasks, so that no array holds more than a day of them.
+    """
+    ends = bins.agg(F.min("bin").alias("a"), F.max("bin").alias("b")).where("a is not null")
+    if unit in ("S", "T", "H"):
+        days = ends.select("a", "b", F.explode(F.sequence(F.date_trunc("day", "a"), F.date_trunc("day", "b"), F.expr("interval 1 day"))).alias("day")).repartition("day")
+        step = F.expr(f"interval 1 {UNITS[unit]}")
+        return days.select("a", "b", F.explode(F.sequence("day", F.col("day") + F.expr("interval 1 day") - step, step)).alias("bin")).where("bin between a and b").select("bin")
+    step = {"D": "interval 1 day", "W": "interval 7 days", "M": "interval 1 month", "Q": "interval 3 months", "Y": "interval 1 year"}[unit]
+    starts = F.sequence(F.date_trunc(UNITS[unit], "a"), F.date_trunc(UNITS[unit], "b"), F.expr(step))
+    return ends.select(F.explode(starts).alias("start")).select(bin_label(F.col("start"), unit).alias("bin"))
+
+
 def over(name: str, value: str, w) -> Column:
     """An aggregate over a window frame; the median is taken of the frame's sorted values."""
     if name != "median":

@@ -7,15 +7,17 @@ import uuid
 from pyspark.sql import functions as F
 
 from lakelens.operators import inference as I
+from lakelens.operators import invoices as B
 from lakelens.operators import linediff as D
 from lakelens.operators import observers as V
 from lakelens.operators import profiles as R
 from lakelens.operators import regression as M
 from lakelens.operators import reports as W
+from lakelens.operators import timeseries as N
 from lakelens.plans.registry import query, rounded
 from lakelens.sources import datasets as DS
 from lakelens.sources import preflight as PF
-from lakelens.sources.shared import shared_folder
+from lakelens.sources.shared import shared_folder, staged
 
 
 def fitted(df, formula, errors, *figures):
@@ -198,3 +200,33 @@ def dataset_registry(t):
     parts = [r.read(n, "raw").agg(F.lit(n).alias("name"), F.count("*").alias("raw_rows")) for n in ("orders", "orders.parquet", "nation")]
     raw = parts[0].union(parts[1]).union(parts[2])
     return r.records().join(raw, "name").select("name", "file_name", "rows", "raw_rows", "cleaned_version")
+
+
+@query("""
+with o as (select o_orderkey, case o_orderkey % 4 when 0 then 'CII' when 1 then 'UBL' else 'EN16931' end as shape from orders where o_orderkey % 4 < 3), l as (select l_orderkey, l_quantity::decimal(24, 6) as q, l_extendedprice::decimal(24, 6) as p from lineitem)
+select shape, count(distinct o_orderkey) as invoices, count(*) as lines, sum(q)::double as quantity, sum(p)::double as price, count(distinct o_orderkey) as with_total from o join l on o_orderkey = l_orderkey group by 1
+""")
+def invoice_shapes(t):
+    l = t("lineitem").select("l_orderkey", *[F.col(c).cast("decimal(24,6)").cast("string").alias(n) for c, n in (("l_quantity", "q"), ("l_extendedprice", "p"))])
+    r = F.col("l_orderkey") % 4
+    cell = lambda form: F.format_string(form, "q", "p")
+    line = F.when(r == 0, cell("<ram:IncludedSupplyChainTradeLineItem><ram:SpecifiedLineTradeDelivery><ram:BilledQuantity unitCode='H87'>%s</ram:BilledQuantity></ram:SpecifiedLineTradeDelivery><ram:SpecifiedLineTradeAgreement><ram:NetPriceProductTradePrice><ram:ChargeAmount>%s</ram:ChargeAmount></ram:NetPriceProductTradePrice></ram:SpecifiedLineTradeAgreement></ram:IncludedSupplyChainTradeLineItem>"))
+    line = line.when(r == 1, cell("<cac:InvoiceLine><cbc:ID> </cbc:ID><cbc:InvoicedQuantity>%s</cbc:InvoicedQuantity><cac:Price><cbc:PriceAmount currencyID='EUR'>%s</cbc:PriceAmount></cac:Price></cac:InvoiceLine>"))
+    line = line.otherwise(cell("<LineItem><Quantity>%s</Quantity><UnitPrice>%s</UnitPrice></LineItem>"))
+    whole = l.groupBy("l_orderkey").agg(F.array_join(F.collect_list(line), "").alias("lines"))
+    paper = F.when(r == 0, F.format_string("<?xml version='1.0'?><rsm:CrossIndustryInvoice xmlns:rsm='a' xmlns:ram='b'><rsm:ExchangedDocument><ram:ID schemeID='x'>%d</ram:ID></rsm:ExchangedDocument><rsm:SupplyChainTradeTransaction>%s<ram:ApplicableHeaderTradeSettlement><ram:SpecifiedTradeSettlementHeaderMonetarySummation><ram:GrandTotalAmount>1.5</ram:GrandTotalAmount></ram:SpecifiedTradeSettlementHeaderMonetarySummation></ram:ApplicableHeaderTradeSettlement></rsm:SupplyChainTradeTransaction></rsm:CrossIndustryInvoice>", "l_orderkey", "lines"))
+    paper = paper.when(r == 1, F.format_string("<Invoice xmlns:cbc='a' xmlns:cac='b'><cbc:ID>%d</cbc:ID><cac:LegalMonetaryTotal><cbc:TaxInclusiveAmount>2</cbc:TaxInclusiveAmount></cac:LegalMonetaryTotal>%s</Invoice>", "l_orderkey", "lines"))
+    paper = paper.when(r == 2, F.format_string("<Invoice><InvoiceNumber>%d</InvoiceNumber><TotalAmount>3</TotalAmount><LineItems>%s</LineItems></Invoice>", "l_orderkey", "lines")).otherwise("<Invoice><ID> </ID></Invoice>")
+    papers = staged(whole.select("l_orderkey", paper.alias("xml")), "invoice-papers")
+    found = B.invoices(papers, "l_orderkey", "xml")
+    heads = found.groupBy("shape").agg(F.count("*").alias("invoices"), F.count("total").alias("with_total"))
+    sums = B.invoice_lines(found.select("key", F.col("shape").alias("invoice_id"), "lines")).groupBy(F.col("invoice_id").alias("shape")).agg(F.count("*").alias("lines"), F.sum("quantity").cast("double").alias("quantity"), F.sum("net_price").cast("double").alias("price"))
+    return heads.join(sums, "shape").select("shape", "invoices", "lines", "quantity", "price", "with_total")
+
+
+@query("""
+with m as (select date_trunc('month', o_orderdate) as s, count(*) as n from orders where month(o_orderdate) % 3 <> 0 group by 1)
+select (g.s + interval 1 month - interval 1 day)::timestamp as bin, coalesce(n, 0)::double as value from (select unnest(generate_series((select min(s)::timestamp from m), (select max(s)::timestamp from m), interval 1 month)) as s) g left join m using (s)
+""")
+def resample_empty_months(t):
+    return N.resample(t("orders").where("month(o_orderdate) % 3 <> 0"), "o_orderdate", "o_totalprice", "M", "count")
