@@ -86,6 +86,18 @@ def test_only_the_terms_postings_are_read(spark, tmp_path):
     assert all(str(root) in f and "/postings/" in f for f in index.search("alpha beta").inputFiles())
 
 
+def test_a_term_has_one_row_for_many_texts_and_loses_none(spark, tmp_path):
+    rows = texts(300)
+    index = TextIndex.build(table(spark, rows).coalesce(1), "id", "t", str(tmp_path / "i"), buckets=4, stemming=False)
+    written = spark.read.parquet(str(tmp_path / "i" / "postings")).where("bucket >= 0")
+    assert written.count() == 6 and written.where("term = 'alpha'").first().docs > 100  # one row a term, not one a posting
+    want = {(r.term, r.key): (r.tf, list(r.positions)) for r in search.postings(table(spark, rows).where("id is not null"), "id", "t").collect()}
+    assert {(r.term, r.key): (r.tf, list(r.positions)) for r in index._postings().collect()} == want
+    index.refresh(table(spark, rows[:250]), "id", "t")
+    index.compact()
+    assert {(r.term, r.key): (r.tf, list(r.positions)) for r in index._postings().collect()} == {k: v for k, v in want.items() if k[1] < 250}
+
+
 def test_close_terms_when_nothing_matches(spark, tmp_path):
     docs = table(spark, [(1, "the quick fox", "c", 1), (2, "quickly gone", "c", 1), (3, "slow", "c", 1)])
     index = TextIndex.build(docs, "id", "t", str(tmp_path / "i"), stemming=False)
