@@ -1,5 +1,6 @@
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +131,18 @@ def test_bits_of_scalars(spark):
     r = x.select(*scalar.path_facets("p"), scalar.json_safe("v").alias("v")).first()
     assert (r.name, r.extension, r.folder, r.year, r.month, r.v) == ("x.CSV", "csv", "a/b/2024-03", "2024", "03", None)
     assert math.isclose(x.select(scalar.decimal_degrees(F.lit(10), F.lit(30), F.lit(0), F.lit("S"))).first()[0], -10.5)
+
+
+def test_postings_shuffle_no_word_unless_keys_repeat(spark, monkeypatch):
+    rows = [(1, "b a B"), (2, None), (3, "..."), (4, "a-b c"), (5, "Ä1 c c")]
+    docs = spark.createDataFrame(rows, "id long, t string")
+    got = lambda x: {(r.term, r.key): (r.tf, list(r.positions)) for r in x.collect()}
+    want = {("b", 1): (2, [0, 2]), ("a", 1): (1, [1]), ("a", 4): (1, [0]), ("b", 4): (1, [1]), ("c", 4): (1, [2]), ("ä1", 5): (1, [0]), ("c", 5): (2, [1, 2])}
+    x = search.postings(docs, "id", "t")
+    assert got(x) == want and "Exchange" not in x._jdf.queryExecution().executedPlan().toString()
+    twice = search.postings(docs.union(spark.createDataFrame([(1, "a b"), (None, "a"), (None, "b a")], docs.schema)), "id", "t")
+    assert got(twice) == want | {("a", 1): (2, [0, 1]), ("b", 1): (3, [0, 1, 2]), ("a", None): (2, [0, 1]), ("b", None): (1, [0])}
+    assert {(r.term, r.docs, r.occurrences) for r in search.vocabulary(docs, "id", "t").collect()} == {("a", 2, 2), ("b", 2, 3), ("c", 2, 3), ("ä1", 1, 1)}
+    monkeypatch.setattr(search, "RUN", 2)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array([["x", "y", "x"], [], ["y"], ["z", "x"], []])], ["key", "terms"])
+    assert [tuple(r.values()) for b in search.by_text(iter([batch])) for r in b.to_pylist()] == [("x", 0, 2, [0, 2]), ("y", 0, 1, [1]), ("y", 2, 1, [0]), ("z", 3, 1, [0]), ("x", 3, 1, [1])]
