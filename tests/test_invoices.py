@@ -35,6 +35,14 @@ def test_three_shapes(spark):
     assert B.invoice_lines(found).count() == 6
 
 
+def test_a_text_is_parsed_once(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, CII), (2, "<a/>")], "k long, xml string").write.parquet(str(tmp_path / "t"))
+    written, keep = [], B.staged
+    monkeypatch.setattr(B, "staged", lambda df, tag: (written.append(df), keep(df, tag))[1])
+    assert [r.key for r in B.invoices(spark.read.parquet(str(tmp_path / "t")), "k", "xml").collect()] == [1]
+    assert written[0]._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") == 1
+
+
 @pytest.mark.parametrize(("unit", "last", "bins"), [("S", "2024-01-02 00:00:05", 86_406), ("H", "2024-01-03 01:00:00", 50), ("D", "2024-03-01 05:00:00", 61), ("W", "2024-01-20 00:00:00", 3), ("M", "2025-02-03 00:00:00", 14), ("Q", "2024-12-31 00:00:00", 4), ("Y", "2026-01-01 00:00:00", 3)])
 def test_empty_bins(spark, unit, last, bins):
     df = spark.createDataFrame([("2024-01-01 00:00:00", 1.0), (last, 2.0), (None, 3.0)], "at string, v double")
