@@ -2,9 +2,11 @@
 
 import random
 
+import duckdb
 import pytest
 
 from lakelens.operators.linediff import compare_texts, edit_script, line_diff
+from lakelens.plans import catalog
 
 
 def common(a, b):
@@ -61,3 +63,13 @@ def test_status_and_ratio(spark):
     got = {r.key: (r.status, r.ratio, r.similar) for r in compare_texts(a, b, "k", "t", 0.25, limit=50).collect()}
     assert got == {1: ("changed", 0.75, True), 2: ("identical", 1.0, True), 3: ("missing_b", None, None), 4: ("missing_a", None, None), 5: ("large", None, None), 6: ("identical", 1.0, True)}
     assert {r.similar for r in compare_texts(a, b, "k", "t").collect()} == {None}
+
+
+def test_the_query_agrees_with_its_sql_about_the_bytes_at_the_limit(spark, tmp_path):
+    rows = [(3 * n, "x" * k) for n, k in ((1, 1997), (2, 1998), (3, 1999), (4, 2000), (6, 2001), (7, 0))] + [(10, "é" * 1000), (27, "é" * 999 + "x"), (15, "y")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = {tuple(r) for r in duck.sql(catalog.SQL["compare_texts"]).fetchall()}
+    got = {(r.key, r.status, r.ratio) for r in catalog.QUERIES["compare_texts"](spark, str(tmp_path)).collect()}
+    assert got == want and {k for k, s, _ in got if s == "large"} == {12, 18}
