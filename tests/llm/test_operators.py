@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lakelens.llm import language_model, langid, lines, media, mixing, nearcopies, packing, repeats, secrets, vectors
+from lakelens.llm import common, language_model, langid, lines, media, mixing, nearcopies, packing, repeats, secrets, vectors
 from lakelens.llm.common import components, link_buckets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, id string, key string"
@@ -227,6 +227,23 @@ def test_every_link_of_a_bucket_is_found(spark):
         assert {r.id: r.component for r in got.collect()} == want
 
 
+def test_members_that_stay_unlike_make_no_rows(spark, monkeypatch):
+    # every element occurs in several sets, so none can be left out by counts; no two sets are alike
+    sets = {i: [*range(1000, 1014), *range(2000 + 3 * i, 2006 + 3 * i)] for i in range(90)}
+    entries = spark.createDataFrame([(1, i) for i in sets], "bucket long, id long")
+    table_ = spark.createDataFrame(list(sets.items()), "id long, payload array<long>")
+    made, stage = Counter(), common.stage
+
+    def counted(df, tag):
+        out = stage(df, tag)
+        made[tag] += out.count()
+        return out
+
+    monkeypatch.setattr(common, "stage", counted)
+    assert link_buckets(entries, lambda ids: table_.join(ids, "id"), F.col, 0.8, "unlike").count() == 0
+    assert made["unlike-compared"] <= 2 * len(sets)
+
+
 def test_rows_of_one_id_and_different_texts(spark):
     a, b = ("alpha beta gamma delta epsilon zeta eta theta iota kappa " * 3).strip(), "one two three four five six seven eight"
     docs = table(spark, [(1, a, "en", "a"), (2, a, "en", "a"), (2, b, "en", "a"), (None, a, "en", "a")])
