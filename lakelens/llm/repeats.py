@@ -21,7 +21,7 @@ GRAM, BLOCK = 20, 1 << 16
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """Each text's strings of `size` bytes, grouped by their anchor, the string's leftmost gram of least hash.
+    """Each text's strings of `size` bytes, grouped by their anchor, the string's leftmost gram of least hash (by its low bits).
 
     Equal strings have equal anchors at equal places. Returns for each run of strings with one anchor: its text, the
     place of the first string in data, the number of strings (at most size - GRAM + 1), the anchor's hash.
@@ -65,13 +65,16 @@ def cut_anchors(data: np.ndarray, offsets: np.ndarray, size: int, most: int = 1
 
 
 def leftmost_least(h: np.ndarray, w: int) -> np.ndarray:
-    """The place of the least of h[i : i + w] for every i, the leftmost of equals: running minima over spans that double."""
-    place, span = np.arange(len(h)), 1
+    """The place of the least of h[i : i + w] for every i, the leftmost of equals: running minima over spans that double.
+
+    The high bits of h, as many for every block, give way to the places and do not count.
+    """
+    bits = np.uint64((BLOCK + w).bit_length())
+    x, span = h << bits | np.arange(len(h), dtype=np.uint64), 1
     while span < w:
         step = min(span, w - span)
-        a, b = place[: len(place) - step], place[step:]
-        place, span = np.where(h[b] < h[a], b, a), span + step
-    return place
+        x, span = np.minimum(x[: len(x) - step], x[step:]), span + step
+    return (x & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
 def packed(data: np.ndarray, size: int) -> list[np.ndarray]:
@@ -226,10 +229,12 @@ def repeated_bytes(docs: DataFrame, size: int = 50, group_rows: int = 20000, id_
                     yield pa.RecordBatch.from_arrays([pa.array(fp[x].view(np.int64)), pa.array(doc[text[x]]), pa.array(h[text[x]]), pa.array(own), pa.array(count[x].astype(np.int32)), pa.array(snippets, pa.binary())], ["fp", "doc_id", "h", "start", "count", "snippet"])
 
     cuts = texts.join(wanted, "doc_id").select("doc_id", "h", "bytes", "fps").mapInArrow(cut, "fp long, doc_id long, h long, start int, count int, snippet binary")
-    cuts = stage(cuts.withColumn("sid", F.xxhash64("snippet")), "rep-cuts")
+    cut_table = stage(cuts, "rep-cuts")
+    discard(wanted)
+    cuts = cut_table.withColumn("sid", F.xxhash64("snippet"))  # made when read: hashes do not compress
     unique = stage(cuts.groupBy("fp", "sid").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.first("count").alias("count"), F.first("snippet").alias("snippet")), "rep-snippets")
     at = stage(cuts.select("fp", "sid", "doc_id", "h", "start"), "rep-places")
-    discard(wanted, cuts)
+    discard(cut_table)
     groups = max(1, -(-unique.count() // group_rows))
 
     def sort(x: pd.DataFrame) -> pd.DataFrame:

@@ -623,6 +623,24 @@ def test_packing_odd_rows(odd, empty):
     assert {r.doc_id for r in packing.pack(odd).collect()} == {1, 2, 3, None, 5, 6}
 
 
+def test_snippet_hashes_are_not_staged(spark, monkeypatch):
+    made, live, stage, discard = {}, set(), repeats.stage, repeats.discard
+
+    def staged(df, tag):
+        made[tag] = (df.columns, set(live))
+        live.add(tag)
+        out = stage(df, tag)
+        out.tag = tag
+        return out
+
+    monkeypatch.setattr(repeats, "stage", staged)
+    monkeypatch.setattr(repeats, "discard", lambda *x: (live.difference_update(t.tag for t in x), discard(*x)))
+    text = "a passage of more than fifty bytes that two documents share word by word"
+    got = repeats.repeated_bytes(table(spark, [(1, "x " + text, "en", "a"), (2, "y " + text, "en", "a")])).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (2, len(text) + 1)]
+    assert "sid" not in made["rep-cuts"][0] and "rep-anchors" not in made["rep-snippets"][1]
+
+
 def test_long_texts_are_cut_without_loss():
     rng = np.random.default_rng(13)
     data = rng.integers(97, 100, 30_000).astype(np.uint8)
