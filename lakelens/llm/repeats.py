@@ -243,6 +243,8 @@ def repeated_bytes(docs: DataFrame, size: int = 50, group_rows: int = 20000, id_
         return pd.DataFrame({"fp": x["fp"], "sid": x["sid"], "least": least})[useful]
 
     owners = unique.groupBy(F.pmod(F.xxhash64("fp"), F.lit(groups)).alias("g")).applyInPandas(sort, "fp long, sid long, least array<long>")
+    owners = stage(owners, "rep-owners")  # so that the shuffled snippets go before the places are shuffled
+    discard(unique)
     hit = at.join(owners, ["fp", "sid"])
     places = F.filter(F.transform("least", lambda m, i: F.when(m < F.col("doc_id"), F.col("start") + i)), lambda p: p.isNotNull())
     # a snippet's strings to remove, as runs: a place whose predecessor is not one begins a run
@@ -268,7 +270,7 @@ def repeated_bytes(docs: DataFrame, size: int = 50, group_rows: int = 20000, id_
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     runs = stage(runs, "rep-runs")
-    discard(unique, at)
+    discard(owners, at)
     kept = texts.join(runs, "doc_id", "left").select("doc_id", "bytes", F.try_element_at("runs", F.col("h")).alias("starts"))
     kept = stage(kept.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "rep-kept")
     discard(runs)
