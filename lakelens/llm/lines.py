@@ -14,8 +14,11 @@ from lakelens.llm.common import discard, link_buckets, stage
 SHINGLE, ROWS = 5, 6
 #: Coordinates of a signature and ways to group them into bands, for long and for short lines.
 LONG, BRIEF = (30, 4), (48, 6)
-#: Lines of fewer shingles than this are short and have more bands. Shingles that one row of the aggregation takes together.
-SHORT, STEP = 64, 8
+#: Shares of the bands that are shuffled in turn.
+PARTS = 2
+#: Lines of fewer shingles than this are short and have more bands. Shingles that one row of the aggregation takes
+#: together (of many more the code grows too long to be compiled), and those that are cut from one block of a line.
+SHORT, STEP, BLOCK = 64, 2, 64
 
 
 def chars_of(lines: DataFrame) -> DataFrame:
@@ -55,10 +58,14 @@ def banded(x: DataFrame, coordinates: int, ways: int, mixed: Callable[[Column, i
 
 
 def shingles(line: Column | str) -> Column:
-    """A line's distinct shingles as strings."""
+    """A line's distinct shingles as hashes of 64 bits.
+
+    They are cut from blocks of BLOCK of them: to find a place in a string Spark counts from its start.
+    """
     line = F.col(line) if isinstance(line, str) else line
-    runs = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    return F.array_distinct(F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(runs))
+    blocks = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE},{BLOCK + SHINGLE - 1}}})).{{1,{BLOCK}}}"), F.lit(1))
+    cut = lambda block: F.transform(F.sequence(F.lit(1), F.length(block) - (SHINGLE - 1)), lambda i: F.xxhash64(F.substring(block, i, F.lit(SHINGLE))))
+    return F.array_distinct(F.when(F.length(line) < SHINGLE, F.array(F.xxhash64(line))).otherwise(F.flatten(F.transform(blocks, cut))))
 
 
 def text_key(text: Column) -> Column:
@@ -79,13 +86,15 @@ def line_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id
 
     Equal lines (trimmed) share an id, counted before any comparison, so a line that fills a third of the table is
     one entry. Lines whose sets of runs of SHINGLE characters have Jaccard similarity of at least `similarity` are
-    linked, found by banded MinHash over those same sets and verified exactly; classes are the components of the links.
+    linked, found by banded MinHash over those same sets and verified on the whole sets; classes are the components of the links.
     """
     lines = split_lines(docs, id_col, text_col).where("id is not null")
     place = F.struct(F.col("doc_id").isNull().alias("_n"), "doc_id", "text_hash", "line_no")
     where = stage(lines.groupBy("id").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line")), "lines-ids")
-    entries = signatures(where.select("id", "line"), similarity).select(F.explode(F.array_distinct("bands")).alias("bucket"), "id")
-    comp = link_buckets(entries, lambda ids: where.select("id", F.col("line").alias("payload")).join(ids, "id", "left_semi"), shingles, similarity, "lines")
+    signed = stage(signatures(where.select("id", "line"), similarity), "lines-bands")
+    entries = signed.select(F.explode(F.array_distinct("bands")).alias("bucket"), "id")
+    comp = link_buckets(entries, lambda ids: where.select("id", F.col("line").alias("payload")).join(ids, "id", "left_semi"), shingles, similarity, "lines", parts=PARTS)
+    discard(signed)
     # a line that occurs once and is in no class is its own first place: nothing more to say of it
     x = where.select("id", "place", "n").join(comp, "id", "left").where("n > 1 or component is not null")
     x = x.select("id", F.coalesce("component", "id").alias("component"), "place")

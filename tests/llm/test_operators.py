@@ -471,6 +471,35 @@ def test_lines_of_every_length_meet(spark):
     assert all(r.recall >= 0.99 for r in x.groupBy("n").agg(F.avg(F.arrays_overlap("as", "bs").cast("double")).alias("recall")).collect())
 
 
+def test_elements_are_made_where_payloads_meet(spark, monkeypatch):
+    # beside a base only payloads may be shuffled: a line's shingles take many times its room
+    plans = []
+    monkeypatch.setattr(common, "stage", lambda df, tag: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    members = spark.createDataFrame([(1, 3, 10, 1), (2, 3, 10, 2)], "id long, base long, size int, c long")
+    payload = spark.createDataFrame([(1, "elephants ride"), (2, "elephants rode"), (3, "elephants ran")], "id long, payload string")
+    got = {r.id: (r.share, len(r.more), len(r.less)) for r in common.beside(members, payload, lines.shingles, "test").collect()}
+    assert got == {1: (7, 3, 2), 2: (7, 3, 2)}
+    below = plans[0][plans[0].index("Join") :]
+    assert "extract_all" in plans[0] and "extract_all" not in below
+
+
+def test_shingles_of_lines_in_several_blocks(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab\U0001F600é\n") for _ in range(n)) for n in (0, 1, 4, 5, 6, 63, 64, 67, 68, 69, 72, 128, 132, 133, 1000)]
+    each = spark.createDataFrame([(t, g) for t in texts for g in {t[i : i + 5] for i in range(max(1, len(t) - 4))}], "t string, g string")
+    got = each.groupBy("t").agg(F.collect_set(F.xxhash64("g")).alias("want")).select(F.sort_array("want").alias("want"), F.sort_array(lines.shingles("t")).alias("got")).collect()
+    assert len(got) == len(texts) and all(r.got == r.want for r in got)
+
+
+def test_links_do_not_depend_on_shares_of_buckets(spark):
+    rng = random.Random(6)
+    rows = [(i, sorted(rng.sample(range(12), 10))) for i in range(40)]
+    table_ = spark.createDataFrame(rows, "id long, payload array<long>")
+    entries = spark.createDataFrame([(b, i) for b in range(-3, 4) for i, s in rows if b % 12 in s], "bucket long, id long")
+    got = [sorted(map(tuple, link_buckets(entries, lambda ids: table_.join(ids, "id"), F.col, 0.8, "test", parts=p).collect())) for p in (1, 2, 3)]
+    assert got[0] and got[0] == got[1] == got[2]
+
+
 def test_lines_odd_rows(odd, empty):
     got = {r.doc_id: (r.n_lines, r.n_removed) for r in lines.removed_lines(odd).collect()}
     assert got == {1: (1, 0), 2: (1, 0), 3: (2, 0), None: (1, 0), 5: (3, 0), 6: (1, 0)}
