@@ -14,7 +14,7 @@ from lakelens.llm.common import discard, link_buckets, stage
 SHINGLE, ROWS = 5, 6
 #: Coordinates of a signature and ways to group them into bands, for long and for short lines.
 LONG, BRIEF = (30, 4), (48, 6)
-#: Shares of the bands that are shuffled in turn.
+#: Shares of the bands, and of the lines that stay open, that are shuffled in turn.
 PARTS = 2
 #: Lines of fewer shingles than this are short and have more bands. Shingles that one row of the aggregation takes
 #: together (of many more the code grows too long to be compiled), and those that are cut from one block of a line.
@@ -93,8 +93,7 @@ def line_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id
     where = stage(lines.groupBy("id").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line")), "lines-ids")
     signed = stage(signatures(where.select("id", "line"), similarity), "lines-bands")
     entries = signed.select(F.explode(F.array_distinct("bands")).alias("bucket"), "id")
-    comp = link_buckets(entries, lambda ids: where.select("id", F.col("line").alias("payload")).join(ids, "id", "left_semi"), shingles, similarity, "lines", parts=PARTS)
-    discard(signed)
+    comp = link_buckets(entries, lambda ids: where.select("id", F.col("line").alias("payload")).join(ids, "id", "left_semi"), shingles, similarity, "lines", parts=PARTS, spent=(signed,))
     # a line that occurs once and is in no class is its own first place: nothing more to say of it
     x = where.select("id", "place", "n").join(comp, "id", "left").where("n > 1 or component is not null")
     x = x.select("id", F.coalesce("component", "id").alias("component"), "place")

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pathlib
 import random
 import re
 import struct
@@ -483,6 +484,20 @@ def test_elements_are_made_where_payloads_meet(spark, monkeypatch):
     assert "extract_all" in plans[0] and "extract_all" not in below
 
 
+def test_bands_go_before_lines_are_compared(spark, monkeypatch):
+    there, stage = [], common.stage
+
+    def watched(df, tag):
+        if tag == "lines-compared":
+            there.append([p.name for p in pathlib.Path(common.shared_dir(spark).removeprefix("file:")).glob("staged/lines-bands-*")])
+        return stage(df, tag)
+
+    monkeypatch.setattr(common, "stage", watched)
+    before = {p.name for p in pathlib.Path(common.shared_dir(spark).removeprefix("file:")).glob("staged/lines-bands-*")}
+    lines.line_classes(table(spark, [(1, "the elephants ride over the hill", "en", "a"), (2, "the elephants ride over the hills", "en", "a")]))
+    assert there and all(set(x) <= before for x in there)
+
+
 def test_shingles_of_lines_in_several_blocks(spark):
     rng = random.Random(5)
     texts = ["".join(rng.choice("ab\U0001F600é\n") for _ in range(n)) for n in (0, 1, 4, 5, 6, 63, 64, 67, 68, 69, 72, 128, 132, 133, 1000)]
