@@ -245,6 +245,36 @@ def test_members_that_stay_unlike_make_no_rows(spark, monkeypatch):
     assert made["unlike-compared"] <= 2 * len(sets)
 
 
+def test_open_members_are_tested_by_a_few_bits_an_element(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [rng.getrandbits(62) for _ in range(600)]
+    sets = {i: [*base[:500], *(rng.getrandbits(62) for _ in range(130 + i))] for i in range(40)} | {99: base}
+    entries = spark.createDataFrame([(1, i) for i in sets], "bucket long, id long")
+    table_ = spark.createDataFrame(list(sets.items()), "id long, payload array<long>")
+    widths, stage = [], common.stage
+
+    def watched(df, tag):
+        out = stage(df, tag)
+        if tag == "bits-beside":
+            widths.extend(out.select(F.greatest(F.lit(0), F.lit(0), *[F.size(c) for c, t in out.dtypes if t.startswith("array")])).toPandas().iloc[:, 0])
+        return out
+
+    monkeypatch.setattr(common, "stage", watched)
+    link_buckets(entries, lambda ids: table_.join(ids, "id"), F.col, 0.8, "bits")
+    assert widths and max(widths) <= 32  # 2048 bits; what a member has more and less was over 100 elements
+
+
+def test_parities_differ_no_more_than_their_sets(spark):
+    rng = random.Random(9)
+    pool = [rng.getrandbits(64) - (1 << 63) for _ in range(3000)]
+    sets = {i: rng.sample(pool[: 2 * n], n) for i, n in enumerate([1, 2, 20, 60, 250, 256, 257, 300, 500, 512, 513, 640, 1000, 1025, 1280])}
+    x = common.parities(spark.createDataFrame([(i, s, len(s)) for i, s in sets.items()], "id long, payload array<long>, size int"), F.col)
+    y = x.select(F.col("id").alias("a"), F.col("parity").alias("x")).crossJoin(x.select(F.col("id").alias("b"), F.col("parity").alias("y")))
+    near = [r for r in y.select("a", "b", common.apart("x", "y").alias("n")).collect() if len(sets[r.a]) <= 1.25 * len(sets[r.b]) and len(sets[r.b]) <= 1.25 * len(sets[r.a])]
+    assert all(r.n <= len({*sets[r.a]} ^ {*sets[r.b]}) for r in near) and all(r.n == 0 for r in near if r.a == r.b)
+    assert any(r.n > (len(sets[r.a]) + len(sets[r.b])) / 9 for r in near)
+
+
 def test_rows_of_one_id_and_different_texts(spark):
     a, b = ("alpha beta gamma delta epsilon zeta eta theta iota kappa " * 3).strip(), "one two three four five six seven eight"
     docs = table(spark, [(1, a, "en", "a"), (2, a, "en", "a"), (2, b, "en", "a"), (None, a, "en", "a")])
