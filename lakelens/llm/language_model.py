@@ -20,6 +20,8 @@ from lakelens.llm.nearcopies import pieces, unit
 END, START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9D39247E33776D41)
 #: Customers up to which seatings are drawn from a table; for larger parties, the numbers of tables that are taken one by one.
 SMALL, FEW = 64, 8
+#: Bytes of text that are cut into words at once, and tokens that are counted together: they set what a task holds.
+PIECE, TOGETHER = 1 << 20, 1_000_000
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,10 +249,10 @@ def count_pass(docs: DataFrame, of_pairs: bool) -> DataFrame:
         for batch in batches:
             data, offsets = bytes_of(batch.column(0))
             held: list[tuple[np.ndarray, np.ndarray]] = []  # tokens of some pieces, counted together
-            for lo, hi in pieces(offsets):
+            for lo, hi in pieces(offsets, PIECE):
                 w, each = tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 held.append((w, contexts_of(w, each) if of_pairs else np.zeros(0, np.uint64)))
-                if hi == batch.num_rows or sum(len(w) for w, _ in held) > 2_000_000:
+                if hi == batch.num_rows or sum(len(w) for w, _ in held) > TOGETHER:
                     w, u = (np.concatenate(x) for x in zip(*held, strict=True))
                     held.clear()
                     _, at, c = np.unique(pair(u, w) if of_pairs else w, return_index=True, return_counts=True)
@@ -410,7 +412,7 @@ def score(docs: DataFrame, model: Model, parts: int = 6) -> DataFrame:
         """Tokens, contexts and where they are in the head and among the hot words; near: not in the head, both words hot."""
         (keys, _, _), (hot_words, *_) = shared.value
         data, offsets = bytes_of(batch.column("bytes"))
-        for lo, hi in pieces(offsets):
+        for lo, hi in pieces(offsets, PIECE):
             w, each = tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             u = contexts_of(w, each)
             at, hit = places(keys, pair(u, w))

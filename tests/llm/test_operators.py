@@ -6,10 +6,12 @@ import pathlib
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,6 +277,25 @@ def test_parities_differ_no_more_than_their_sets(spark):
     assert any(r.n > (len(sets[r.a]) + len(sets[r.b])) / 9 for r in near)
 
 
+def test_counting_holds_little_at_a_time(spark):
+    class Texts:  # gives the function that would run in the tasks
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(10000, 99999, 1000))).encode() for _ in range(2400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["bytes"])
+    run = language_model.count_pass(Texts(), True)
+    tracemalloc.start()
+    try:
+        total = sum(int(b.column("c").to_numpy().sum()) for b in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert total == 2400 * 1001
+    assert peak < 150e6, peak
+
+
 def test_rows_of_one_id_and_different_texts(spark):
     a, b = ("alpha beta gamma delta epsilon zeta eta theta iota kappa " * 3).strip(), "one two three four five six seven eight"
     docs = table(spark, [(1, a, "en", "a"), (2, a, "en", "a"), (2, b, "en", "a"), (None, a, "en", "a")])
