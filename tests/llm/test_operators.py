@@ -557,6 +557,44 @@ def test_shingles_of_lines_in_several_blocks(spark):
     assert len(got) == len(texts) and all(r.got == r.want for r in got)
 
 
+def test_grams_are_as_many_as_shingles(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab\U0001F600é\n") for _ in range(n)) for n in (0, 1, 4, 5, 6, 63, 64, 67, 68, 69, 72, 128, 132, 133, 1000)]
+    x = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    want, got = ([F.size(F.array_distinct(f("a"))), F.size(F.array_intersect(f("a"), f("b")))] for f in (lines.shingles, lines.grams))
+    assert all(tuple(r[:2]) == tuple(r[2:]) for r in x.select(*[c.alias(f"c{i}") for i, c in enumerate(want + got)]).collect())
+
+
+def test_long_lines_at_the_border_meet_and_unlike_ones_do_not(spark):
+    rng = random.Random(31)
+    grams = lambda s: Counter({s[j : j + 5] for j in range(max(1, len(s) - 4))})
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    near, far = [], []
+    while len(near) < 300:
+        a = [word() for _ in range(rng.choice((15, 40, 120)))]
+        b = list(a)
+        for i in rng.sample(range(len(a)), max(1, len(a) // 12)):
+            b[i] = word()
+        a, b = " ".join(a), " ".join(b)
+        if 0.8 <= jaccard(grams(a), grams(b)) < 0.86:
+            near.append(("near", a, b))
+    # Jaccard about 0.13: of 20,000 such pairs bands of six coordinates let 23 meet, bands of seven none
+    while len(far) < 6000:
+        same = " ".join(word() for _ in range(8))
+        far.append(("far", *(" ".join([same] + [word() for _ in range(24)]) for _ in range(2))))
+    x = spark.createDataFrame([(k, i, a, b) for i, (k, a, b) in enumerate(near + far)], "k string, i int, a string, b string")
+    side = lambda c: lines.signatures(x.select(F.col("i").alias("id"), F.col(c).alias("line"))).groupBy(F.col("id").alias("i")).agg(F.flatten(F.collect_list("bands")).alias(f"{c}s"))
+    met = {r.k: r.met for r in x.join(side("a"), "i").join(side("b"), "i").groupBy("k").agg(F.avg(F.arrays_overlap("as", "bs").cast("double")).alias("met")).collect()}
+    assert met["near"] >= 0.97 and met["far"] <= 2 / 6000, met
+
+
+def test_lines_do_not_meet_by_what_they_lack(spark):
+    # 90 and 95 times one sign: a single shingle, all other coordinates are empty
+    x = spark.createDataFrame([(1, "-" * 90), (2, "-" * 95), (3, "=" * 90)], "id long, line string")
+    got = {r.id: set(r.bands) for r in lines.signatures(x).collect()}
+    assert got[1] == got[2] and got[1] and not got[1] & got[3]
+
+
 def test_links_do_not_depend_on_shares_of_buckets(spark):
     rng = random.Random(6)
     rows = [(i, sorted(rng.sample(range(12), 10))) for i in range(40)]
